@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 TRIPLE = r'^<([^>]*)>\s+<([^>]*)>\s+"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]+))?'
 
 
-def int_field(line: Column, index: int) -> Column:
-    """The ``index``-th comma-separated field as INT; malformed numbers raise."""
-    return F.get(F.split(line, ","), F.lit(index)).cast("int")
+def number_field(line: Column, index: int, kind: str = "int") -> Column:
+    """The ``index``-th comma-separated field as a number; malformed ones raise."""
+    return F.get(F.split(line, ","), F.lit(index)).cast(kind)
 
 
 def is_header(line: Column) -> Column:
     return F.contains(line, F.lit(":"))
 
 
-def header_id(line: Column) -> Column:
-    return F.get(F.split(line, ":"), F.lit(0)).cast("int")
+def header_id(line: Column, kind: str = "int") -> Column:
+    return F.get(F.split(line, ":"), F.lit(0)).cast(kind)
 
 
 def triple_field(line: Column, group: int) -> Column:

@@ -15,20 +15,31 @@ def empty_ratings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RATINGS)
 
 
-def parse_ratings(lines: DataFrame, with_rating: bool = False) -> DataFrame:
-    """Lines ``user,movie[,rating,...]`` as columns; further fields are ignored."""
-    names = ["user", "movie"] + (["rating"] if with_rating else [])
-    return lines.select(*[T.int_field(F.col("value"), i).alias(n) for i, n in enumerate(names)])
+def parse_ratings(lines: DataFrame, with_rating: bool = False, kind: str = "int") -> DataFrame:
+    """Lines ``user,movie[,rating,...]`` as columns; further fields are ignored.
+
+    ``kind`` is the type of the ids; "bigint" for ids beyond 32 bits.
+    """
+    value = F.col("value")
+    columns = [
+        T.number_field(value, 0, kind).alias("user"),
+        T.number_field(value, 1, kind).alias("movie"),
+    ]
+    if with_rating:
+        columns.append(T.number_field(value, 2).alias("rating"))
+    return lines.select(columns)
 
 
 def read_ratings(
-    spark: SparkSession, paths: str | list[str], with_rating: bool = False
+    spark: SparkSession, paths: str | list[str], with_rating: bool = False, kind: str = "int"
 ) -> DataFrame:
     """Rating files: (user, movie[, rating]).  Folders and globs work as well."""
-    return parse_ratings(spark.read.text(paths), with_rating)
+    return parse_ratings(spark.read.text(paths), with_rating, kind)
 
 
-def read_item_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_item_files(
+    spark: SparkSession, paths: str | list[str], kind: str = "int"
+) -> DataFrame:
     """Files of blocks ``item:`` followed by lines ``user,rating[,...]``.
 
     Out: (user, movie, rating).  A file may be larger than one task should read:
@@ -47,7 +58,7 @@ def read_item_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .where(F.trim("value") != "")
     )
     value = F.col("value")
-    header = F.when(T.is_header(value), T.header_id(value))
+    header = F.when(T.is_header(value), T.header_id(value, kind))
     lines = lines.withColumn("header", header)
     of_split = W.partitionBy("file", "start").orderBy("seq")
     earlier = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
@@ -62,9 +73,9 @@ def read_item_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "inside", F.last("header", ignorenulls=True).over(of_split.rowsBetween(W.unboundedPreceding, 0))
     ).where(F.col("header").isNull())
     return inside.join(carried, ["file", "start"]).select(
-        T.int_field(value, 0).alias("user"),
+        T.number_field(value, 0, kind).alias("user"),
         F.coalesce("inside", "carried").alias("movie"),
-        T.int_field(value, 1).alias("rating"),
+        T.number_field(value, 1).alias("rating"),
     )
 
 
