@@ -16,13 +16,12 @@ def item_rows(df: DataFrame, set_col: str, item_col: str) -> DataFrame:
     )
 
 
-def count_large_sets(rows: DataFrame, split_rows: int = SPLIT_ROWS) -> int:
-    """Number of sets with more than ``split_rows`` rows (runs one small job).
+def largest_set(rows: DataFrame) -> int:
+    """Rows of the largest set (runs one small job).
 
     Reads the id column only and combines on the map side.
     """
-    sizes = rows.groupBy("set_id").count()
-    return sizes.where(F.col("count") > split_rows).count()
+    return rows.groupBy("set_id").count().agg(F.max("count")).first()[0] or 0
 
 
 def distinct_items(rows: DataFrame, one_task_per_set: bool) -> DataFrame:

@@ -8,27 +8,25 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearset.functions import sets as S
 from nearset.operators.blocks import blocked_sides
 from nearset.operators.signatures import Scheme, rank_large_sets
 
-# Parts the rows of one large set are spread over when pairs fetch them.
-_PARTS = 64
 
+def _part(parts: int) -> Column:
+    """Part of its set a row belongs to, so that no task gets a whole large set."""
+    return F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")
 
-def _part():
-    return F.pmod(F.xxhash64("item"), F.lit(_PARTS)).cast("int")
 
-
-def _every_part():
-    return F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
+def _every_part(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
 
 def set_apart(
-    rows: DataFrame, groups: DataFrame, scheme: Scheme, split_rows: int
+    rows: DataFrame, groups: DataFrame, scheme: Scheme, split_rows: int, parts: int
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of the other sets, rows of sets that may pair with a large one).
 
@@ -36,17 +34,19 @@ def set_apart(
     starts at ``threshold * split_rows`` items.  Rows are matched on (set_id,
     part of the items), so the rows of one huge set stay spread out.
     """
-    rows = rows.withColumn("part", _part())
+    rows = rows.withColumn("part", _part(parts))
     nearly = math.floor(scheme.threshold * split_rows)
     reps = (
         groups.where(F.col("n") >= nearly)
         .select(F.col("rep").alias("set_id"), "n", "copies")
-        .withColumn("part", _every_part())
+        .withColumn("part", _every_part(parts))
     )
     near = rows.join(reps, ["set_id", "part"]).drop("part")
     # copies of large sets have no row in groups of their own: match them by size
     sizes = rows.groupBy("set_id").agg(F.count("*").alias("n"))
-    too_large = sizes.where(F.col("n") > split_rows).select("set_id", _every_part().alias("part"))
+    too_large = sizes.where(F.col("n") > split_rows).select(
+        "set_id", _every_part(parts).alias("part")
+    )
     others = rows.join(too_large, ["set_id", "part"], "left_anti").drop("part")
     return others, near
 
@@ -58,7 +58,7 @@ def large_candidates(
 
     Out: (a, b, n_a, n_b, copies_a, copies_b, shared).
     """
-    ranked = rank_large_sets(rows, scheme.order)
+    ranked = rank_large_sets(rows, scheme.order, split_rows)
     prefix = ranked.where((F.col("rk") <= scheme.prefix(F.col("n"))) & (F.col("df") != 1))
     holders = prefix.groupBy("item").agg(F.count("*").alias("rows"))
     left, right = blocked_sides(prefix.join(holders, "item"), "set_id", "rows", block_rows)
@@ -95,10 +95,12 @@ def similar_large_sets(
 ) -> DataFrame:
     """Similar pairs with at least one large set (schema of the nested join)."""
     pairs = large_candidates(rows, scheme, split_rows, block_rows)
-    smaller = rows.select(F.col("set_id").alias("a"), "item", _part().alias("part"))
+    largest = rows.agg(F.max("n")).first()[0]
+    parts = math.ceil(largest / split_rows)
+    smaller = rows.select(F.col("set_id").alias("a"), "item", _part(parts).alias("part"))
     larger = rows.select(F.col("set_id").alias("b"), "item")
     return (
-        pairs.withColumn("part", _every_part())
+        pairs.withColumn("part", _every_part(parts))
         .join(smaller, ["a", "part"])
         .join(larger, ["b", "item"])
         .groupBy(*pairs.columns)

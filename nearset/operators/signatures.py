@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,16 +12,13 @@ from pyspark.sql import functions as F
 from nearset.functions import sets as S
 from nearset.operators.itemsets import (
     SPLIT_ROWS,
-    count_large_sets,
     distinct_items,
     item_frequency,
+    largest_set,
     set_sizes,
 )
 from nearset.runtime import write_once
 
-# Partitions of the range sort that splits very large sets, per large set.
-_SORT_PARTITIONS = 64
-
 
 @dataclass(frozen=True)
 class Scheme:
@@ -67,22 +65,23 @@ def _order_columns(order: str) -> list[str]:
     return ["df", "item"] if order == "frequency" else ["item"]
 
 
-def rank_large_sets(rows: DataFrame, order: str = "frequency") -> DataFrame:
+def rank_large_sets(rows: DataFrame, order: str, split_rows: int) -> DataFrame:
     """Add ``rk`` to rows of sets too large to sort in one task.
 
-    The rows are sorted once across the cluster by (set, order); each sorted
-    partition is then numbered by itself and shifted by the rows of the same
-    set in earlier partitions.  The sorted rows are written once, so both steps
-    see the same partition boundaries.
+    The rows are sorted once across the cluster by (set, order), into ranges of
+    about ``split_rows`` rows; each range is then numbered by itself and shifted
+    by the rows of the same set in earlier ranges.  The sorted rows are written
+    once, so both steps see the same range boundaries.
     """
     columns = _order_columns(order)
+    ranges = max(1, math.ceil(rows.count() / split_rows))
     sorted_rows = write_once(
-        rows.repartitionByRange(_SORT_PARTITIONS, "set_id", *columns).withColumn(
+        rows.repartitionByRange(ranges, "set_id", *columns).withColumn(
             "part", F.spark_partition_id()
         ),
         "sorted-rows",
     )
-    # one row per (set, partition): at most _SORT_PARTITIONS rows per set
+    # one row per (set, range)
     before = W.partitionBy("set_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         sorted_rows.groupBy("set_id", "part")
@@ -103,12 +102,12 @@ def rank_items(
     rows: DataFrame, order: str = "frequency", split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """Position of every item in its set's order: (set_id, item, df, n, rk)."""
-    n_large = count_large_sets(rows, split_rows)
-    rows = distinct_items(rows, one_task_per_set=n_large == 0)
+    one_task = largest_set(rows) <= split_rows
+    rows = distinct_items(rows, one_task)
     columns = ["set_id", "item", "df", "n", "rk"]
     with_df = rows.join(item_frequency(rows), "item")
     by_order = W.partitionBy("set_id").orderBy(*_order_columns(order))
-    if n_large == 0:
+    if one_task:
         whole_set = W.partitionBy("set_id")
         return (
             with_df.withColumn("n", F.count("*").over(whole_set))
@@ -121,7 +120,7 @@ def rank_items(
     return (
         small.withColumn("rk", F.row_number().over(by_order).cast("bigint"))
         .select(columns)
-        .unionByName(rank_large_sets(large, order).select(columns))
+        .unionByName(rank_large_sets(large, order, split_rows).select(columns))
     )
 
 

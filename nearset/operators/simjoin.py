@@ -35,10 +35,10 @@ from nearset.operators.itemsets import (
     SPLIT_ROWS,
     content_groups,
     content_profile,
-    count_large_sets,
     distinct_items,
     item_frequency,
     item_rows,
+    largest_set,
 )
 from nearset.operators.signatures import Scheme, combine_prefix
 from nearset.runtime import write_once
@@ -68,7 +68,8 @@ class Prepared:
 
 def prepare(rows: DataFrame, scheme: Scheme, split_rows: int = SPLIT_ROWS) -> Prepared:
     """Collapse copies and write the distinct sets, rows in, one table out."""
-    one_task = count_large_sets(rows, split_rows) == 0
+    largest = largest_set(rows)
+    one_task = largest <= split_rows
     rows = distinct_items(rows, one_task)
     profile = content_profile(rows)
     groups = content_groups(profile)
@@ -76,7 +77,8 @@ def prepare(rows: DataFrame, scheme: Scheme, split_rows: int = SPLIT_ROWS) -> Pr
     large, own_rows = None, rows
     if not one_task:
         groups = write_once(groups, "set-groups")
-        own_rows, large_rows = large_sets.set_apart(rows, groups, scheme, split_rows)
+        parts = math.ceil(largest / split_rows)
+        own_rows, large_rows = large_sets.set_apart(rows, groups, scheme, split_rows, parts)
         large = write_once(_with_frequency(large_rows, rows, scheme), "large-sets")
 
     reps = groups.select(F.col("rep").alias("set_id"), "n", "copies")
