@@ -105,7 +105,7 @@ def _similar_groups(spark, sf_dir):
 
 
 def _set_groups(spark, sf_dir):
-    return simjoin.set_groups(_rows(spark, sf_dir))
+    return simjoin.set_groups(_unique_rows(spark, sf_dir))
 
 
 def _join_stats(threshold: float, size: int, mode: str | None = None):
@@ -147,7 +147,7 @@ def _duplicates(threshold: float):
 
 def _rarest_words(spark, sf_dir):
     words = itemsets.item_rows(text.document_items(_docs(spark, sf_dir)), "doc_id", "term")
-    return rarest_items(rank_items(words), 3).select(
+    return rarest_items(rank_items(words, unique=True), 3).select(
         F.col("set_id").alias("doc_id"), F.col("item").alias("term"), "df", "rk"
     )
 

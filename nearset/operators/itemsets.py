@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearset.runtime import write_once
+
 # Rows of one set that may meet in one task.  Larger sets are split.
 SPLIT_ROWS = 200_000
 
@@ -16,24 +18,22 @@ def item_rows(df: DataFrame, set_col: str, item_col: str) -> DataFrame:
     )
 
 
-def largest_set(rows: DataFrame) -> int:
-    """Rows of the largest set (runs one small job).
+def unique_rows(rows: DataFrame) -> DataFrame:
+    """De-duplicate (set_id, item) rows and write them once.
 
-    Reads the id column only and combines on the map side.
+    Both columns decide where a row goes, so a huge set spreads over all tasks.
+    The written table is narrow and serves every later step, so the input is
+    read and parsed once.
     """
-    return rows.groupBy("set_id").count().agg(F.max("count")).first()[0] or 0
+    return write_once(rows.dropDuplicates(["set_id", "item"]), "rows")
 
 
-def distinct_items(rows: DataFrame, one_task_per_set: bool) -> DataFrame:
-    """De-duplicate (set_id, item) rows.
+def largest_set(rows: DataFrame) -> int:
+    """Rows of the largest set (runs one small job).
 
-    When no set is too large for one task the rows are placed by ``set_id``,
-    which later per-set steps reuse without another shuffle.  Otherwise both
-    columns decide the placement, so a huge set spreads over all tasks.
+    Reads the id column only and combines on the map side.
     """
-    if one_task_per_set:
-        rows = rows.repartition("set_id")
-    return rows.dropDuplicates(["set_id", "item"])
+    return rows.groupBy("set_id").count().agg(F.max("count")).first()[0] or 0
 
 
 def item_frequency(rows: DataFrame) -> DataFrame:
@@ -98,3 +98,10 @@ def content_groups(profile: DataFrame) -> DataFrame:
     return profile.groupBy("n", "h1", "h2").agg(
         F.min("set_id").alias("rep"), F.count("*").alias("copies")
     )
+
+
+def copied_sets(rows: DataFrame) -> DataFrame:
+    """Sets whose content occurs more than once: (set_id, rep, n, copies)."""
+    profile = content_profile(rows)
+    groups = content_groups(profile).where(F.col("copies") > 1)
+    return profile.join(groups, ["n", "h1", "h2"]).select("set_id", "rep", "n", "copies")

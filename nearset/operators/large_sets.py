@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from nearset.functions import sets as S
 from nearset.operators.blocks import blocked_sides
+from nearset.operators.itemsets import set_sizes
 from nearset.operators.signatures import Scheme, rank_large_sets
 
 
@@ -26,29 +27,26 @@ def _every_part(parts: int) -> Column:
 
 
 def set_apart(
-    rows: DataFrame, groups: DataFrame, scheme: Scheme, split_rows: int, parts: int
+    rows: DataFrame, members: DataFrame | None, scheme: Scheme, split_rows: int, parts: int
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of the other sets, rows of sets that may pair with a large one).
 
-    The second part has one representative per content, with n and copies, and
-    starts at ``threshold * split_rows`` items.  Rows are matched on (set_id,
-    part of the items), so the rows of one huge set stay spread out.
+    Both hold one representative per content.  The second part has ``n`` and starts
+    at ``threshold * split_rows`` items.  Rows are matched on (set_id, part of the
+    items), so the rows of one huge set stay spread out.
     """
     rows = rows.withColumn("part", _part(parts))
-    nearly = math.floor(scheme.threshold * split_rows)
-    reps = (
-        groups.where(F.col("n") >= nearly)
-        .select(F.col("rep").alias("set_id"), "n", "copies")
-        .withColumn("part", _every_part(parts))
-    )
-    near = rows.join(reps, ["set_id", "part"]).drop("part")
-    # copies of large sets have no row in groups of their own: match them by size
-    sizes = rows.groupBy("set_id").agg(F.count("*").alias("n"))
-    too_large = sizes.where(F.col("n") > split_rows).select(
-        "set_id", _every_part(parts).alias("part")
-    )
-    others = rows.join(too_large, ["set_id", "part"], "left_anti").drop("part")
-    return others, near
+    keys = ["set_id", "part"]
+    sizes = set_sizes(rows)
+    away = sizes.where(F.col("n") > split_rows).select("set_id")
+    near = sizes.where(F.col("n") >= math.floor(scheme.threshold * split_rows))
+    if members is not None:
+        repeats = members.where(F.col("set_id") != F.col("rep")).select("set_id")
+        away = away.unionByName(repeats).distinct()
+        near = near.join(repeats, "set_id", "left_anti")
+    others = rows.join(away.withColumn("part", _every_part(parts)), keys, "left_anti")
+    near_rows = rows.join(near.withColumn("part", _every_part(parts)), keys)
+    return others.drop("part"), near_rows.drop("part")
 
 
 def large_candidates(

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from nearset.functions import sets as S
 from nearset.operators.itemsets import (
     SPLIT_ROWS,
-    distinct_items,
     item_frequency,
     largest_set,
     set_sizes,
+    unique_rows,
 )
 from nearset.runtime import write_once
 
@@ -99,15 +99,20 @@ def rank_large_sets(rows: DataFrame, order: str, split_rows: int) -> DataFrame:
 
 
 def rank_items(
-    rows: DataFrame, order: str = "frequency", split_rows: int = SPLIT_ROWS
+    rows: DataFrame,
+    order: str = "frequency",
+    split_rows: int = SPLIT_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
-    """Position of every item in its set's order: (set_id, item, df, n, rk)."""
-    one_task = largest_set(rows) <= split_rows
-    rows = distinct_items(rows, one_task)
+    """Position of every item in its set's order: (set_id, item, df, n, rk).
+
+    ``unique`` promises that the rows are distinct already.
+    """
+    rows = rows if unique else unique_rows(rows)
     columns = ["set_id", "item", "df", "n", "rk"]
     with_df = rows.join(item_frequency(rows), "item")
     by_order = W.partitionBy("set_id").orderBy(*_order_columns(order))
-    if one_task:
+    if largest_set(rows) <= split_rows:
         whole_set = W.partitionBy("set_id")
         return (
             with_df.withColumn("n", F.count("*").over(whole_set))

@@ -2,8 +2,8 @@
 
 The steps, all on DataFrames:
 
-1. ``prepare``      de-duplicate rows, collapse sets of equal content to one
-                    representative, order items rare first, write the sets once.
+1. ``prepare``      collapse sets of equal content to one representative, order
+                    items rare first, write the sets once.
 2. ``candidates``   sets that share a signature and whose sizes and positions
                     still allow the threshold.
 3. ``verify``       exact overlap of each candidate pair.
@@ -35,10 +35,11 @@ from nearset.operators.itemsets import (
     SPLIT_ROWS,
     content_groups,
     content_profile,
-    distinct_items,
+    copied_sets,
     item_frequency,
     item_rows,
     largest_set,
+    unique_rows,
 )
 from nearset.operators.signatures import Scheme, combine_prefix
 from nearset.runtime import write_once
@@ -67,42 +68,37 @@ class Prepared:
 
 
 def prepare(rows: DataFrame, scheme: Scheme, split_rows: int = SPLIT_ROWS) -> Prepared:
-    """Collapse copies and write the distinct sets, rows in, one table out."""
-    largest = largest_set(rows)
-    one_task = largest <= split_rows
-    rows = distinct_items(rows, one_task)
-    profile = content_profile(rows)
-    groups = content_groups(profile)
+    """Collapse copies and write the distinct sets; ``rows`` are unique."""
+    members = write_once(copied_sets(rows), "copies")
+    if members.isEmpty():
+        members, reps, own_rows = None, None, rows
+    else:
+        is_rep = F.col("set_id") == F.col("rep")
+        reps = members.where(is_rep).select("set_id", "copies")
+        own_rows = rows.join(members.where(~is_rep).select("set_id"), "set_id", "left_anti")
 
-    large, own_rows = None, rows
-    if not one_task:
-        groups = write_once(groups, "set-groups")
-        parts = math.ceil(largest / split_rows)
-        own_rows, large_rows = large_sets.set_apart(rows, groups, scheme, split_rows, parts)
-        large = write_once(_with_frequency(large_rows, rows, scheme), "large-sets")
+    large = None
+    largest = largest_set(rows)
+    if largest > split_rows:
+        own_rows, large_rows = large_sets.set_apart(
+            rows, members, scheme, split_rows, parts=math.ceil(largest / split_rows)
+        )
+        large_rows = _with_frequency(_with_copies(large_rows, reps), rows, scheme)
+        large = write_once(large_rows, "large-sets")
 
-    reps = groups.select(F.col("rep").alias("set_id"), "n", "copies")
     ordered = F.sort_array(F.collect_list(F.struct("df", "item")))
-    sets = write_once(
-        _with_frequency(own_rows.join(reps, "set_id"), rows, scheme)
-        .groupBy("set_id", "n", "copies")
+    sets = (
+        _with_frequency(own_rows, rows, scheme)
+        .groupBy("set_id")
         .agg(ordered.alias("ordered"))
         .select(
             "set_id",
-            "n",
-            "copies",
+            F.size("ordered").cast("bigint").alias("n"),
             F.size(F.filter("ordered", lambda x: x["df"] == 1)).alias("skip"),
             F.col("ordered.item").alias("items"),
-        ),
-        "sets",
-    )
-    copied = F.col("copies") > 1
-    if sets.where(copied).isEmpty() and (large is None or large.where(copied).isEmpty()):
-        return Prepared(sets, None, large)
-    members = profile.join(groups.where(copied), ["n", "h1", "h2"])
-    return Prepared(
-        sets, write_once(members.select("rep", "set_id", "n", "copies"), "copies"), large
+        )
     )
+    return Prepared(write_once(_with_copies(sets, reps), "sets"), members, large)
 
 
 def _with_frequency(rows: DataFrame, all_rows: DataFrame, scheme: Scheme) -> DataFrame:
@@ -112,6 +108,14 @@ def _with_frequency(rows: DataFrame, all_rows: DataFrame, scheme: Scheme) -> Dat
     return rows.withColumn("df", F.lit(0).cast("bigint"))
 
 
+def _with_copies(df: DataFrame, reps: DataFrame | None) -> DataFrame:
+    """Add ``copies``, 1 for sets without any."""
+    one = F.lit(1).cast("bigint")
+    if reps is None:
+        return df.withColumn("copies", one)
+    return df.join(reps, "set_id", "left").withColumn("copies", F.coalesce("copies", one))
+
+
 def longest_combined(scheme: Scheme) -> int:
     """Largest set size whose prefix has at most ``_MAX_COMBINATIONS`` combinations."""
 
@@ -429,6 +433,7 @@ def similarity_join(
     order: str = "frequency",
     prefix_items: int | None = None,
     distinct: bool = True,
+    unique: bool = False,
     split_rows: int = SPLIT_ROWS,
     hot_rows: int = BLOCK_ROWS,
     block_rows: int = BLOCK_ROWS,
@@ -436,12 +441,13 @@ def similarity_join(
     """Pairs of set ids with Jaccard similarity of at least ``threshold``.
 
     Out: (id_a, id_b, overlap, jaccard), id_a < id_b.  With ``distinct=False``
-    a pair appears once per signature its sets share.  ``split_rows``,
-    ``hot_rows`` and ``block_rows`` bound what one task handles; they do not
-    change the result.
+    a pair appears once per signature its sets share.  ``unique`` promises that
+    no (set, item) row repeats.  ``split_rows``, ``hot_rows`` and ``block_rows``
+    bound what one task handles; they do not change the result.
     """
     scheme = Scheme(threshold, signature_size, length_classes, order, prefix_items)
-    prepared = prepare(item_rows(df, set_col, item_col), scheme, split_rows)
+    rows = item_rows(df, set_col, item_col)
+    prepared = prepare(rows if unique else unique_rows(rows), scheme, split_rows)
     found = similar_sets(prepared, scheme, split_rows, hot_rows, block_rows)
     if prepared.members is None:
         pairs = times_found(found, scheme).select(
@@ -476,7 +482,7 @@ def similar_groups(
     where the list of all pairs grows with the square of a group.
     """
     scheme = Scheme(threshold)
-    rows = item_rows(df, set_col, item_col)
+    rows = unique_rows(item_rows(df, set_col, item_col))
     prepared = prepare(rows, scheme, split_rows)
     found = similar_sets(prepared, scheme, split_rows, **bounds)
     pairs = found.select(
@@ -491,8 +497,8 @@ def similar_groups(
 
 
 def set_groups(rows: DataFrame) -> DataFrame:
-    """Group of equal sets each set belongs to: (set_id, rep, copies)."""
-    profile = content_profile(rows.dropDuplicates(["set_id", "item"]))
+    """Group of equal sets each set belongs to, from unique rows: (set_id, rep, copies)."""
+    profile = content_profile(rows)
     groups = content_groups(profile)
     return profile.join(groups, ["n", "h1", "h2"]).select("set_id", "rep", "copies")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearset.functions import sets as S
-from nearset.operators.itemsets import SPLIT_ROWS, item_rows
+from nearset.operators.itemsets import SPLIT_ROWS, item_rows, unique_rows
 from nearset.operators.signatures import Scheme, rank_items, signature_rows
 from nearset.operators.simjoin import prepare, similar_sets, times_copied, times_found
 
@@ -67,8 +67,9 @@ def join_stats(
     1 - distinct_pairs / emitted, NULL when there are no pairs.
     """
     scheme = Scheme(threshold, signature_size, length_classes, order, prefix_items)
-    rows = item_rows(df, set_col, item_col)
-    signed = signature_rows(rank_items(rows, order, split_rows), scheme, split_rows)
+    rows = unique_rows(item_rows(df, set_col, item_col))
+    ranked = rank_items(rows, order, split_rows, unique=True)
+    signed = signature_rows(ranked, scheme, split_rows)
 
     prepared = prepare(rows, scheme, split_rows)
     found = times_found(similar_sets(prepared, scheme, split_rows), scheme)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearset.functions import text as T
+from nearset.runtime import write_once
 
 # Longest piece of a token that is looked up whole; longer terms are found by
 # their first characters and then compared.
@@ -124,7 +125,9 @@ def substring_counts(docs: DataFrame, tokens: DataFrame) -> DataFrame:
         term_counts(tokenize(docs)).select("doc_id", F.col("term").alias("token"), "cnt")
     )
     terms = term_counts(tokens).drop("cnt")
-    inside = contained_terms(words.select("token").distinct(), vocabulary(terms))
+    # written, so that the joins with them are planned by their size
+    tokens = write_once(words.select("token").distinct(), "tokens")
+    inside = contained_terms(tokens, write_once(vocabulary(terms), "terms"))
     return (
         words.join(inside, "token")
         .join(terms, ["doc_id", "term"])
@@ -143,7 +146,7 @@ def incidence(docs: DataFrame, mode: str = "token") -> DataFrame:
     held = tokenize(docs, on_whitespace=True).select("doc_id", "term").distinct()
     if mode == "token":
         return held
-    words = vocabulary(held)
+    words = write_once(vocabulary(held), "terms")
     inside = contained_terms(words.withColumnRenamed("term", "token"), words)
     return (
         held.withColumnRenamed("term", "token")
@@ -213,5 +216,6 @@ def render_documents(weights: DataFrame) -> DataFrame:
 
 
 def document_items(docs: DataFrame) -> DataFrame:
-    """Documents as bags of lower-cased words, ready for the join: (doc_id, term)."""
-    return tokenize(docs).select("doc_id", "term")
+    """Documents as sets of lower-cased words: (doc_id, term), each once."""
+    words = docs.select("doc_id", F.array_distinct(_words(F.lower("text"), False)).alias("words"))
+    return words.select("doc_id", F.explode("words").alias("term"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brute_force import signature_join, signatures, similar_pairs
 from nearset.operators import simjoin
-from nearset.operators.itemsets import item_rows
+from nearset.operators.itemsets import item_rows, unique_rows
 from nearset.operators.signatures import Scheme, make_signatures, rank_items
 from nearset.operators.simjoin import similar_groups, similarity_join
 from nearset.operators.stats import join_stats, pair_counts
@@ -115,7 +115,7 @@ def test_hot_item_of_a_third_of_all_sets(spark):
 
     # with one shared item not enough, splitting leaves no candidate in the hot bucket
     scheme = Scheme(0.5)
-    prepared = simjoin.prepare(item_rows(df, "user", "movie"), scheme)
+    prepared = simjoin.prepare(unique_rows(item_rows(df, "user", "movie")), scheme)
     plain = simjoin.candidates(prepared.sets, scheme, hot_rows=10**6)
     split = simjoin.candidates(prepared.sets, scheme, hot_rows=10, block_rows=7)
     assert split.count() <= plain.count()
