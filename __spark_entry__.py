@@ -162,7 +162,8 @@ def _words(**options):
 
 
 def _words_per_document(spark, sf_dir):
-    return text.term_counts(_words()(spark, sf_dir)).select("doc_id", "n_words").distinct()
+    counts = text.term_counts(_words(by_document=True)(spark, sf_dir))
+    return counts.select("doc_id", "n_words").distinct()
 
 
 def _weights(**options):
@@ -338,8 +339,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vocabulary": lambda s, d: text.vocabulary(_words()(s, d)),
         "document_count": lambda s, d: text.document_count(_docs(s, d)),
         "words_per_document": _words_per_document,
-        "term_counts": lambda s, d: text.term_counts(_words()(s, d)),
-        "doc_frequency": lambda s, d: text.doc_frequency(text.term_counts(_words()(s, d))),
+        "term_counts": lambda s, d: text.term_counts(_words(by_document=True)(s, d)),
+        "doc_frequency": lambda s, d: text.doc_frequency(text.term_counts(_words(by_document=True)(s, d))),
         "incidence": _incidence("token"),
         "incidence_substring": _incidence("substring"),
         "incidence_vectors": _incidence_vectors,

@@ -33,6 +33,7 @@ def tokenize(
     drop_noise: bool = False,
     lower_first: bool = True,
     on_whitespace: bool = False,
+    by_document: bool = False,
 ) -> DataFrame:
     """Words of each document, one row per occurrence: (doc_id, n_words, term).
 
@@ -64,8 +65,7 @@ def remove_stopwords(tokens: DataFrame, stop_words: DataFrame, column: str = "te
 def term_counts(tokens: DataFrame) -> DataFrame:
     """Occurrences of each term in each document: (doc_id, n_words, term, cnt).
 
-    All words of a document start in one task, so the map-side combine already
-    leaves one row per document and term before the shuffle.
+    Words that were cut ``by_document`` are counted where they are.
     """
     return tokens.groupBy("doc_id", "n_words", "term").agg(F.count("*").alias("cnt"))
 
@@ -121,18 +121,19 @@ def substring_counts(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     No term holds a space, so its non-overlapping occurrences in the lower-cased
     text are those in the single words, summed.
     """
-    words = (
-        term_counts(tokenize(docs)).select("doc_id", F.col("term").alias("token"), "cnt")
+    words = term_counts(tokenize(docs, by_document=True)).select(
+        "doc_id", F.col("term").alias("token"), "cnt"
     )
     terms = term_counts(tokens).drop("cnt")
     # written, so that the joins with them are planned by their size
-    tokens = write_once(words.select("token").distinct(), "tokens")
-    inside = contained_terms(tokens, write_once(vocabulary(terms), "terms"))
+    all_words = write_once(words.select("token").distinct(), "tokens")
+    inside = contained_terms(all_words, write_once(vocabulary(terms), "terms"))
     return (
         words.join(inside, "token")
-        .join(terms, ["doc_id", "term"])
-        .groupBy("doc_id", "n_words", "term")
+        .groupBy("doc_id", "term")
         .agg(F.sum(F.col("cnt") * F.col("matches")).alias("cnt"))
+        .join(terms, ["doc_id", "term"])
+        .select("doc_id", "n_words", "term", "cnt")
     )
 
 
@@ -143,11 +144,14 @@ def incidence(docs: DataFrame, mode: str = "token") -> DataFrame:
     """
     if mode not in ("token", "substring"):
         raise ValueError(f"unknown incidence mode: {mode!r}")
-    held = tokenize(docs, on_whitespace=True).select("doc_id", "term").distinct()
+    words = F.array_distinct(_words(F.lower("text"), on_whitespace=True))
+    held = docs.select("doc_id", words.alias("words")).select(
+        "doc_id", F.explode("words").alias("term")
+    )
     if mode == "token":
         return held
-    words = write_once(vocabulary(held), "terms")
-    inside = contained_terms(words.withColumnRenamed("term", "token"), words)
+    terms = write_once(vocabulary(held), "terms")
+    inside = contained_terms(terms.withColumnRenamed("term", "token"), terms)
     return (
         held.withColumnRenamed("term", "token")
         .join(inside, "token")
@@ -188,7 +192,7 @@ def tf_idf(
     """
     if weighting not in ("standard", "reference") or count_mode not in ("token", "substring"):
         raise ValueError(f"unknown weighting or count mode: {weighting!r}, {count_mode!r}")
-    tokens = tokenize(docs, stop_words, drop_noise, lower_first)
+    tokens = tokenize(docs, stop_words, drop_noise, lower_first, by_document=True)
     counts = term_counts(tokens) if count_mode == "token" else substring_counts(docs, tokens)
     n_docs = document_count(docs).scalar()
     cnt, df = F.col("cnt"), F.col("df")

@@ -57,9 +57,11 @@ def test_task_bounds_do_not_change_the_result(spark, threshold, size):
         assert set(bag) == set(similar_pairs(rows, threshold))
 
 
-@pytest.mark.parametrize("mode", [None, "reference", "complete"])
-@pytest.mark.parametrize("size", [1, 2, 3])
-def test_bag_and_statistics(spark, mode, size):
+MODES = [(1, None), (1, "reference"), (2, None), (2, "complete"), (3, "reference")]
+
+
+@pytest.mark.parametrize("size, mode", MODES)
+def test_bag_and_statistics(spark, size, mode):
     rows = family(5, copies=4)
     threshold = 0.5
     bag, comparisons = signature_join(rows, threshold, size, mode)
@@ -152,8 +154,7 @@ def test_one_huge_set(spark):
     assert sorted(ranked.collect()) == sorted(whole.collect())
 
 
-@pytest.mark.parametrize("size", [1, 2, 3])
-@pytest.mark.parametrize("mode", [None, "reference", "complete"])
+@pytest.mark.parametrize("size, mode", MODES)
 def test_signature_text(spark, size, mode):
     rows = family(2, users=25)
     expected = Counter()
