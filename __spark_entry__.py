@@ -30,6 +30,15 @@ from nearset.plans import programs  # noqa: E402
 from nearset.runtime import shared_folder  # noqa: E402
 from nearset.sources import readers, writers  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from nearset.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    # without the subpackage its queries are not registered; other failures count
+    if missing.name not in ("corpus_pipeline", "nearset.llm"):
+        raise
+    llm_queries = None
+
 # a short stop list over the languages of the documents
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "de", "la", "le", "der", "die", "und"]
 
@@ -369,7 +378,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pair_files_text": _pair_files("text"),
         "pair_files_csv": _pair_files("csv"),
         "similar_users_from_files": _similar_users,
-    }
+    } | ({} if llm_queries is None else llm_queries.queries() | {"pipeline": corpus_pipeline.run})
 
 
 # --- SQL -------------------------------------------------------------------
@@ -682,4 +691,4 @@ def oracle_sql() -> dict[str, str]:
         ),
         "pair_files_csv": joined[0.9],
         "similar_users_from_files": joined[0.5],
-    }
+    } | ({} if llm_queries is None else llm_queries.oracle_sql())
