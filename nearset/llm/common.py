@@ -66,3 +66,25 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "r
         .withColumn(name, (F.col("first") + F.col("inside")).cast("bigint"))
         .drop("first", "inside")
     )
+
+
+def sums_before(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """Add, for each name of ``values``, the sum of its column over all earlier rows.
+
+    Rows are ordered by ``part`` and then by ``order``, which must order the rows of
+    a part fully.  A part is summed by one task, so parts must be of bounded size;
+    of the parts only their totals meet.
+    """
+    from pyspark.sql import Window as W
+
+    total = [F.sum(v).alias(f"{k}_all") for k, v in values.items()]
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = df.groupBy("part").agg(*total)
+    starts = starts.select(
+        "part", *[F.coalesce(F.sum(f"{k}_all").over(earlier), F.lit(0)).alias(f"{k}_all") for k in values]
+    )
+    inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = df.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in values.items()})
+    out = summed.join(starts, "part")
+    added = {k: (F.col(k) + F.col(f"{k}_all")).cast("bigint") for k in values}
+    return out.withColumns(added).drop(*[f"{k}_all" for k in values])

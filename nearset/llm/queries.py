@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearset.llm import packing, token_counts, token_files
 from nearset.llm.common import table
 from nearset.llm.minhash import near_duplicates
+from nearset.runtime import shared_folder, write_once
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
+    return token_files.token_starts(token_files.read_tokens(spark, path))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lengths = token_counts.encoded_lengths(docs, tokenizer("byte_bpe_50k.json"))
+    # the histogram is used several times, the texts are encoded once
+    histogram = write_once(token_counts.length_histogram(lengths), "histogram")
+    return token_counts.length_totals(histogram)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), 2048)
+    return packing.pack(pieces, 2048, ["doc_id", "piece"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op5_token_files": op5_token_files,
+        "op6_token_counts": op6_token_counts,
+        "op9_packing": op9_packing,
     }
 
 
