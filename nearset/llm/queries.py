@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nearset.llm import packing, token_counts, token_files
 from nearset.llm.common import table
 from nearset.llm.minhash import near_duplicates
+from nearset.llm.rules import quality_rules
 from nearset.runtime import shared_folder, write_once
 
 
@@ -17,6 +18,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -46,6 +52,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_quality_rules": op2_quality_rules,
         "op5_token_files": op5_token_files,
         "op6_token_counts": op6_token_counts,
         "op9_packing": op9_packing,
