@@ -8,9 +8,11 @@
    signatures of a link are compared; what may reach the threshold is confirmed on
    the full shingle sets.  Links give components by large-star and small-star.
 4. Round two looks at buckets that still hold several components: pairs of nodes of
-   different components, in blocks, again by signature and then on full sets.  So a
-   bucket of near copies costs one link a node, and no link between components is
-   lost.
+   different components, in blocks, again by signature and then on full sets.  Two
+   nodes share at most what either shares with any node there, which an exact count
+   of the shingles held once tells; pairs below the threshold by that bound are not
+   made.  So a bucket of near copies costs one link a node, and no link between
+   components is lost.
 """
 
 from __future__ import annotations
@@ -170,15 +172,14 @@ def _may_link(nodes_a: str, nodes_b: str, threshold: float, minima: int) -> Colu
     return sizes & (bits <= most_unequal(threshold, minima))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets have 100 * shared >= percent * union.
+def sets_of(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Whole shingle sets of ``nodes`` (doc_id), written once; only their texts are cut again."""
+    wanted = write_once(nodes.distinct(), "wanted")
+    return write_once(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
 
-    Only texts of nodes in a pair are cut again.
-    """
-    ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
-    wanted = write_once(ends.distinct(), "wanted")
-    chosen = docs.join(wanted, "doc_id", "left_semi")
-    sets = write_once(shingle_sets(chosen, words), "sets")
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets have 100 * shared >= percent * union."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -193,6 +194,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     )
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a node no other node of ``sets`` has."""
+    rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    holders = rows.groupBy("shingle").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other"))
+    alone = holders.where("node = other")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -234,12 +243,12 @@ def near_duplicates(
         "nodes",
     )
     node_texts = docs.where(F.col("doc_id").isNotNull())
+    # an id that names several sets is one node through its rows
+    several = usable.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+    several = write_once(several.where("low < high").select("doc_id"), "several")
     held = nodes.select("node", F.explode("bands").alias("bucket"))
     about = nodes.select("node", "n", "bits")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        return confirmed(write_once(pairs, "pairs"), node_texts, words, percent)
-
     # round one: a star in each bucket
     shared = held.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     shared = write_once(shared.where("a < z").select("bucket", "a"), "buckets")
@@ -251,7 +260,9 @@ def near_duplicates(
         .where(_may_link("x", "y", threshold, minima))
         .select("a", "b")
     )
-    links = write_once(checked(stars), "links")
+    stars = write_once(stars, "pairs")
+    ends = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id")))
+    links = write_once(confirmed(stars, sets_of(ends, node_texts, words), percent), "links")
     found = write_once(connected_components(links), "components")
 
     # round two: what is still apart in a bucket
@@ -264,14 +275,21 @@ def near_duplicates(
     )
     apart = write_once(apart.where("low < high").select("bucket", "size"), "apart")
     n_blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    inside = write_once(placed.join(apart, "bucket"), "inside")
+    # what no other node here has bounds what two nodes can share
+    sets = sets_of(inside.select(F.col("node").alias("doc_id")), node_texts, words)
+    own = own_shingles(sets.join(several, "doc_id", "left_anti"))
+    bounded = about.join(own, "node", "left").select(
+        "node", "n", "bits", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")
+    )
     inside = (
-        placed.join(apart, "bucket")
-        .join(about, "node")
+        inside.join(bounded, "node")
+        .where(F.col("most") * 100 >= F.col("n") * percent)
         .withColumn("blocks", n_blocks)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    mine = ["bucket", "node", "component", "n", "bits", "block"]
+    mine = ["bucket", "node", "component", "n", "bits", "most", "block"]
     meeting = inside.select(*mine, other).select(
         *mine, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
@@ -286,16 +304,16 @@ def near_duplicates(
         # a pair of one block meets in that block's own key only
         & ((F.col("x.block") != F.col("y.block")) | (F.col("x.i") == F.col("x.j")))
     )
+    most = F.least("x.most", "y.most")
+    together &= most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
     crossing = (
         x.join(y, together & _may_link("x", "y", threshold, minima))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
-    more = write_once(checked(crossing), "links")
-    # an id that names several sets is one node through its rows
+    more = write_once(confirmed(write_once(crossing, "pairs"), sets, percent), "links")
     named = usable.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node")
-    twice = usable.groupBy("doc_id").agg(F.min("h1").alias("l"), F.max("h1").alias("m"))
-    twice = named.join(twice.where("l < m").select("doc_id"), "doc_id", "left_semi")
+    twice = named.join(several, "doc_id", "left_semi")
     twice = twice.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     if not more.unionAll(twice).isEmpty():
         found = write_once(connected_components(links.unionAll(more).unionAll(twice)), "components")
