@@ -14,24 +14,32 @@ they are, so the ids are always those of the library.
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
 import re
+import sys
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that a worker keeps, at most.
 CHUNKS_KEPT = 1 << 20
+#: Bytes of text that are encoded together: the more, the fewer look-ups.
+TOGETHER = 1 << 24
+_START = "\0"
 _UNUSUAL = re.compile(r"[^\n\x20-\x7e¡-įı-ɏ]")
 _WORD_AND_MARK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,])")
 
 
 class Encoder(dict):
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit numbers.
+    """``encode(texts)`` gives the ids of texts.
 
-    As a dictionary it maps a chunk to its ids; the chunks are dropped when there
-    are more than CHUNKS_KEPT.  Strings of special tokens in a text are ordinary text
+    As a dictionary it maps a chunk to its ids, as little-endian unsigned 32-bit
+    numbers; the chunks are dropped when there are more than CHUNKS_KEPT.  Strings of special tokens in a text are ordinary text
     unless ``special_tokens``.
     """
 
@@ -59,32 +67,80 @@ class Encoder(dict):
         )
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CHUNKS_KEPT:
             self.clear()
-        if m := _WORD_AND_MARK.fullmatch(chunk):
+        if not chunk:
+            ids = b""
+        elif m := _WORD_AND_MARK.fullmatch(chunk):
             ids = self[m[1]] + self._ids(m[2])
-        elif self.byte_level and chunk[:1] != "\n":
+        elif chunk[0] == _START:
+            ids = self._ids(chunk[1:])
+        elif self.byte_level and chunk[0] != "\n":
             ids = self._ids(" " + chunk)
         else:
             ids = self._ids(chunk)
         self[chunk] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def _prepared(self, text: str) -> str | None:
+        """The text with a space before each chunk but the first; None if the library must take it whole."""
         if _UNUSUAL.search(text) or any(s in text for s in self.special):
-            return self._ids(text)
+            return None
         if self.drops_space:
-            return b"".join(map(self.__getitem__, text.lower().split()))
+            return text.lower().replace("\n", " ")
         runs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-        if not self.byte_level or runs or text[0] in " \n" or text[-1] in " \n":
-            return self._ids(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._ids(first) + b"".join(map(self.__getitem__, rest))
+        if not self.byte_level or runs or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+            return None if text else ""
+        return (_START + text.replace("\n", " \n")) if text else ""
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; ``end_id`` ends each text.
+
+        Chunks are looked up once for a call, however often they come in it.
+        """
+        if not texts:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        prepared = [self._prepared(t) for t in texts]
+        lists = pc.split_pattern(pa.array([p or "" for p in prepared], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        at = np.asarray(lists.offsets)[:-1]
+        index = np.asarray(coded.indices)
+        if None in prepared:
+            # one entry more for each text that goes to the library whole
+            index = index.copy()
+            for i, p in enumerate(prepared):
+                if p is None:
+                    index[at[i]] = len(parts)
+                    parts.append(self._ids(texts[i]))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        n = size[index]
+        counts = np.add.reduceat(n, at)
+        ids = flat[np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        if end_id is not None:
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+        return ids, counts
+
+
+def gathered(batches: Iterator[pa.RecordBatch], chars: int = TOGETHER) -> Iterator[pa.Table]:
+    """Batches with ``text`` put together until they hold about ``chars`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= chars:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 @functools.lru_cache(maxsize=2)

@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearset.llm.common import ready, row_numbers, texts
-from nearset.llm.encode import encoder
+from nearset.llm.encode import encoder, gathered
 from nearset.runtime import write_once
 
 GROUPS = 64
@@ -175,23 +176,29 @@ def token_pieces(
     A document longer than ``capacity`` is cut every ``capacity`` ids.  Null and empty
     texts are the end id alone.  ``part`` numbers the batches of rows made together.
     """
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode(text) + end
-                for piece, i in enumerate(range(0, len(ids), 4 * capacity)):
-                    one = ids[i : i + 4 * capacity]
-                    out.append((doc_id, piece, i // 4, len(one) // 4, zlib.crc32(one)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+        for table in gathered(batches):
+            ids, counts = encode(table.column("text").to_pylist(), end_id)
+            pieces = -(-counts // capacity)
+            doc = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(counts[doc] - start, capacity)
+            at = np.cumsum(length) - length
+            sums = [zlib.crc32(ids[i : i + n]) for i, n in zip(at.tolist(), length.tolist())]
+            columns = [
+                table.column("doc_id").take(pa.array(doc)),
+                pa.array(piece, pa.int32()),
+                pa.array(start),
+                pa.array(length),
+                pa.array(sums, pa.int64()),
+            ]
+            yield from pa.table(columns, ["doc_id", "piece", "start", "length", "ids_crc32"]).to_batches()
 
     ready(docs.sparkSession)
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = texts(docs, id_col, text_col).mapInPandas(run, schema)
+    pieces = texts(docs, id_col, text_col).mapInArrow(run, schema)
     return pieces.withColumn("part", F.spark_partition_id())
 
 

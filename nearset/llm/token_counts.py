@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearset.llm.common import ready, sums_before, texts
-from nearset.llm.encode import encoder
+from nearset.llm.encode import encoder, gathered
 
 #: Lengths of one part of the histogram when it is summed.
 PART = 1024
@@ -20,14 +20,15 @@ def encoded_lengths(
 ) -> DataFrame:
     """(doc_id, n_tokens) of every whole text; a null text is empty, ``end`` counts one more."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            n = [len(encode(text)) // 4 + end for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n})
+        for table in gathered(batches):
+            _, n = encode(table.column("text").to_pylist())
+            columns = [table.column("doc_id"), pa.array(n + end)]
+            yield from pa.table(columns, ["doc_id", "n_tokens"]).to_batches()
 
     ready(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id bigint, n_tokens bigint")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

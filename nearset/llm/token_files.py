@@ -18,23 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearset.llm.common import ready, sums_before, texts
-from nearset.llm.encode import encoder
+from nearset.llm.encode import encoder, gathered
 
 
 def token_lists(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
     """(doc_id, n_tokens, tokens) of (doc_id, text); ``end_id`` ends each document."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            ids = [encode(text) + end for text in batch.column("text").to_pylist()]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        for table in gathered(batches):
+            ids, n = encode(table.column("text").to_pylist(), end_id)
             places = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(places), values)
-            columns = [batch.column("doc_id"), pa.array(n), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "tokens"])
+            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(ids.astype(np.int32)))
+            columns = [table.column("doc_id"), pa.array(n), lists]
+            yield from pa.table(columns, ["doc_id", "n_tokens", "tokens"]).to_batches(1024)
 
     ready(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>")
