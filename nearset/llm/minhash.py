@@ -8,11 +8,10 @@
    signatures of a link are compared; what may reach the threshold is confirmed on
    the full shingle sets.  Links give components by large-star and small-star.
 4. Round two looks at buckets that still hold several components: pairs of nodes of
-   different components, in blocks, again by signature and then on full sets.  Two
-   nodes share at most what either shares with any node there, which an exact count
-   of the shingles held once tells; pairs below the threshold by that bound are not
-   made.  So a bucket of near copies costs one link a node, and no link between
-   components is lost.
+   different components, in blocks, again by signature and then on full sets.  Counts
+   of the shingles of a set in CLASSES classes bound exactly what two sets can share;
+   pairs below the threshold by that bound are not made.  So a bucket of near copies
+   costs one link a node, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +34,8 @@ MINIMA = 256
 MISSED = 1e-6
 #: Nodes of a bucket that meet in one block of round two.
 BLOCK = 256
+#: Classes of shingles, whose counts bound what two sets share.
+CLASSES = 128
 _WORDS_KEPT = 1 << 20
 _SEED = 20_240_229
 
@@ -148,15 +149,17 @@ def profiles(docs: DataFrame, words: int, minima: int, bands: int, rows: int) ->
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles) with the whole sorted set of each text."""
+    """(doc_id, shingles, classes): the whole sorted set of each text, and how many of it in each class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler(text).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
+            sets = [shingler(text) for text in batch["text"]]
+            classes = [np.bincount(s.astype(np.int64) & (CLASSES - 1), minlength=CLASSES) for s in sets]
+            lists = [s.view(np.int64) for s in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": lists, "classes": classes})
 
-    return docs.mapInPandas(run, "doc_id bigint, shingles array<bigint>")
+    return docs.mapInPandas(run, "doc_id bigint, shingles array<bigint>, classes array<int>")
 
 
 def _unequal_bits(a: str, b: str, longs: int) -> Column:
@@ -194,14 +197,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of a node no other node of ``sets`` has."""
-    rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
-    holders = rows.groupBy("shingle").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other"))
-    alone = holders.where("node = other")
-    return alone.groupBy("node").agg(F.count("*").alias("own"))
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -246,13 +241,13 @@ def near_duplicates(
     # an id that names several sets is one node through its rows
     several = usable.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
     several = write_once(several.where("low < high").select("doc_id"), "several")
-    held = nodes.select("node", F.explode("bands").alias("bucket"))
+    held = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     about = nodes.select("node", "n", "bits")
 
     # round one: a star in each bucket
     shared = held.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     shared = write_once(shared.where("a < z").select("bucket", "a"), "buckets")
-    in_buckets = write_once(held.join(shared, "bucket").select("bucket", "a", "node"), "held")
+    in_buckets = write_once(held.join(shared, "bucket").select("bucket", "band", "a", "node"), "held")
     stars = in_buckets.where("node > a").select("a", F.col("node").alias("b")).distinct()
     stars = (
         stars.join(about.alias("x"), F.col("a") == F.col("x.node"))
@@ -267,7 +262,7 @@ def near_duplicates(
 
     # round two: what is still apart in a bucket
     placed = in_buckets.join(found, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+        "bucket", "band", "node", F.coalesce("component", "node").alias("component")
     )
     placed = write_once(placed, "placed")
     apart = placed.groupBy("bucket").agg(
@@ -276,20 +271,18 @@ def near_duplicates(
     apart = write_once(apart.where("low < high").select("bucket", "size"), "apart")
     n_blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     inside = write_once(placed.join(apart, "bucket"), "inside")
-    # what no other node here has bounds what two nodes can share
     sets = sets_of(inside.select(F.col("node").alias("doc_id")), node_texts, words)
-    own = own_shingles(sets.join(several, "doc_id", "left_anti"))
-    bounded = about.join(own, "node", "left").select(
-        "node", "n", "bits", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")
+    classes = sets.join(several, "doc_id", "left_anti").select(
+        F.col("doc_id").alias("node"), "classes"
     )
+    counted = nodes.join(classes.dropDuplicates(["node"]), "node", "left")
     inside = (
-        inside.join(bounded, "node")
-        .where(F.col("most") * 100 >= F.col("n") * percent)
+        inside.join(counted.select("node", "n", "bits", "bands", "classes"), "node")
         .withColumn("blocks", n_blocks)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    mine = ["bucket", "node", "component", "n", "bits", "most", "block"]
+    mine = ["bucket", "band", "node", "component", "n", "bits", "bands", "classes", "block"]
     meeting = inside.select(*mine, other).select(
         *mine, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
@@ -304,10 +297,15 @@ def near_duplicates(
         # a pair of one block meets in that block's own key only
         & ((F.col("x.block") != F.col("y.block")) | (F.col("x.i") == F.col("x.j")))
     )
-    most = F.least("x.most", "y.most")
-    together &= most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
+    # two sets share no more than the smaller count of each class
+    fewer = F.zip_with("x.classes", "y.classes", lambda p, q: F.least(p, q))
+    most = F.aggregate(fewer, F.lit(0), lambda total, k: total + k)
+    enough = F.coalesce(most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent, F.lit(True))
+    # the first bucket that two nodes share makes their pair
+    earlier = [F.slice(f"{side}.bands", F.lit(1), F.col("x.band")) for side in ("x", "y")]
+    first_here = ~F.exists(F.zip_with(*earlier, lambda p, q: p == q), lambda same: same)
     crossing = (
-        x.join(y, together & _may_link("x", "y", threshold, minima))
+        x.join(y, together & _may_link("x", "y", threshold, minima) & first_here & enough)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
