@@ -6,11 +6,14 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearset.llm import packing, token_counts, token_files
-from nearset.llm.common import table
+from nearset.llm.common import remainder, table
+from nearset.llm.gbdt import quality_scores
 from nearset.llm.minhash import near_duplicates
 from nearset.llm.rules import quality_rules
+from nearset.llm.toxicity import toxicity_scores
 from nearset.runtime import shared_folder, write_once
 
 
@@ -43,6 +46,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_totals(histogram)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return quality_scores(docs, labels, ~held_out).withColumn("held_out", held_out)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    return toxicity_scores(docs, labels, ~held_out).withColumn("held_out", held_out)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), 2048)
@@ -55,7 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op5_token_files": op5_token_files,
         "op6_token_counts": op6_token_counts,
+        "op7_quality_classifier": op7_quality_classifier,
         "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
