@@ -4,22 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearset.llm.common import kept_rows, table
+from nearset.llm.decontaminate import clean_documents
+from nearset.llm.gbdt import quality_scores
 from nearset.llm.minhash import near_duplicates
+from nearset.llm.packing import pack, token_pieces
+from nearset.llm.queries import tokenizer
+from nearset.llm.rules import quality_rules
+from nearset.runtime import write_once
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trees score below 0.7 go."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return kept_rows(docs, scored.where("predicted = 0"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or a learned one go."""
+    judged, _ = quality_rules(docs, table(spark, sf_dir, "labels"))
+    return kept_rows(docs, judged.where("NOT kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    """One document of each group of near copies stays; of rows with one id, one."""
+    linked = near_duplicates(docs, words=5, percent=80)
+    rest = kept_rows(docs, linked.where("NOT kept"))
+    again = write_once(
+        linked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again"
+    )
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept_rows(rest, again).unionByName(once.select(rest.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, each with its sequence and place."""
+    return pack(token_pieces(docs, tokenizer("word_bpe_49k.json"), 2048), 2048, ["doc_id", "piece"])
 
 
-STAGES = [("near_copies", near_copies)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", rules),
+    ("near_duplicates", near_copies),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
+#: Models and tokenizers have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_once(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearset.runtime import write_once
+
 #: Word separators, as a Java and SQL character class: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -24,6 +26,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def kept_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without those whose doc_id is in ``gone``; rows without an id stay.
+
+    The ids are written first, so that Spark sees their size before it joins.
+    """
+    ids = write_once(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+
+
 def ready(spark: SparkSession, rows: int = 256) -> None:
     """Before texts go to Python workers.
 
