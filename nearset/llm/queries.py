@@ -12,6 +12,7 @@ from nearset.llm import chat, packing, token_counts, token_files
 from nearset.llm.common import remainder, table
 from nearset.llm.decontaminate import contaminated
 from nearset.llm.gbdt import quality_scores
+from nearset.llm.maxent import language_scores
 from nearset.llm.minhash import near_duplicates
 from nearset.llm.rules import quality_rules
 from nearset.llm.toxicity import toxicity_scores
@@ -27,6 +28,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    scored = language_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_quality_rules": op2_quality_rules,
+        "op3_language_model": op3_language_model,
         "op4_decontamination": op4_decontamination,
         "op5_token_files": op5_token_files,
         "op6_token_counts": op6_token_counts,
