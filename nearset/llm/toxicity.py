@@ -87,7 +87,7 @@ class Scorer(dict):
         return v
 
     def score(self, text: str) -> float:
-        words = words_of(text)
+        words = words_of(text) if len(self.model.weight) else {}
         logit = self.model.bias
         if words:
             values = np.fromiter(map(self.__getitem__, words), float, len(words)) / TEMPER
@@ -101,12 +101,12 @@ def train(
 ) -> Model:
     """Fit embeddings and softmax together by full-batch AdaGrad steps over all words.
 
-    Clean texts weigh three times as much as toxic ones in sum.  Without both classes the model says 0.5 everywhere; so
-    do texts without words then.
+    Clean texts weigh three times as much as toxic ones in sum.  Without both classes the
+    model says 0.5 everywhere.
     """
     y = np.asarray(toxic, float)
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros(buckets), 0.0)
+        return Model(np.zeros(0), 0.0)
     index: dict[str, int] = {}
     ids, times, owner = [], [], []
     for i, text in enumerate(sample):
