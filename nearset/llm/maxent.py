@@ -31,8 +31,9 @@ from nearset.llm.common import ready, texts
 from nearset.llm.encode import gathered
 from nearset.runtime import write_once
 
-#: Bytes of text in a chunk.
-CHUNK = 1 << 22
+#: Bytes of text in a chunk, and documents' tokens that are worked on together.
+CHUNK = 3 << 23
+TOGETHER = 1 << 19
 #: Words that come more often than once in so many are modelled one by one.
 HEAD_SHARE = 2000
 #: Members of a class of such words.
@@ -40,7 +41,7 @@ CLASS_SIZE = 16
 #: Classes by count: unseen, 1, 2-3, 4-7, ...
 TAIL_CLASSES = 48
 #: Rows of hashed weights, for classes and for members of classes.
-CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 11
+CLASS_ROWS, MEMBER_ROWS = 1 << 12, 1 << 9
 BATCH = 8192
 
 
@@ -51,43 +52,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, table in enumerate(gathered(batches, CHUNK)):
         raw = [t.encode("utf-8", "replace").lower() for t in table.column("text").to_pylist()]
         lists = pc.ascii_split_whitespace(pa.array(raw, pa.binary()).cast(pa.large_string()))
+        del raw
         coded = lists.flatten().dictionary_encode()
-        words, ids, ends = coded.dictionary.to_pylist(), np.asarray(coded.indices), np.asarray(lists.offsets)
-        real = np.ones(len(ids), bool)
-        if "" in words:
-            real = ids != words.index("")
-        sums = np.concatenate([[0], np.cumsum(real)])
-        n = np.diff(sums[ends])
+        words, ids, ends = coded.dictionary.cast(pa.string()), np.asarray(coded.indices), np.asarray(lists.offsets)
+        nothing = pc.index(words, "").as_py()  # between separators that follow each other
+        real = ids != nothing
+        n = np.diff(np.concatenate([[0], np.cumsum(real)])[ends])
         ids = ids[real]
         train = np.asarray(table.column("train").to_pylist(), bool)
         seen = np.bincount(ids[np.repeat(train, n)], minlength=len(words))
-        row = {
-            "chunk": (part << 32) + number,
-            "doc_ids": table.column("doc_id").to_pylist(),
-            "train": train.tolist(),
-            "n_words": n,
-            "ids": ids,
-            "words": words,
-            "seen": seen,
-        }
-        yield pa.RecordBatch.from_pylist([row], schema=_CHUNK_SCHEMA)
-
-
-_CHUNK_SCHEMA = pa.schema(
-    {
-        "chunk": pa.int64(),
-        "doc_ids": pa.list_(pa.int64()),
-        "train": pa.list_(pa.bool_()),
-        "n_words": pa.list_(pa.int64()),
-        "ids": pa.list_(pa.int32()),
-        "words": pa.list_(pa.string()),
-        "seen": pa.list_(pa.int64()),
-    }
-)
+        lists = [table.column("doc_id").combine_chunks(), pa.array(train), pa.array(n), pa.array(ids), words, pa.array(seen)]
+        row = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+        yield pa.RecordBatch.from_arrays([pa.array([(part << 20) + number], pa.int64()), *row], _CHUNK_NAMES)
+
+
 _CHUNK_COLUMNS = (
     "chunk bigint, doc_ids array<bigint>, train array<boolean>, n_words array<bigint>, ids array<int>, "
     "words array<string>, seen array<bigint>"
 )
+_CHUNK_NAMES = [column.split()[0] for column in _CHUNK_COLUMNS.split(", ")]
 
 
 def tail_class(counts: np.ndarray) -> np.ndarray:
@@ -113,6 +96,19 @@ class Corpus:
         return np.append(np.arange(0, n, CLASS_SIZE), n)
 
 
+def document_tokens(corpus: Corpus, row: dict, only_train: bool) -> Iterator[Tokens]:
+    """The tokens of a chunk, some documents at a time."""
+    n, ids, counts = row["n_words"], row["ids"], row["counts"]
+    if only_train:
+        train = np.asarray(row["train"], bool)
+        ids, n, counts = ids[np.repeat(train, n)], n[train], np.maximum(counts - 1, 0)
+    ends = np.cumsum(n)
+    step = (ends + np.arange(1, len(n) + 1) - 1) // TOGETHER
+    for one in np.unique(step):
+        i, j = np.searchsorted(step, [one, one + 1])
+        yield Tokens(corpus, n[i:j], ids[ends[i] - n[i] : ends[j - 1]], counts, row["heads"])
+
+
 class Weights:
     """Rows of class weights and of member weights; the first row of each is for every context."""
 
@@ -128,17 +124,12 @@ class Weights:
 class Tokens:
     """The tokens of a chunk in order, each document with its end: counts, classes and features."""
 
-    def __init__(self, corpus: Corpus, row: dict, only_train: bool):
-        n, train = np.asarray(row["n_words"]), np.asarray(row["train"], bool)
-        ids, words = np.asarray(row["ids"]), row["words"]
-        counts = np.asarray(row["counts"], np.int64)
-        head = np.fromiter((corpus.head.get(w, -1) for w in words), np.int64, len(words))
-        if only_train:
-            ids, n, counts = ids[np.repeat(train, n)], n[train], np.maximum(counts - 1, 0)
+    def __init__(self, corpus: Corpus, n: np.ndarray, ids: np.ndarray, counts: np.ndarray, heads: np.ndarray):
+        """``n`` words of each document in ``ids``; ``counts`` and ``heads`` by id."""
         ends = np.cumsum(n)
         self.doc_tokens = n + 1
         self.count = np.insert(counts[ids], ends, corpus.documents)
-        self.head = np.insert(head[ids], ends, 0)
+        self.head = np.insert(heads[ids], ends, 0)
         n_head, n_classes = len(corpus.head_counts), len(corpus.bounds) - 1
         tail = tail_class(self.count)
         self.target = np.where(self.head >= 0, self.head // CLASS_SIZE, n_classes + tail)
@@ -225,17 +216,21 @@ def run_tokens(corpus: Corpus, classes: np.ndarray, members: np.ndarray, t: Toke
     return out / np.log(10)
 
 
-def _pylist(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows with numeric lists as arrays."""
+def _rows_of(batch: pa.RecordBatch, head: dict[str, int]) -> Iterator[dict]:
+    """Rows with numeric lists as arrays, and frequent words by their numbers."""
     for i in range(batch.num_rows):
-        row = {}
-        for name, column in zip(batch.schema.names, batch.columns):
-            value = column[i]
-            if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and name != "doc_ids":
-                row[name] = value.values.to_numpy(zero_copy_only=False)
-            else:
-                row[name] = value.as_py()
-        yield row
+        row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns)}
+        out = {"doc_ids": row["doc_ids"].as_py(), "train": row["train"].as_py()}
+        out |= {name: row[name].values.to_numpy(zero_copy_only=False) for name in ("n_words", "ids", "counts")}
+        coded = row["often"].values.dictionary_encode()
+        # a null, which stands for any other word, has no index
+        numbers = np.array([*(head.get(w, -1) for w in coded.dictionary.to_pylist()), -1], np.int64)
+        out["heads"] = numbers[coded.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)]
+        yield out
+
+
+_MOVES_COLUMNS = "which int, row int, n bigint, moved array<float>"
+_MOVES = pa.schema({"which": pa.int32(), "row": pa.int32(), "n": pa.int64(), "moved": pa.list_(pa.float32())})
 
 
 def _train_pass(chunks: DataFrame, corpus: Corpus, weights: Weights, rate: float) -> Weights:
@@ -246,8 +241,9 @@ def _train_pass(chunks: DataFrame, corpus: Corpus, weights: Weights, rate: float
         corpus, start = common.value
         learner = Learner(start, rate)
         for batch in batches:
-            for row in _pylist(batch):
-                run_tokens(corpus, *learner.weights, Tokens(corpus, row, True), learner)
+            for row in _rows_of(batch, corpus.head):
+                for t in document_tokens(corpus, row, True):
+                    run_tokens(corpus, *learner.weights, t, learner)
         for which, old in enumerate((start.classes, start.members)):
             met = np.flatnonzero(learner.met[which])
             n = learner.met[which][met]
@@ -256,16 +252,20 @@ def _train_pass(chunks: DataFrame, corpus: Corpus, weights: Weights, rate: float
             lists = pa.array(list(moved.astype(np.float32)), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*columns, lists], ["which", "row", "n", "moved"])
 
-    moves = chunks.mapInArrow(run, "which int, row int, n bigint, moved array<float>")
-    # the sum of all tasks' moves of a row, column by column
-    each = moves.select("which", "row", "n", F.posexplode("moved").alias("column", "moved"))
-    summed = each.groupBy("which", "row", "column").agg(
-        (F.sum("moved") / F.sum("n")).cast("float").alias("moved")
-    )
-    lists = summed.groupBy("which", "row").agg(
-        F.sort_array(F.collect_list(F.struct("column", "moved")))["moved"].alias("moved")
-    )
-    for r in lists.toLocalIterator():  # as many rows as the model has
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # at most as many rows as the model has
+        sums: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            keys = zip(batch.column("which").to_pylist(), batch.column("row").to_pylist())
+            for key, n, moved in zip(keys, batch.column("n").to_pylist(), batch.column("moved")):
+                before = sums.get(key, (0, 0.0))
+                sums[key] = (before[0] + n, before[1] + moved.values.to_numpy().astype(float))
+        rows = [{"which": k[0], "row": k[1], "n": n, "moved": (v / n).astype(np.float32)} for k, (n, v) in sums.items()]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _MOVES)
+
+    moves = chunks.mapInArrow(run, _MOVES_COLUMNS)
+    for r in moves.repartition("which", "row").mapInArrow(add_up, _MOVES_COLUMNS).toLocalIterator():
         w = weights.classes if r["which"] == 0 else weights.members
         w[r["row"]] += np.array(r["moved"], np.float32)
     return weights
@@ -294,7 +294,9 @@ def language_scores(
     chunks = write_once(marked.mapInArrow(_chunks, _CHUNK_COLUMNS), "chunks")
 
     entries = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "seen")).alias("place", "x"))
-    entries = entries.select("chunk", "place", "x.words", "x.seen")
+    # chunk and place in one number
+    at = (F.shiftleft(F.col("chunk"), 24) + F.col("place")).alias("at")
+    entries = entries.select(at, "x.words", "x.seen")
     counted = entries.groupBy("words").agg(F.sum("seen").alias("c")).where("c > 0")
     counted = write_once(counted, "counts")
     n_docs = chunks.select(F.explode("train").alias("train")).where("train").count()
@@ -315,10 +317,19 @@ def language_scores(
         totals,
     )
 
-    found = entries.join(counted, "words", "left").select("chunk", "place", F.coalesce("c", F.lit(0)).alias("c"))
-    back = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "c")))["c"].alias("counts"))
-    whole = chunks.drop("seen").join(back, "chunk", "left").withColumn(
-        "counts", F.coalesce("counts", F.array().cast("array<bigint>"))
+    found = entries.select("at", "words").join(counted, "words", "left").select(
+        F.shiftright("at", 24).alias("chunk"),
+        F.struct(
+            F.col("at").bitwiseAND((1 << 24) - 1).cast("int").alias("place"),
+            F.coalesce("c", F.lit(0)).alias("c"),
+            F.when(often, F.col("words")).alias("word"),
+        ).alias("x"),
+    )
+    back = found.groupBy("chunk").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    back = back.select("chunk", F.col("x.c").alias("counts"), F.col("x.word").alias("often"))
+    nothing = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    whole = chunks.drop("seen", "words").join(back, "chunk", "left").withColumns(
+        {"counts": F.coalesce("counts", nothing[0]), "often": F.coalesce("often", nothing[1])}
     )
     whole = write_once(whole, "chunks")
 
@@ -330,22 +341,24 @@ def language_scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, weights = model.value
         for batch in batches:
-            for row in _pylist(batch):
-                t = Tokens(corpus, row, False)
-                first = np.cumsum(t.doc_tokens) - t.doc_tokens
-                base = np.log10((t.count + 1) / (corpus.tokens + corpus.distinct + 1))
-                own = run_tokens(corpus, weights.classes, weights.members, t, None)
-                known = np.add.reduceat((t.count > 0).astype(np.int64), first)
-                columns = [
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(t.doc_tokens.astype(np.int64)),
-                    pa.array(known),
-                    pa.array(np.full(len(first), corpus.tokens)),
-                    pa.array(np.add.reduceat(base, first)),
-                    pa.array(np.add.reduceat(own, first)),
-                ]
-                names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for row in _rows_of(batch, corpus.head):
+                done = 0
+                for t in document_tokens(corpus, row, False):
+                    first = np.cumsum(t.doc_tokens) - t.doc_tokens
+                    base = np.log10((t.count + 1) / (corpus.tokens + corpus.distinct + 1))
+                    own = run_tokens(corpus, weights.classes, weights.members, t, None)
+                    known = np.add.reduceat((t.count > 0).astype(np.int64), first)
+                    columns = [
+                        pa.array(row["doc_ids"][done : done + len(first)], pa.int64()),
+                        pa.array(t.doc_tokens.astype(np.int64)),
+                        pa.array(known),
+                        pa.array(np.full(len(first), corpus.tokens)),
+                        pa.array(np.add.reduceat(base, first)),
+                        pa.array(np.add.reduceat(own, first)),
+                    ]
+                    done += len(first)
+                    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return whole.mapInArrow(score, schema)
