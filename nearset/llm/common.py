@@ -38,7 +38,7 @@ def kept_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def ready(spark: SparkSession, rows: int = 256) -> None:
     """Before texts go to Python workers.
 
-    At most ``rows`` texts go there at a time, as some are very long.  Workers on
+    At most ``rows`` texts and 32 MB go there at a time, as some are very long.  Workers on
     this machine find the package where the driver found it; a cluster ships it
     with ``--py-files`` or has it installed.
     """
@@ -49,6 +49,9 @@ def ready(spark: SparkSession, rows: int = 256) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":  # Spark's default
+        spark.conf.set(name, "32m")
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -27,13 +27,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker keeps, at most.
-CHUNKS_KEPT = 1 << 20
+CHUNKS_KEPT = 3 << 18
 #: Bytes of text that are encoded together: the more, the fewer look-ups.
-TOGETHER = 1 << 24
+TOGETHER = 1 << 23
 _START = "\0"
 _UNUSUAL = re.compile(r"[^\n\x20-\x7e¡-įı-ɏ]")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _WORD_AND_MARK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,])")
 
+def _byte_signs() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte: itself where it prints, else a sign from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
 
 class Encoder(dict):
     """``encode(texts)`` gives the ids of texts.
@@ -81,6 +91,10 @@ class Encoder(dict):
             ids = self[m[1]] + self._ids(m[2])
         elif chunk[0] == _START:
             ids = self._ids(chunk[1:])
+        elif self.byte_level and _LETTERS.fullmatch(chunk):
+            # one piece, as it is, for the model
+            piece = self.tokenizer.model.tokenize((" " + chunk).encode().decode("latin-1").translate(_BYTE_SIGNS))
+            ids = np.array([t.id for t in piece], "<u4").tobytes()
         elif self.byte_level and chunk[0] != "\n":
             ids = self._ids(" " + chunk)
         else:
@@ -119,12 +133,14 @@ class Encoder(dict):
                 if p is None:
                     index[at[i]] = len(parts)
                     parts.append(self._ids(texts[i]))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        first = np.cumsum(size) - size
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
         flat = np.frombuffer(b"".join(parts), "<u4")
         n = size[index]
-        counts = np.add.reduceat(n, at)
-        ids = flat[np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        counts = np.add.reduceat(n, at).astype(np.int64)
+        place = np.repeat(first[index] - (np.cumsum(n, dtype=np.int32) - n), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
         if end_id is not None:
             ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
         return ids, counts

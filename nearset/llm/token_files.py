@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from nearset.llm.common import ready, sums_before, texts
 from nearset.llm.encode import encoder, gathered
+from nearset.runtime import write_once
 
 
 def token_lists(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
@@ -106,6 +107,6 @@ def token_digests(files: DataFrame) -> DataFrame:
 
 def token_starts(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): start is the number of ids of all documents before."""
-    digests = token_digests(files)
+    digests = write_once(token_digests(files), "digests")
     starts = sums_before(digests, ["place"], {"start": "n_tokens"})
     return starts.select("doc_id", "start", "n_tokens", "ids_crc32")
