@@ -197,14 +197,10 @@ def test_probabilities_of_a_context_sum_to_one():
     for w in [*vocabulary, None]:
         said = ["a", "c"] + ([w] if w else [])
         words = list(dict.fromkeys(said))
-        row = {
-            "n_words": [len(said)],
-            "train": [False],
-            "ids": np.array([words.index(x) for x in said]),
-            "words": words,
-            "counts": np.array([int(counts.get(x, 0)) or tail.get(x, 0) for x in words]),
-        }
-        t = maxent.Tokens(corpus, row, False)
+        ids = np.array([words.index(x) for x in said])
+        found = np.array([int(counts.get(x, 0)) or tail.get(x, 0) for x in words])
+        heads = np.array([corpus.head.get(x, -1) for x in words])
+        t = maxent.Tokens(corpus, np.array([len(said)]), ids, found, heads)
         total += 10 ** maxent.run_tokens(corpus, weights.classes, weights.members, t, None)[2]
     # classes that hold no word keep what the softmax gives them
     empty_classes = np.flatnonzero(totals == 0)
