@@ -42,6 +42,9 @@ except ModuleNotFoundError as missing:
 # a short stop list over the languages of the documents
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "de", "la", "le", "der", "die", "und"]
 
+# task bounds that documents reach already in the small tables
+SMALL = {"split_rows": 1500, "hot_rows": 16, "block_rows": 16}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,7 +100,14 @@ def _classes(threshold: float, mode: str):
 
 def _item_sets(spark, sf_dir):
     sets = itemsets.to_sets(_rows(spark, sf_dir))
-    return sets.select("set_id", F.concat_ws(";", "items").alias("items"), "n_items")
+    return sets.select("set_id", "chunk", F.concat_ws(";", "items").alias("items"), "n_items")
+
+
+def _word_sets(spark, sf_dir):
+    """Documents as sets of words, the longest in several chunks."""
+    words = itemsets.item_rows(text.document_items(_docs(spark, sf_dir)), "doc_id", "term")
+    sets = itemsets.to_sets(words, SMALL["split_rows"])
+    return sets.select("set_id", "chunk", F.concat_ws(" ", "items").alias("items"), "n_items")
 
 
 def _bucket_sizes(spark, sf_dir):
@@ -146,10 +156,10 @@ def _preview(spark, sf_dir):
     return writers.preview(freq, "df", "item")
 
 
-def _duplicates(threshold: float):
+def _duplicates(threshold: float, **bounds):
     def query(spark, sf_dir):
         docs = _table(spark, sf_dir, "documents")
-        return programs.near_duplicate_documents(docs, "doc_id", "text", threshold)
+        return programs.near_duplicate_documents(docs, "doc_id", "text", threshold, **bounds)
 
     return query
 
@@ -170,11 +180,6 @@ def _words(**options):
     return lambda spark, sf_dir: text.tokenize(_docs(spark, sf_dir), **options)
 
 
-def _words_per_document(spark, sf_dir):
-    counts = text.term_counts(_words(by_document=True)(spark, sf_dir))
-    return counts.select("doc_id", "n_words").distinct()
-
-
 def _weights(**options):
     def query(spark, sf_dir):
         weights = text.tf_idf(_docs(spark, sf_dir), **options)
@@ -192,8 +197,8 @@ def _incidence(mode: str):
 
 
 def _incidence_vectors(spark, sf_dir):
-    pairs = text.incidence(_docs(spark, sf_dir))
-    vectors = text.incidence_vectors(pairs, STOP_WORDS)
+    docs = _docs(spark, sf_dir)
+    vectors = text.incidence_vectors(docs, text.incidence(docs), STOP_WORDS)
     return vectors.select("doc_id", F.concat_ws("", "vector").alias("vector"))
 
 
@@ -239,12 +244,49 @@ def _transposed_files(spark, sf_dir):
     path, target = _write_item_files(spark, sf_dir), _new_path(spark)
     programs.transpose_item_files(spark, path, target)
     ratings = spark.read.schema("user bigint, movie bigint, rating int").csv(target)
-    buckets = ratings.unionByName(spark.createDataFrame([], ratings.schema), True)
-    return buckets.groupBy("bucket").agg(
+    return ratings.groupBy("bucket").agg(
         F.count("*").alias("n_ratings"), F.countDistinct("user").alias("n_users")
     )
 
 
+def _started_empty(spark, sf_dir):
+    """Rating files added one after another to an empty table."""
+    path = _new_path(spark)
+    writers.write_bucketed(_ratings(spark, sf_dir), path, buckets=2)
+    ratings = readers.empty_ratings(spark)
+    for bucket in (0, 1):
+        ratings = ratings.unionByName(readers.read_ratings(spark, f"{path}/bucket={bucket}"))
+    return ratings.groupBy("user").agg(F.count("*").alias("n_ratings"))
+
+
+def _statistics_files(make, schema: str):
+    """Statistics written to files and read back."""
+
+    def query(spark, sf_dir):
+        path = _new_path(spark)
+        writers.write_stats(make(spark, sf_dir), path)
+        return spark.read.schema(schema).csv(path)
+
+    return query
+
+
+def _stop_words_from_file(spark, sf_dir):
+    path = _new_path(spark)
+    spark.createDataFrame([(w,) for w in STOP_WORDS], "value string").write.text(path)
+    tokens = text.remove_stopwords(_words()(spark, sf_dir), readers.read_stop_words(spark, path))
+    return text.word_counts(tokens)
+
+
+def _abstract_weights(spark, sf_dir):
+    """Weights of abstracts from a file of statements and comment lines, by subject."""
+    path = _new_path(spark)
+    lines = _triple_lines(spark, sf_dir)
+    comments = _table(spark, sf_dir, "documents").select(F.concat(F.lit("# "), "source").alias("value"))
+    lines.unionAll(comments.distinct()).write.text(path)
+    weights = programs.abstract_weights(spark, path)
+    return weights.select("subject", "term", "cnt", F.round("weight", 9).alias("weight"))
+
+
 def _bucketed_users(spark, sf_dir):
     users = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), "o_orderkey")
     return writers.bucketed(users).groupBy("bucket").agg(F.count("*").alias("n_orders"))
@@ -306,6 +348,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "frequency_histogram": lambda s, d: itemsets.frequency_histogram(_unique_rows(s, d)),
         "set_sizes": lambda s, d: itemsets.set_sizes(_unique_rows(s, d)),
         "item_sets": _item_sets,
+        "word_sets_in_chunks": _word_sets,
         "set_groups": _set_groups,
         "first_items": _preview,
         # order, prefixes, signatures
@@ -347,9 +390,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "vocabulary": lambda s, d: text.vocabulary(_words()(s, d)),
         "document_count": lambda s, d: text.document_count(_docs(s, d)),
-        "words_per_document": _words_per_document,
-        "term_counts": lambda s, d: text.term_counts(_words(by_document=True)(s, d)),
-        "doc_frequency": lambda s, d: text.doc_frequency(text.term_counts(_words(by_document=True)(s, d))),
+        "words_per_document": lambda s, d: text.words_per_document(_docs(s, d)),
+        "term_counts": lambda s, d: text.count_terms(_docs(s, d)),
+        "doc_frequency": lambda s, d: text.doc_frequency(text.count_terms(_docs(s, d))),
+        "word_counts_without_stop_file": _stop_words_from_file,
+        "abstract_weights": _abstract_weights,
         "incidence": _incidence("token"),
         "incidence_substring": _incidence("substring"),
         "incidence_vectors": _incidence_vectors,
@@ -366,6 +411,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # documents as sets
         "document_near_duplicates_t90": _duplicates(0.9),
         "document_near_duplicates_t50": _duplicates(0.5),
+        "document_near_duplicates_t90_small_blocks": _duplicates(0.9, **SMALL),
         "rarest_words": _rarest_words,
         "rarest_words_candidates": _rarest_word_duplicates,
         # files
@@ -373,6 +419,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "item_files": _item_files,
         "transposed_files": _transposed_files,
         "bucketed_users": _bucketed_users,
+        "ratings_added_to_none": _started_empty,
+        "bucket_size_files": _statistics_files(_bucket_sizes, "signature string, size bigint"),
+        "histogram_files": _statistics_files(
+            lambda s, d: itemsets.frequency_histogram(_unique_rows(s, d)), "n_ratings bigint, n_movies bigint"
+        ),
+        "counter_files": _statistics_files(_counters, "name string, value bigint"),
         "ntriples": _triples("default"),
         "ntriples_plain_split": _triples("reference"),
         "pair_files_text": _pair_files("text"),
@@ -542,16 +594,34 @@ def oracle_sql() -> dict[str, str]:
     )
     joined = {t: f"{sets}, {_sql_pairs(t)} {pairs} pairs" for t in (0.9, 0.5, 0.3)}
     doc_pairs = {t: f"WITH {_DOC_SETS}, {_sql_pairs(t)} {pairs} pairs" for t in (0.9, 0.8, 0.5)}
+    bucket_sizes = (
+        f"{_sql_signed(0.5, 1)} SELECT signature, count(*) AS size FROM signed "
+        "GROUP BY signature HAVING count(*) > 1"
+    )
+    histogram = (
+        f"{sets}, freq AS (SELECT item, count(*) AS df FROM sets GROUP BY item) "
+        "SELECT df AS n_ratings, count(*) AS n_movies FROM freq GROUP BY df"
+    )
+    counters = (
+        f"{_sql_found(0.3, 1)} SELECT 'emitted' AS name, count(*) AS value FROM bag UNION ALL "
+        "SELECT 'distinct_pairs', count(DISTINCT (id_a, id_b)) FROM bag"
+    )
+    abstracts = _sql_standard(False).replace("FROM documents", "FROM abstracts")
     return {
         "item_frequency": f"{sets} SELECT item, count(*) AS df FROM sets GROUP BY item",
-        "frequency_histogram": (
-            f"{sets}, freq AS (SELECT item, count(*) AS df FROM sets GROUP BY item) "
-            "SELECT df AS n_ratings, count(*) AS n_movies FROM freq GROUP BY df"
-        ),
+        "frequency_histogram": histogram,
+        "histogram_files": histogram,
         "set_sizes": f"{sets} SELECT set_id, count(*) AS n FROM sets GROUP BY set_id",
         "item_sets": (
-            f"{sets} SELECT set_id, string_agg(item::VARCHAR, ';' ORDER BY item) AS items, "
-            "count(*)::INTEGER AS n_items FROM sets GROUP BY set_id"
+            f"{sets} SELECT set_id, 0::INTEGER AS chunk, string_agg(item::VARCHAR, ';' ORDER BY item) AS items, "
+            "count(*) AS n_items FROM sets GROUP BY set_id"
+        ),
+        "word_sets_in_chunks": (
+            f"WITH {_DOC_SETS}, placed AS (SELECT set_id, item, count(*) OVER (PARTITION BY set_id) AS n_items, "
+            "((row_number() OVER (PARTITION BY set_id ORDER BY item) - 1) "
+            f"// {SMALL['split_rows']})::INTEGER AS chunk FROM sets) "
+            "SELECT set_id, chunk, string_agg(item, ' ' ORDER BY item) AS items, n_items "
+            "FROM placed GROUP BY set_id, chunk, n_items"
         ),
         "set_groups": f"{sets}, {groups} SELECT * FROM members",
         "first_items": (
@@ -572,10 +642,8 @@ def oracle_sql() -> dict[str, str]:
         "signatures_k2_classes": (
             f"{_sql_signed(0.5, 2, 'reference')} SELECT set_id, signature FROM signed"
         ),
-        "bucket_sizes": (
-            f"{_sql_signed(0.5, 1)} SELECT signature, count(*) AS size FROM signed "
-            "GROUP BY signature HAVING count(*) > 1"
-        ),
+        "bucket_sizes": bucket_sizes,
+        "bucket_size_files": bucket_sizes,
         "shared_signatures_k2": (
             f"{_sql_signed(0.5, 2)} SELECT signature, set_id FROM signed "
             "QUALIFY count(*) OVER (PARTITION BY signature) > 1"
@@ -608,10 +676,8 @@ def oracle_sql() -> dict[str, str]:
             "count(DISTINCT (id_a, id_b)) AS distinct_pairs FROM bag) SELECT emitted, distinct_pairs, "
             "1.0::DOUBLE - distinct_pairs::DOUBLE / emitted AS duplicate_rate FROM counts"
         ),
-        "counters_t30": (
-            f"{_sql_found(0.3, 1)} SELECT 'emitted' AS name, count(*) AS value FROM bag UNION ALL "
-            "SELECT 'distinct_pairs', count(DISTINCT (id_a, id_b)) FROM bag"
-        ),
+        "counters_t30": counters,
+        "counter_files": counters,
         "word_counts": f"WITH {_sql_words()} SELECT term, count(*) AS cnt FROM tokens GROUP BY term",
         "word_counts_without_stop_words": (
             f"WITH {_sql_words(stop=True)} SELECT term, count(*) AS cnt FROM tokens GROUP BY term"
@@ -621,7 +687,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "vocabulary": f"WITH {_sql_words()} SELECT DISTINCT term FROM tokens",
         "document_count": "SELECT count(*) AS n_docs FROM documents",
-        "words_per_document": f"WITH {_sql_words()} SELECT doc_id, n_words FROM all_words",
+        "words_per_document": (
+            "SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS n_words "
+            "FROM documents"
+        ),
+        "word_counts_without_stop_file": (
+            f"WITH {_sql_words()} SELECT term, count(*) AS cnt FROM tokens "
+            f"WHERE NOT list_contains({STOP_WORDS!r}, term) GROUP BY term"
+        ),
+        "abstract_weights": (
+            f"WITH abstracts AS (SELECT doc_id, {escaped} AS text FROM documents), "
+            f"weighted AS ({abstracts}) SELECT 'http://example.org/' || doc_id AS subject, term, cnt, weight "
+            "FROM weighted"
+        ),
         "term_counts": (
             f"WITH {_sql_words()} SELECT doc_id, n_words, term, cnt "
             "FROM counted JOIN all_words USING (doc_id)"
@@ -640,8 +718,8 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {_PIECES}, stops AS (SELECT unnest({STOP_WORDS!r}) AS token), "
             "known AS (SELECT doc_id, list(token) AS l FROM held SEMI JOIN stops USING (token) GROUP BY doc_id) "
             "SELECT doc_id, "
-            + " || ".join(f"list_contains(l, '{w}')::INTEGER" for w in STOP_WORDS)
-            + " AS vector FROM known"
+            + " || ".join(f"coalesce(list_contains(l, '{w}'), false)::INTEGER" for w in STOP_WORDS)
+            + " AS vector FROM documents LEFT JOIN known USING (doc_id)"
         ),
         "tf_idf_standard": _sql_standard(False),
         "tf_idf_stop_words": _sql_standard(True),
@@ -653,8 +731,14 @@ def oracle_sql() -> dict[str, str]:
             "SELECT doc_id, term, cnt, round((cnt // max(cnt) OVER (PARTITION BY doc_id))::DOUBLE "
             "/ (n_docs // df)::DOUBLE, 9) AS weight FROM subs JOIN dfs USING (term), docs"
         ),
+        "rendered_documents": (
+            f"WITH weighted AS ({_sql_standard(False)}) SELECT doc_id, doc_id || ': {{' || "
+            "string_agg(term || '=' || printf('%.9f', weight), ', ' ORDER BY term) || '}' AS line "
+            "FROM weighted GROUP BY doc_id"
+        ),
         "document_near_duplicates_t90": doc_pairs[0.9],
         "document_near_duplicates_t50": doc_pairs[0.5],
+        "document_near_duplicates_t90_small_blocks": doc_pairs[0.9],
         "rarest_words": (
             f"WITH {_DOC_SETS}, {_sql_ranked()} "
             "SELECT set_id AS doc_id, item AS term, df, rk FROM ranked WHERE rk <= 3"
@@ -674,6 +758,9 @@ def oracle_sql() -> dict[str, str]:
             "SELECT (l_orderkey % 1000)::INTEGER AS bucket, count(*) AS n_ratings, "
             "count(DISTINCT l_orderkey) AS n_users FROM lineitem GROUP BY 1"
         ),
+        "ratings_added_to_none": (
+            'SELECT l_orderkey::INTEGER AS "user", count(*) AS n_ratings FROM lineitem GROUP BY 1'
+        ),
         "bucketed_users": (
             "SELECT o_custkey % 1000 AS bucket, count(*) AS n_orders FROM orders GROUP BY 1"
         ),

@@ -13,6 +13,7 @@ SPLIT_ROWS = 200_000
 
 def item_rows(df: DataFrame, set_col: str, item_col: str) -> DataFrame:
     """Name the columns ``set_id`` and ``item`` and leave everything else unread."""
+    # rows with a null set or item belong to no set
     return df.select(F.col(set_col).alias("set_id"), F.col(item_col).alias("item")).where(
         F.col("set_id").isNotNull() & F.col("item").isNotNull()
     )
@@ -59,22 +60,19 @@ def frequency_histogram(rows: DataFrame) -> DataFrame:
 def to_sets(rows: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Nest rows into sorted arrays: (set_id, chunk, items, n_items).
 
-    A set above ``split_rows`` comes in several chunks, so that no task ever
-    collects more than about that many items.
+    ``n_items`` is the size of the whole set.  A set above ``split_rows`` comes in
+    chunks of that many items: chunk 0 holds its smallest ones, and the chunks in
+    order are the set in order.  So no task ever nests more than that many items.
     """
-    rows = rows.dropDuplicates(["set_id", "item"])
-    wide = (
-        set_sizes(rows)
-        .where(F.col("n") > split_rows)
-        .select("set_id", F.ceil(F.col("n") / F.lit(split_rows)).alias("chunks"))
-    )
-    chunks = F.coalesce(F.col("chunks"), F.lit(1))
+    from nearset.operators.signatures import rank_items
+
+    ranked = rank_items(rows, "item", split_rows)
+    chunk = F.floor((F.col("rk") - 1) / F.lit(split_rows)).cast("int")
     return (
-        rows.join(wide, "set_id", "left")
-        .withColumn("chunk", F.pmod(F.xxhash64("item"), chunks).cast("int"))
-        .groupBy("set_id", "chunk")
+        ranked.withColumn("chunk", chunk)
+        .groupBy("set_id", "chunk", "n")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
-        .withColumn("n_items", F.size("items"))
+        .select("set_id", "chunk", "items", F.col("n").alias("n_items"))
     )
 
 
@@ -86,7 +84,8 @@ def content_profile(rows: DataFrame) -> DataFrame:
     return rows.groupBy("set_id").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("item")).alias("h1"),
-        F.bit_xor(F.xxhash64("item", F.lit("second"))).alias("h2"),
+        # the seed comes first, so that the two hashes of an item do not depend on each other
+        F.bit_xor(F.xxhash64(F.lit("second"), "item")).alias("h2"),
     )
 
 
@@ -102,6 +101,7 @@ def content_groups(profile: DataFrame) -> DataFrame:
 
 def copied_sets(rows: DataFrame) -> DataFrame:
     """Sets whose content occurs more than once: (set_id, rep, n, copies)."""
-    profile = content_profile(rows)
-    groups = content_groups(profile).where(F.col("copies") > 1)
+    profile = write_once(content_profile(rows), "profile")
+    # written before it is joined, so that a huge group is split over tasks
+    groups = write_once(content_groups(profile).where(F.col("copies") > 1), "groups")
     return profile.join(groups, ["n", "h1", "h2"]).select("set_id", "rep", "n", "copies")

@@ -15,6 +15,7 @@ from nearset.functions import sets as S
 from nearset.operators.blocks import blocked_sides
 from nearset.operators.itemsets import set_sizes
 from nearset.operators.signatures import Scheme, rank_large_sets
+from nearset.runtime import write_once
 
 
 def _part(parts: int) -> Column:
@@ -58,7 +59,9 @@ def large_candidates(
     """
     ranked = rank_large_sets(rows, scheme.order, split_rows)
     prefix = ranked.where((F.col("rk") <= scheme.prefix(F.col("n"))) & (F.col("df") != 1))
-    holders = prefix.groupBy("item").agg(F.count("*").alias("rows"))
+    # written before it is joined, so that a hot item is split over tasks
+    prefix = write_once(prefix, "prefix")
+    holders = write_once(prefix.groupBy("item").agg(F.count("*").alias("rows")), "holders")
     left, right = blocked_sides(prefix.join(holders, "item"), "set_id", "rows", block_rows)
     keys = ["item", "left_block", "right_block"]
 

@@ -48,8 +48,8 @@ class Scheme:
             raise ValueError(f"unknown length class mode: {self.length_classes!r}")
         if self.order not in ("frequency", "item"):
             raise ValueError(f"unknown item order: {self.order!r}")
-        if self.prefix_items is not None and self.prefix_items < 1:
-            raise ValueError("prefix_items must be at least 1")
+        if self.prefix_items is not None and self.prefix_items < self.size:
+            raise ValueError("prefix_items must be at least the signature size")
 
     def prefix(self, n: Column) -> Column:
         """Prefix length of a set of ``n`` items, never beyond the set itself."""
@@ -108,9 +108,11 @@ def rank_items(
 
     ``unique`` promises that the rows are distinct already.
     """
-    rows = rows if unique else unique_rows(rows)
+    # written once, as the rows are read several times
+    rows = write_once(rows, "rows") if unique else unique_rows(rows)
     columns = ["set_id", "item", "df", "n", "rk"]
-    with_df = rows.join(item_frequency(rows), "item")
+    # and the frequencies before they are joined, so that a hot item is split over tasks
+    with_df = rows.join(write_once(item_frequency(rows), "frequency"), "item")
     by_order = W.partitionBy("set_id").orderBy(*_order_columns(order))
     if largest_set(rows) <= split_rows:
         whole_set = W.partitionBy("set_id")
@@ -119,7 +121,7 @@ def rank_items(
             .withColumn("rk", F.row_number().over(by_order).cast("bigint"))
             .select(columns)
         )
-    with_n = with_df.join(set_sizes(rows), "set_id")
+    with_n = with_df.join(write_once(set_sizes(rows), "sizes"), "set_id")
     small = with_n.where(F.col("n") <= split_rows)
     large = with_n.where(F.col("n") > split_rows)
     return (

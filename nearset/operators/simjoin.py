@@ -104,7 +104,8 @@ def prepare(rows: DataFrame, scheme: Scheme, split_rows: int = SPLIT_ROWS) -> Pr
 def _with_frequency(rows: DataFrame, all_rows: DataFrame, scheme: Scheme) -> DataFrame:
     """Add ``df``, counted over all sets, if the item order needs it."""
     if scheme.order == "frequency":
-        return rows.join(item_frequency(all_rows), "item")
+        # written before it is joined, so that a hot item is split over tasks
+        return rows.join(write_once(item_frequency(all_rows), "frequency"), "item")
     return rows.withColumn("df", F.lit(0).cast("bigint"))
 
 
@@ -200,9 +201,8 @@ def pair_up(signed: DataFrame, scheme: Scheme, block_rows: int | None = None) ->
     left, right = signed, signed
     if block_rows is not None:
         sizes = signed.groupBy("sig").agg(F.count("*").alias("rows"))
-        signed = signed.join(sizes.where(F.col("rows") > block_rows), "sig", "left").fillna(
-            1, subset=["rows"]
-        )
+        large = write_once(sizes.where(F.col("rows") > block_rows), "large-signatures")
+        signed = signed.join(large, "sig", "left").fillna(1, subset=["rows"])
         left, right = blocked_sides(signed, "set_id", "rows", block_rows)
         keys = ["sig", "left_block", "right_block"]
     return (
@@ -278,17 +278,13 @@ def candidates(
     sets: DataFrame, scheme: Scheme, hot_rows: int = BLOCK_ROWS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Candidate pairs (a, b) of the prepared sets."""
-    signed = signed_sets(sets, scheme)
-    hot = (
-        signed.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows)
-    )
-    if hot.isEmpty():
-        return pair_up(signed, scheme)
-    signed = write_once(signed, "signed-sets")
+    signed = write_once(signed_sets(sets, scheme), "signed-sets")
     hot = write_once(
         signed.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows),
         "hot-signatures",
     )
+    if hot.isEmpty():
+        return pair_up(signed, scheme)
     return pair_up(
         write_once(split_hot(signed, sets, hot, scheme), "split-signatures"), scheme, block_rows
     )
@@ -441,8 +437,10 @@ def similarity_join(
     """Pairs of set ids with Jaccard similarity of at least ``threshold``.
 
     Out: (id_a, id_b, overlap, jaccard), id_a < id_b.  With ``distinct=False``
-    a pair appears once per signature its sets share.  ``unique`` promises that
-    no (set, item) row repeats.  ``split_rows``, ``hot_rows`` and ``block_rows``
+    a pair appears once per signature its sets share.  A group of n equal sets
+    gives n * (n - 1) / 2 pairs, which is the result as defined; ``similar_groups``
+    has the same links in linear size.  Rows with a null set or item are left out.
+    ``unique`` promises that no (set, item) row repeats.  ``split_rows``, ``hot_rows`` and ``block_rows``
     bound what one task handles; they do not change the result.
     """
     scheme = Scheme(threshold, signature_size, length_classes, order, prefix_items)
@@ -498,8 +496,8 @@ def similar_groups(
 
 def set_groups(rows: DataFrame) -> DataFrame:
     """Group of equal sets each set belongs to, from unique rows: (set_id, rep, copies)."""
-    profile = content_profile(rows)
-    groups = content_groups(profile)
+    profile = write_once(content_profile(rows), "profile")
+    groups = write_once(content_groups(profile), "groups")
     return profile.join(groups, ["n", "h1", "h2"]).select("set_id", "rep", "copies")
 
 

@@ -13,6 +13,7 @@ from nearset.functions import sets as S
 from nearset.operators.itemsets import SPLIT_ROWS, item_rows, unique_rows
 from nearset.operators.signatures import Scheme, rank_items, signature_rows
 from nearset.operators.simjoin import prepare, similar_sets, times_copied, times_found
+from nearset.runtime import write_once
 
 
 def bucket_sizes(signatures: DataFrame) -> DataFrame:
@@ -26,7 +27,10 @@ def bucket_sizes(signatures: DataFrame) -> DataFrame:
 
 def shared_signatures(signatures: DataFrame) -> DataFrame:
     """Signature rows that have a partner: (set_id, signature)."""
-    return signatures.join(bucket_sizes(signatures).select("signature"), "signature", "left_semi")
+    signatures = write_once(signatures, "signatures")
+    # written before it is joined, so that a hot signature is split over tasks
+    shared = write_once(bucket_sizes(signatures).select("signature"), "buckets")
+    return signatures.join(shared, "signature", "left_semi")
 
 
 def count_comparisons(signed: DataFrame, threshold: float) -> DataFrame:

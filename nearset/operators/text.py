@@ -43,7 +43,6 @@ def tokenize(
     drop_noise: bool = False,
     lower_first: bool = True,
     on_whitespace: bool = False,
-    by_document: bool = False,
 ) -> DataFrame:
     """Words of each document, one row per occurrence: (doc_id, n_words, term).
 
@@ -52,18 +51,18 @@ def tokenize(
     are those, in lower case, that are not stop words and, with ``drop_noise``,
     not short or led by a digit.  ``lower_first=False`` looks words up in the
     stop list as written, so a capitalised stop word stays.
-
-    ``by_document`` places the documents by id first.  Moving a text is cheaper
-    than moving its words, and steps per document then need no shuffle.
     """
-    docs = docs.repartition("doc_id") if by_document else docs
     words = _words(F.lower("text") if lower_first else F.col("text"), on_whitespace)
-    term = F.col("term")
     # count before exploding, once per document and not once per word
     split = docs.select("doc_id", words.alias("words")).select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"), "words"
     )
-    tokens = _each_word(split, "doc_id", "n_words")
+    return _kept(_each_word(split, "doc_id", "n_words"), stop_words, drop_noise, lower_first)
+
+
+def _kept(tokens: DataFrame, stop_words, drop_noise: bool, lower_first: bool) -> DataFrame:
+    """Without stop words and noise, in lower case."""
+    term = F.col("term")
     if drop_noise:
         tokens = tokens.where(~T.is_noise(term))
     if stop_words is not None:
@@ -71,16 +70,67 @@ def tokenize(
     return tokens if lower_first else tokens.withColumn("term", F.lower(term))
 
 
+def words_per_document(docs: DataFrame) -> DataFrame:
+    """Words of every document, also of those without any: (doc_id, n_words)."""
+    words = F.size(_words(F.coalesce("text", F.lit("")), False))
+    return docs.select("doc_id", words.cast("bigint").alias("n_words"))
+
+
+def count_terms(
+    docs: DataFrame,
+    stop_words: Iterable[str] | None = None,
+    drop_noise: bool = False,
+    lower_first: bool = True,
+) -> DataFrame:
+    """Occurrences of each term in each document: (doc_id, n_words, term, cnt).
+
+    A document is one row, so its words are sorted and counted inside the row, and
+    nothing is shuffled.  Options as in ``tokenize``; a term that only differs in
+    case from another is one term with it.  Ids must be unique.
+    """
+    words = _words(F.lower("text") if lower_first else F.col("text"), False)
+    cut = docs.select("doc_id", words.alias("words"))
+    n_words = F.size("words").cast("bigint").alias("n_words")
+    if stop_words is not None or drop_noise:
+
+        def stays(w: Column) -> Column:
+            keep = F.lit(True)
+            if drop_noise:
+                keep = keep & ~T.is_noise(w)
+            if stop_words is not None:
+                keep = keep & ~T.in_words(w, stop_words)
+            return keep
+
+        held = F.filter("words", stays)
+    else:
+        held = F.col("words")
+    if not lower_first:
+        held = F.transform(held, lambda w: F.lower(w))
+    held = cut.select("doc_id", n_words, F.sort_array(held).alias("held"))
+    # where a run of equal words begins, and the end after the last
+    n = F.size("held")
+    begins = F.filter(
+        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+        lambda i: (i < n) & ((i == 0) | (F.get("held", i) != F.get("held", i - 1))),
+    )
+    runs = held.select("doc_id", "n_words", "held", F.array_append(begins, n).alias("at"))
+    k = F.size("at") - 1
+    terms = F.zip_with(
+        F.slice("at", F.lit(1), k),
+        F.slice("at", F.lit(2), k),
+        lambda i, j: F.struct(F.get("held", i).alias("term"), (j - i).cast("bigint").alias("cnt")),
+    )
+    counted = runs.select("doc_id", "n_words", F.explode_outer(terms).alias("x"))
+    return counted.where("x IS NOT NULL").select("doc_id", "n_words", "x.term", "x.cnt")
+
+
 def remove_stopwords(tokens: DataFrame, stop_words: DataFrame, column: str = "term") -> DataFrame:
     """Drop rows whose ``column`` is in a stop list held as a table (word)."""
     return tokens.join(stop_words.select(F.col("word").alias(column)), column, "left_anti")
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
-    """Occurrences of each term in each document: (doc_id, n_words, term, cnt).
-
-    Words that were cut ``by_document`` are counted where they are.
-    """
+    """Occurrences of each term in each document, from rows of words: (doc_id, n_words, term, cnt)."""
     return tokens.groupBy("doc_id", "n_words", "term").agg(F.count("*").alias("cnt"))
 
 
@@ -129,16 +179,14 @@ def contained_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return short.select(columns).unionByName(long.select(columns))
 
 
-def substring_counts(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+def substring_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """Like ``term_counts``, but a term also counts inside longer words.
 
     No term holds a space, so its non-overlapping occurrences in the lower-cased
     text are those in the single words, summed.
     """
-    words = term_counts(tokenize(docs, by_document=True)).select(
-        "doc_id", F.col("term").alias("token"), "cnt"
-    )
-    terms = term_counts(tokens).drop("cnt")
+    words = write_once(count_terms(docs), "words").select("doc_id", F.col("term").alias("token"), "cnt")
+    terms = counts.drop("cnt")
     # written, so that the joins with them are planned by their size
     all_words = write_once(words.select("token").distinct(), "tokens")
     inside = contained_terms(all_words, write_once(vocabulary(terms), "terms"))
@@ -172,16 +220,14 @@ def incidence(docs: DataFrame, mode: str = "token") -> DataFrame:
     )
 
 
-def incidence_vectors(pairs: DataFrame, terms: list[str]) -> DataFrame:
-    """Dense 0/1 vectors over a given small vocabulary: (doc_id, vector ARRAY<INT>)."""
-    held = F.collect_set("term")
-    vector = F.array(*[F.array_contains("held", F.lit(t)).cast("int") for t in terms])
-    return (
-        pairs.where(T.in_words(F.col("term"), terms))
-        .groupBy("doc_id")
-        .agg(held.alias("held"))
-        .select("doc_id", vector.alias("vector"))
-    )
+def incidence_vectors(docs: DataFrame, pairs: DataFrame, terms: list[str]) -> DataFrame:
+    """Dense 0/1 vectors over a given small vocabulary: (doc_id, vector ARRAY<INT>).
+
+    Every document of ``docs`` has one, also those that hold none of the terms.
+    """
+    held = pairs.where(T.in_words(F.col("term"), terms)).groupBy("doc_id").agg(F.collect_set("term").alias("held"))
+    has = [F.coalesce(F.array_contains("held", F.lit(t)), F.lit(False)).cast("int") for t in terms]
+    return docs.select("doc_id").join(held, "doc_id", "left").select("doc_id", F.array(*has).alias("vector"))
 
 
 def document_count(docs: DataFrame) -> DataFrame:
@@ -204,8 +250,11 @@ def tf_idf(
     """
     if weighting not in ("standard", "reference") or count_mode not in ("token", "substring"):
         raise ValueError(f"unknown weighting or count mode: {weighting!r}, {count_mode!r}")
-    tokens = tokenize(docs, stop_words, drop_noise, lower_first, by_document=True)
-    counts = term_counts(tokens) if count_mode == "token" else substring_counts(docs, tokens)
+    # the words are cut once; frequencies are written before they are joined, so that a
+    # word of every document is split over tasks
+    tokens = write_once(count_terms(docs, stop_words, drop_noise, lower_first), "counts")
+    frequency = write_once(doc_frequency(tokens), "frequency")
+    counts = tokens if count_mode == "token" else substring_counts(docs, tokens)
     n_docs = document_count(docs).scalar()
     cnt, df = F.col("cnt"), F.col("df")
     if weighting == "standard":
@@ -214,7 +263,7 @@ def tf_idf(
         max_cnt = F.max("cnt").over(W.partitionBy("doc_id"))
         counts = counts.withColumn("max_cnt", max_cnt)
         weight = T.floor_weight(cnt, F.col("max_cnt"), n_docs, df)
-    return counts.join(doc_frequency(term_counts(tokens)), "term").select(
+    return counts.join(frequency, "term").select(
         "doc_id", "term", "cnt", weight.alias("weight")
     )
 
@@ -226,9 +275,12 @@ def weight_maps(weights: DataFrame) -> DataFrame:
 
 
 def render_documents(weights: DataFrame) -> DataFrame:
-    """Text form ``id: {"term":weight,...}``: (doc_id, line)."""
-    line = F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.to_json("weights"))
-    return weight_maps(weights).select("doc_id", line.alias("line"))
+    """Text form ``id: {term=weight, ...}``, terms in order, nine decimals: (doc_id, line)."""
+    digits = F.format_string("%.9f", F.round("weight", 9))
+    entry = F.struct("term", F.concat("term", F.lit("="), digits).alias("text"))
+    entries = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["text"])
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(": {"), F.array_join("entries", ", "), F.lit("}"))
+    return weights.groupBy("doc_id").agg(entries.alias("entries")).select("doc_id", line.alias("line"))
 
 
 def document_items(docs: DataFrame) -> DataFrame:

@@ -143,7 +143,9 @@ def test_sets_in_chunks(spark):
     rows = spark.createDataFrame([(1, m) for m in range(50)] + [(2, 1), (2, 1)], "set_id int, item int")
     chunks = itemsets.to_sets(rows, split_rows=10).collect()
     items = sorted(i for r in chunks if r.set_id == 1 for i in r["items"])
-    assert items == list(range(50)) and sum(r.set_id == 1 for r in chunks) > 1
+    assert items == list(range(50)) and sum(r.set_id == 1 for r in chunks) == 5
+    assert {r.chunk: r["items"] for r in chunks if r.set_id == 1}[2] == list(range(20, 30))
+    assert {r.n_items for r in chunks if r.set_id == 1} == {50}
     assert [(r["items"], r.n_items) for r in chunks if r.set_id == 2] == [([1], 1)]
 
 
