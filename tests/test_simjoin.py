@@ -233,3 +233,37 @@ def test_fixed_prefix_is_a_subset(spark):
     for r in ranked.collect():
         prefix.setdefault(r.set_id, set()).add(r.item)
     assert set(pairs) == {(a, b) for a, b in exact if prefix[a] & prefix[b]}
+
+
+def test_prefix_items_below_the_signature_size_are_rejected():
+    with pytest.raises(ValueError, match="at least the signature size"):
+        Scheme(0.5, 2, prefix_items=1)
+
+
+@pytest.fixture()
+def hot_item(spark):
+    """Rows of which a third holds one item, joined without broadcasts and in small partitions."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "16k",
+        "spark.sql.shuffle.partitions": "30",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    # several partitions, as only blocks of a partition can be split apart
+    ids = spark.range(0, 30_000, 1, 16)
+    item = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    yield ids.select(F.floor(F.col("id") / 3).alias("set_id"), item.alias("item"))
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_item_is_split_over_tasks(hot_item):
+    ranked = rank_items(hot_item)
+    assert len(ranked.collect()) == 30_000
+    assert "skew=true" in ranked._jdf.queryExecution().toString()
