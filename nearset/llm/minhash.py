@@ -300,10 +300,9 @@ def near_duplicates(
     # two sets share no more than the smaller count of each class
     fewer = F.zip_with("x.classes", "y.classes", lambda p, q: F.least(p, q))
     most = F.aggregate(fewer, F.lit(0), lambda total, k: total + k)
-    enough = F.coalesce(most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent, F.lit(True))
+    enough = F.coalesce(most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent, F.lit(True))
     # the first bucket that two nodes share makes their pair
-    earlier = [F.slice(f"{side}.bands", F.lit(1), F.col("x.band")) for side in ("x", "y")]
-    first_here = ~F.exists(F.zip_with(*earlier, lambda p, q: p == q), lambda same: same)
+    first_here = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")
     crossing = (
         x.join(y, together & _may_link("x", "y", threshold, minima) & first_here & enough)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
