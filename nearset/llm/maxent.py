@@ -32,7 +32,7 @@ from nearset.llm.encode import gathered
 from nearset.runtime import write_once
 
 #: Bytes of text in a chunk, and documents' tokens that are worked on together.
-CHUNK = 3 << 23
+CHUNK = 3 << 22
 TOGETHER = 1 << 19
 #: Words that come more often than once in so many are modelled one by one.
 HEAD_SHARE = 2000
