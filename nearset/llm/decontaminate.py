@@ -1,11 +1,13 @@
 """Benchmark decontamination: passages of documents against a BM25 index of test items.
 
-Items are cut into pieces that lie whole in one of the overlapping passages.  A piece's
-BM25 score is divided by what the piece itself would get, so scores run up to 1 and one
-threshold holds for all.  Block-max WAND: blocks of pieces carry the largest score that
+Items, and their questions, are cut into pieces that lie whole in one of the overlapping
+passages.  A piece's BM25 score is divided by what the piece itself would get, so scores
+run up to 1 and one threshold holds for all.  Block-max WAND: blocks of pieces carry the largest score that
 each term can add there; a passage scores only blocks whose bound reaches the threshold,
 and those exactly, so all pieces above the threshold are found.  Found items are verified
-on five-word shingles of question and answer against the whole document.
+against the whole document: on five-word shingles of question and answer, or, as a word
+that is changed or missing breaks five of those, on how many words of the whole item or of
+its question lie in runs of three that the document has.
 
 A batch of documents is scored at once: passages and their terms are rows, bounds and
 scores are sums over postings.
@@ -32,6 +34,10 @@ BLOCK = 16
 SHARD_ITEMS = 4096
 #: Items of fewer words say too little to be found again.
 LEAST_WORDS = 5
+#: A last sentence of fewer words is no answer of its own, a question of fewer words does not count alone.
+PART_WORDS = 10
+#: Words of a run that counts as common to an item and a document.
+RUN = 3
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.?!\n]+\s*(?=\S)")
@@ -42,8 +48,14 @@ def words_of(text: str) -> list[str]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words of an item up to its last sentence, and of that; an item of one sentence is both."""
+    """Words of an item up to its last sentence, and of that; an item of one sentence is both.
+
+    Sentences before a last one of fewer than PART_WORDS words are part of the answer,
+    until it has as many.
+    """
     parts = [w for w in map(words_of, _SENTENCE.split(text)) if w]
+    while len(parts) > 1 and len(parts[-1]) < PART_WORDS:
+        parts[-2:] = [parts[-2] + parts[-1]]
     if len(parts) < 2:
         whole = parts[0] if parts else []
         return whole, whole
@@ -62,29 +74,43 @@ def _overlap(part: list[str], found: dict[int, set]) -> float:
     return len(mine & found[n]) / len(mine) if mine else 1.0
 
 
+def coverage(part: list[str], runs: set[tuple[str, ...]]) -> float:
+    """Share of a part's words that lie in one of the ``runs`` of RUN words."""
+    covered = bytearray(len(part))
+    for i in range(len(part) - RUN + 1):
+        if tuple(part[i : i + RUN]) in runs:
+            covered[i : i + RUN] = b"\1" * RUN
+    return sum(covered) / len(part) if part else 0.0
+
+
 class Index:
     """BM25 postings of pieces, ordered by term and piece, with block maxima."""
 
     def __init__(self, items: Iterable[tuple[int, str]]):
         self.items: list[tuple[int, list[str], list[str]]] = []
+        self.words: list[list[str]] = []
         self.terms: dict[str, int] = {}
         owners, term, piece, times, length = [], [], [], [], []
         for item_id, text in items:
             words = words_of(text or "")
             if len(words) < LEAST_WORDS:
                 continue
-            cuts = np.linspace(0, len(words), -(-len(words) // PIECE) + 1).astype(int)
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                counts: dict[int, int] = {}
-                for w in words[i:j]:
-                    t = self.terms.setdefault(w, len(self.terms))
-                    counts[t] = counts.get(t, 0) + 1
-                term += counts
-                times += counts.values()
-                piece += [len(owners)] * len(counts)
-                length.append(j - i)
-                owners.append(len(self.items))
-            self.items.append((item_id, *question_and_answer(text)))
+            asked, answer = question_and_answer(text)
+            # a question that counts alone must be found alone
+            for part in [words, asked] if PART_WORDS <= len(asked) < len(words) else [words]:
+                cuts = np.linspace(0, len(part), -(-len(part) // PIECE) + 1).astype(int)
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    counts: dict[int, int] = {}
+                    for w in part[i:j]:
+                        t = self.terms.setdefault(w, len(self.terms))
+                        counts[t] = counts.get(t, 0) + 1
+                    term += counts
+                    times += counts.values()
+                    piece += [len(owners)] * len(counts)
+                    length.append(j - i)
+                    owners.append(len(self.items))
+            self.items.append((item_id, asked, answer))
+            self.words.append(words)
         self.owner = np.array(owners, np.int64)
         self.n_pieces, self.n_blocks = len(owners), -(-len(owners) // BLOCK)
         if not owners:
@@ -155,6 +181,21 @@ class Index:
         return [(d, p, s) for (d, p), s in best.items()]
 
 
+def verified(
+    index: Index, document: list[str], scores: dict[int, float], question: float, answer: float, whole: float
+) -> Iterator[tuple[int, float, float, float]]:
+    """(item_id, score, question share, answer share) of the items in ``scores`` that a document holds."""
+    lengths = {min(5, len(p)) for i in scores for p in index.items[i][1:]}
+    own = {n: shingles(document, n) for n in {*lengths, RUN}}
+    for i, score in scores.items():
+        item_id, q, a = index.items[i]
+        q_share, a_share = _overlap(q, own), _overlap(a, own)
+        held = q_share >= question and a_share >= answer
+        held = held or coverage(index.words[i], own[RUN]) >= whole
+        if held or (len(q) >= PART_WORDS and coverage(q, own[RUN]) >= whole):
+            yield item_id, score, q_share, a_share
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -165,14 +206,16 @@ def contaminated(
     threshold: float = 0.5,
     question: float = 0.6,
     answer: float = 0.5,
+    whole: float = 0.7,
     shard_items: int = SHARD_ITEMS,
 ) -> DataFrame:
     """Test items found in documents: (doc_id, item_id, score, question_overlap, answer_overlap).
 
     All passages of all whole texts are searched.  An item counts if a passage scores
     ``threshold`` of a piece's own score or more and the document has the shares
-    ``question`` and ``answer`` of the shingles of the item's parts.  Case and
-    punctuation do not matter.  Null and empty texts hold nothing, items with null
+    ``question`` and ``answer`` of the shingles of the item's parts, or the share
+    ``whole`` of the words of the item, or of its question alone, in runs of RUN words.
+    Case and punctuation do not matter.  Null and empty texts hold nothing, items with null
     texts or fewer than LEAST_WORDS words are not searched, repeated rows give repeated
     hits, rows without an id give hits without one.  No items give no rows.
     """
@@ -196,13 +239,8 @@ def contaminated(
                     scores[item] = max(score, scores.get(item, 0.0))
                 out = []
                 for d, scores in sorted(found.items()):
-                    parts = [held.items[i] for i in scores]
-                    lengths = {min(5, len(p)) for _, *qa in parts for p in qa}
-                    own = {n: shingles(documents[d], n) for n in lengths}
-                    for (item_id, q, a), score in zip(parts, scores.values()):
-                        q_share, a_share = _overlap(q, own), _overlap(a, own)
-                        if q_share >= question and a_share >= answer:
-                            out.append((ids[d], item_id, score, q_share, a_share))
+                    for hit in verified(held, documents[d], scores, question, answer, whole):
+                        out.append((ids[d], *hit))
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 

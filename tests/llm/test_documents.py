@@ -230,6 +230,28 @@ def test_contaminated_documents(spark, empty):
     assert decontaminate.contaminated(frame(spark, leaks), bench.limit(0)).count() == 0
 
 
+def test_edited_and_cut_items_are_found(spark):
+    rng = np.random.default_rng(4)
+    words = [f"v{i}" for i in range(900)]
+    said = lambda n: list(rng.choice(words, n))
+    # with last sentences of one word, of a few, of many, and none
+    items = [" ".join(said(24)) + end for end in (". X.", ". It is.", ". " + " ".join(said(12)) + ".", "")]
+
+    def edits(item):
+        given = item.split()
+        changed = [*given[:-1], "other."]
+        middle = [*given[:9], "other", *given[10:]]
+        return [given, changed, middle, given[:-1], given[: -(len(given) // 10 or 1)], given[:24]]
+
+    leaks = [(i, " ".join([*said(60), *e, *said(40)])) for i, item in enumerate(items) for e in edits(item)]
+    # the words of an item in another order are not the item
+    clean = [" ".join(said(60) + list(rng.permutation(item.split())) + said(60)) for item in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = decontaminate.contaminated(frame(spark, clean + [t for _, t in leaks]), bench)
+    found = sorted((r["doc_id"], r["item_id"]) for r in got.collect())
+    assert found == [(len(clean) + d, i) for d, (i, _) in enumerate(leaks)]
+
+
 def test_search_finds_all_above_the_threshold():
     rng = np.random.default_rng(5)
     words = [f"v{i}" for i in range(120)]
