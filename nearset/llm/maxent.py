@@ -5,21 +5,26 @@
 2. Counts of all words in the training documents are made by Spark and brought back to
    the chunks.
 3. The model says P(word | context) = P(class | context) * P(word | class, context).  The
-   few hundred words that make up a set share of the corpus are in classes of their own
-   kind, with a softmax over the members; the others are classed by how often they
-   come (powers of two, and one class for words never seen), and share their class by
-   their counts.  Both softmaxes are log-linear in hashed features of the context: the
-   word before, the one before that (a skip), and both.
-4. Training passes over all training tokens: each task takes gradient steps on its chunks
-   from the common weights, and the weighted mean of all tasks is the next weights.  A
-   training word counts as one less frequent than it is, as it is not in its own past,
-   which teaches the model what unseen words are worth.
+   few hundred words that make up a set share of the corpus are in classes of CLASS_SIZE;
+   the others are classed by how often they come (powers of two, and one class for words
+   never seen), and the words of such a class, ordered by their counts, are the leaves of
+   a tree whose nodes have FAN children.  Every choice is a softmax, log-linear in hashed
+   features of the context: the word before, the one before that (a skip), and both.
+4. Common weights take other than frequent words by their class alone.  Training passes
+   over all training tokens: each task takes gradient steps on its chunks from the common
+   weights, and the weighted mean of all tasks is the next weights.  A training word
+   counts as one less frequent than it is, as it is not in its own past, which teaches
+   the model what unseen words are worth.
+5. Weights of the words themselves, frequent or not, are in shards, one for SHARD_TOKENS
+   training tokens.  Tokens are dealt to shards by their context; a shard learns its
+   weights on top of the common ones and scores its tokens, in one task of bounded size.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearset.llm.common import ready, texts
+from nearset.llm.common import ready, row_numbers, texts
 from nearset.llm.encode import gathered
 from nearset.runtime import write_once
 
@@ -40,8 +45,17 @@ HEAD_SHARE = 2000
 CLASS_SIZE = 16
 #: Classes by count: unseen, 1, 2-3, 4-7, ...
 TAIL_CLASSES = 48
-#: Rows of hashed weights, for classes and for members of classes.
-CLASS_ROWS, MEMBER_ROWS = 1 << 12, 1 << 9
+#: Rows of hashed common weights, for classes and for members of classes.
+CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 11
+#: Children of a node in the tree of a class by count; members of a class fill one node.
+FAN = CLASS_SIZE
+#: Training tokens for which there is one shard, and its rows of hashed weights.
+SHARD_TOKENS = 1 << 20
+SHARD_CLASS_ROWS, SHARD_NODE_ROWS = 1 << 14, 1 << 16
+#: Shards that share a context of two frequent words, which may be any part of the tokens.
+SPREAD = 8
+#: Words that one task numbers.
+TAIL_PART = 100_000
 BATCH = 8192
 
 
@@ -88,6 +102,20 @@ class Corpus:
     head: dict[str, int]  # word: number from 1; 0 is the end of a document
     head_counts: np.ndarray
     tail_totals: np.ndarray
+    # of other words, by count: the different counts, and how many words have each
+    tail_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    tail_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    @property
+    def shards(self) -> int:
+        return max(1, -(-self.tokens // SHARD_TOKENS))
+
+    @functools.cached_property
+    def tree(self) -> tuple[np.ndarray, ...]:
+        """By class its first word and number of words; words and tokens up to each count."""
+        size = np.bincount(tail_class(self.tail_counts), self.tail_words, len(self.tail_totals)).astype(np.int64)
+        words = np.append(0, np.cumsum(self.tail_words))
+        return np.cumsum(size) - size, size, words, np.append(0, np.cumsum(self.tail_counts * self.tail_words))
 
     @property
     def bounds(self) -> np.ndarray:
@@ -106,7 +134,9 @@ def document_tokens(corpus: Corpus, row: dict, only_train: bool) -> Iterator[Tok
     step = (ends + np.arange(1, len(n) + 1) - 1) // TOGETHER
     for one in np.unique(step):
         i, j = np.searchsorted(step, [one, one + 1])
-        yield Tokens(corpus, n[i:j], ids[ends[i] - n[i] : ends[j - 1]], counts, row["heads"])
+        tokens = Tokens(corpus, n[i:j], ids[ends[i] - n[i] : ends[j - 1]], counts, row["heads"])
+        tokens.place_of(row, ids[ends[i] - n[i] : ends[j - 1]])
+        yield tokens
 
 
 class Weights:
@@ -139,7 +169,18 @@ class Tokens:
         one, two = np.zeros_like(own), np.zeros_like(own)
         one[1:], two[2:] = own[:-1], own[:-2]
         one[at < 1], two[at < 2] = 0, 0
-        self.features = np.stack([_hashed(1, one), _hashed(2, two), _hashed(3, one * 65_537 + two)])
+        self.one, self.two = one, two
+        self.features = _features(one, two)
+
+    def place_of(self, row: dict, ids: np.ndarray) -> None:
+        """Add numbers of words among all others of the tail, and words by a hash; 0 for unseen words and ends."""
+        ends = np.cumsum(self.doc_tokens - 1)
+        self.place = np.insert(row["places"][ids], ends, 0)
+        self.key = np.insert(np.where(row["counts"] > 0, row["keys"], 0)[ids], ends, 0)
+
+
+def _features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.stack([_hashed(1, one), _hashed(2, two), _hashed(3, one * 65_537 + two)])
 
 
 def _hashed(kind: int, x: np.ndarray) -> np.ndarray:
@@ -158,10 +199,10 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Learner:
-    """AdaGrad steps on copies of the weights; keeps how often each row was met."""
+    """AdaGrad steps on copies of two tables of weights; keeps how often each row was met."""
 
-    def __init__(self, weights: Weights, rate: float):
-        self.weights = (weights.classes.copy(), weights.members.copy())
+    def __init__(self, first: np.ndarray, second: np.ndarray, rate: float):
+        self.weights = (first.copy(), second.copy())
         self.squares = tuple(np.full(w.shape, 1e-6, np.float32) for w in self.weights)
         self.met = tuple(np.zeros(len(w), np.int64) for w in self.weights)
         self.rate = rate
@@ -195,12 +236,12 @@ def run_tokens(corpus: Corpus, classes: np.ndarray, members: np.ndarray, t: Toke
             grad[here, target] -= 1
             for rows in (np.zeros(len(target), np.uint16), *f):
                 learner.step(0, rows, slice(None), grad)
-        m = [_rows(x[i : i + BATCH], MEMBER_ROWS) for x in t.features[:2]]
+        m = [_rows(x[i : i + BATCH], MEMBER_ROWS) for x in t.features]
         for k in np.unique(target[target < n_classes]):
             among = np.flatnonzero(target == k)
             span = slice(bounds[k], bounds[k + 1])
             rows = [x[among] for x in m]
-            log_q = _log_softmax(members[0, span] + members[rows[0], span] + members[rows[1], span])
+            log_q = _log_softmax(members[0, span] + sum(members[r, span] for r in rows))
             which = head[among] - bounds[k]
             value[among] += log_q[np.arange(len(among)), which]
             if learner is not None:
@@ -216,12 +257,148 @@ def run_tokens(corpus: Corpus, classes: np.ndarray, members: np.ndarray, t: Toke
     return out / np.log(10)
 
 
+_BLOCK = {
+    "doc": np.int32, "flags": np.uint8, "target": np.int16, "place": np.int64,
+    "one": np.int32, "two": np.int32, "one_key": np.int32, "two_key": np.int32,
+}
+_BLOCK_COLUMNS = "shard bigint, chunk bigint, step int, " + ", ".join(f"{name} binary" for name in _BLOCK)
+
+
+def _blocks(corpus: Corpus, row: dict) -> Iterator[pa.RecordBatch]:
+    """The tokens of a chunk by shard."""
+    n_head, n_classes = len(corpus.head_counts), len(corpus.bounds) - 1
+    train, done = np.asarray(row["train"], bool), 0
+    for step, t in enumerate(document_tokens(corpus, row, False)):
+        at = np.arange(len(t.one)) - np.repeat(np.cumsum(t.doc_tokens) - t.doc_tokens, t.doc_tokens)
+
+        def before(x: np.ndarray, n: int) -> np.ndarray:
+            out = np.zeros_like(x)
+            out[n:] = x[:-n]
+            out[at < n] = 0
+            return out
+
+        # words that training takes to the class below: counts that are powers of two
+        lower = (t.head < 0) & (t.count > 0) & (t.count & (t.count - 1) == 0)
+        columns = {"doc": np.repeat(np.arange(done, done + len(t.doc_tokens)), t.doc_tokens)}
+        columns["flags"] = lower + 2 * before(lower, 1) + 4 * before(lower, 2) + 8 * train[columns["doc"]]
+        columns |= {"target": t.target, "place": np.where(t.head >= 0, t.head, t.place), "one": t.one, "two": t.two}
+        columns |= {"one_key": before(t.key, 1), "two_key": before(t.key, 2)}
+        done += len(t.doc_tokens)
+        one, two = columns["one_key"].astype(np.int64) << 12, columns["two_key"].astype(np.int64)
+        often = _hashed(5, t.one * 65_537 + t.two + ((row["chunk"] % SPREAD) << 40))
+        hashes = np.where(t.one >= n_head, _hashed(4, one), np.where(t.two >= n_head, _hashed(4, one + two), often))
+        # after an unseen word there is nothing to learn, and any shard will do
+        hashes = np.where((t.one == n_head), _hashed(6, np.arange(len(one))), hashes)
+        shard = hashes.astype(np.int64) % corpus.shards
+        order = np.argsort(shard, kind="stable")
+        owners, first = np.unique(shard[order], return_index=True)
+        ends = [*first[1:].tolist(), len(order)]
+        columns = {name: columns[name].astype(kind)[order] for name, kind in _BLOCK.items()}
+        parts = [[columns[name][i:j].tobytes() for i, j in zip(first.tolist(), ends)] for name in _BLOCK]
+        same = [pa.array(owners, pa.int64()), pa.array([row["chunk"]] * len(owners), pa.int64()), pa.array([step] * len(owners), pa.int32())]
+        names = ["shard", "chunk", "step", *_BLOCK]
+        yield pa.RecordBatch.from_arrays([*same, *(pa.array(p, pa.binary()) for p in parts)], names)
+
+
+def _tree_entries(corpus: Corpus, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The nodes on the way to words of the tail: whose way it is, the node, the log of what is under each child, the child."""
+    first, size, words, tokens = corpus.tree
+    k = np.searchsorted(first + size, place, side="right")
+    depth = np.zeros(len(size), np.int64)
+    while (deeper := FAN**depth < size).any():
+        depth += deeper
+    own = depth[k]
+    who = np.repeat(np.arange(len(place)), own)
+    level = np.arange(len(who)) - np.repeat(np.cumsum(own) - own, own)
+    k, local = k[who], (place - first[k])[who]
+    width = FAN ** (own[who] - level - 1)
+    start = local // (width * FAN) * (width * FAN)
+    edges = np.minimum(start[:, None] + width[:, None] * np.arange(FAN + 1), size[k][:, None])
+    under = np.diff(np.interp(edges + first[k][:, None], words, tokens), axis=1)
+    with np.errstate(divide="ignore"):
+        prior = np.log(under)
+    return who, ((first[k] + start) << 4) + level, prior, (local - start) // width
+
+
+def run_shard(corpus: Corpus, common: Weights, tables: tuple, t: dict[str, np.ndarray], learner: Learner | None) -> np.ndarray:
+    """log10 probability of each token of a shard; with a learner, steps are taken on the way, as for words that come once less."""
+    out = np.zeros(len(t["target"]))
+    bounds, n_head = corpus.bounds, len(corpus.head_counts)
+    n_classes = len(bounds) - 1
+    classes, nodes = tables
+    for i in range(0, len(out), BATCH):
+        b = {name: x[i : i + BATCH].astype(np.int64) for name, x in t.items()}
+        target, one, two = b["target"], b["one"], b["two"]
+        if learner is not None:
+            target, one, two = target - (b["flags"] & 1), one - (b["flags"] >> 1 & 1), two - (b["flags"] >> 2 & 1)
+        features = _features(one, two)
+        keys = [b["one_key"], b["two_key"], b["one_key"] * 1_000_003 + b["two_key"]]
+        own = [_hashed(kind, x) for kind, x in zip((7, 8, 9), keys)]
+        f, g = [_rows(x, CLASS_ROWS) for x in features], [_rows(x, SHARD_CLASS_ROWS) for x in own]
+        z = common.classes[0] + sum(common.classes[x] for x in f) + classes[0] + sum(classes[x] for x in g)
+        log_p = _log_softmax(z)
+        here = np.arange(len(target))
+        value = log_p[here, target].astype(float)
+        if learner is not None:
+            grad = np.exp(log_p)
+            grad[here, target] -= 1
+            for rows in (np.zeros(len(target), np.uint16), *g):
+                learner.step(0, rows, slice(None), grad)
+        # members of classes of frequent words, and nodes of the others
+        head = np.flatnonzero(b["target"] < n_classes)
+        tail = np.flatnonzero(b["target"] > n_classes)
+        k = b["target"][head]
+        columns = np.minimum(bounds[k][:, None] + np.arange(FAN), n_head - 1)
+        m = [_rows(x[head], MEMBER_ROWS).astype(np.int64)[:, None] for x in features]
+        base = common.members[0][columns] + sum(common.members[x, columns] for x in m)
+        base[np.arange(FAN) >= (bounds[k + 1] - bounds[k])[:, None]] = -np.inf
+        who, node, prior, child = _tree_entries(corpus, b["place"][tail])
+        who, node = np.append(head, tail[who]), np.append(-1 - k, node)
+        base = np.concatenate([base, prior.astype(np.float32)])
+        child = np.append(b["place"][head] - bounds[k], child)
+        if not len(who):
+            out[i : i + BATCH] = value
+            continue
+        rows = [_node_rows(0, node), *(_node_rows(x[who].astype(np.int64), node) for x in own)]
+        log_q = _log_softmax(base + sum(nodes[r] for r in rows))
+        entry = np.arange(len(who))
+        value += np.bincount(who, log_q[entry, child], len(value))
+        if learner is not None:
+            grad = np.exp(log_q)
+            grad[entry, child] -= 1
+            for r in rows:
+                learner.step(1, r, slice(None), grad)
+        out[i : i + BATCH] = value
+    return out / np.log(10)
+
+
+def _node_rows(context: np.ndarray | int, node: np.ndarray) -> np.ndarray:
+    return (_hashed(10, node * 1_000_003 + context) % np.uint32(SHARD_NODE_ROWS)).astype(np.int32)
+
+
+def score_shard(corpus: Corpus, common: Weights, table: pa.Table, passes: int, rate: float) -> pa.Table:
+    """(doc, score) of the tokens of one shard, after learning from those for training."""
+    table = table.sort_by([("chunk", "ascending"), ("step", "ascending")])
+    t = {name: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in _BLOCK.items()}
+    n = np.array([len(x) // 4 for x in table.column("doc").to_pylist()])
+    docs = np.repeat(table.column("chunk").to_numpy() << 24, n) + t["doc"]
+    shape = (SHARD_CLASS_ROWS, len(corpus.bounds) - 1 + len(corpus.tail_totals))
+    learner = Learner(np.zeros(shape, np.float32), np.zeros((SHARD_NODE_ROWS, FAN), np.float32), rate)
+    learned = t["flags"] >= 8
+    for _ in range(passes if learned.any() else 0):
+        run_shard(corpus, common, learner.weights, {name: x[learned] for name, x in t.items()}, learner)
+    score = run_shard(corpus, common, learner.weights, t, None)
+    own, inverse = np.unique(docs, return_inverse=True)
+    return pa.table({"doc": pa.array(own, pa.int64()), "score": pa.array(np.bincount(inverse, score))})
+
+
 def _rows_of(batch: pa.RecordBatch, head: dict[str, int]) -> Iterator[dict]:
     """Rows with numeric lists as arrays, and frequent words by their numbers."""
     for i in range(batch.num_rows):
         row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns)}
-        out = {"doc_ids": row["doc_ids"].as_py(), "train": row["train"].as_py()}
-        out |= {name: row[name].values.to_numpy(zero_copy_only=False) for name in ("n_words", "ids", "counts")}
+        out = {"chunk": row["chunk"].as_py(), "doc_ids": row["doc_ids"].as_py(), "train": row["train"].as_py()}
+        numeric = ("n_words", "ids", "counts", "places", "keys")
+        out |= {name: row[name].values.to_numpy(zero_copy_only=False) for name in numeric}
         coded = row["often"].values.dictionary_encode()
         # a null, which stands for any other word, has no index
         numbers = np.array([*(head.get(w, -1) for w in coded.dictionary.to_pylist()), -1], np.int64)
@@ -239,7 +416,7 @@ def _train_pass(chunks: DataFrame, corpus: Corpus, weights: Weights, rate: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, start = common.value
-        learner = Learner(start, rate)
+        learner = Learner(start.classes, start.members, rate)
         for batch in batches:
             for row in _rows_of(batch, corpus.head):
                 for t in document_tokens(corpus, row, True):
@@ -304,10 +481,14 @@ def language_scores(
     tokens, distinct = total + n_docs, distinct + (n_docs > 0)
     often = F.col("c") * HEAD_SHARE >= tokens
     head = sorted((-r["c"], r["words"]) for r in counted.where(often).toLocalIterator())  # at most HEAD_SHARE
-    totals = np.zeros(TAIL_CLASSES)
-    by_class = counted.where(~often).groupBy(F.floor(F.log2("c") + 1e-12).cast("int").alias("k")).agg(F.sum("c").alias("c"))
-    for r in by_class.toLocalIterator():
-        totals[r["k"] + 1] = r["c"]
+    # words of the tail in the order of their counts, numbered in parts of bounded size
+    parts = -(-distinct // TAIL_PART) or 1
+    of_part = F.pmod(F.xxhash64("words"), F.lit(parts))
+    by_count = counted.where(~often).groupBy("c").agg(F.count("*").alias("n"))
+    # different counts add up to no more than the tokens, so they are few
+    tail = np.array(sorted(tuple(r) for r in by_count.toLocalIterator()), np.int64).reshape(-1, 2)
+    k = tail_class(tail[:, 0])
+    totals = np.bincount(k, tail[:, 0] * tail[:, 1], minlength=1).astype(float)
     corpus = Corpus(
         tokens,
         distinct,
@@ -315,7 +496,13 @@ def language_scores(
         {w: i for i, (_, w) in enumerate(head, 1)},
         np.array([n_docs, *(-c for c, _ in head)], float),
         totals,
+        *tail.T,
     )
+    within = row_numbers(counted.where(~often).withColumn("part", of_part), ["c"], ["words"], "place")
+    starts = [(int(c), int(n)) for c, n in zip(tail[:, 0], np.cumsum(tail[:, 1]) - tail[:, 1])]
+    starts = spark.createDataFrame(starts, "c bigint, before bigint")
+    places = within.join(starts, "c").select("words", "c", (F.col("place") + F.col("before")).alias("place"))
+    counted = places.unionByName(counted.where(often).withColumn("place", F.lit(0).cast("bigint")))
 
     found = entries.select("at", "words").join(counted, "words", "left").select(
         F.shiftright("at", 24).alias("chunk"),
@@ -323,13 +510,15 @@ def language_scores(
             F.col("at").bitwiseAND((1 << 24) - 1).cast("int").alias("place"),
             F.coalesce("c", F.lit(0)).alias("c"),
             F.when(often, F.col("words")).alias("word"),
+            F.coalesce(F.col("place"), F.lit(0)).alias("number"),
+            F.hash("words").alias("key"),
         ).alias("x"),
     )
     back = found.groupBy("chunk").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    back = back.select("chunk", F.col("x.c").alias("counts"), F.col("x.word").alias("often"))
-    nothing = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    lists = {"counts": ("c", "bigint"), "often": ("word", "string"), "places": ("number", "bigint"), "keys": ("key", "int")}
+    back = back.select("chunk", *[F.col(f"x.{name}").alias(out) for out, (name, _) in lists.items()])
     whole = chunks.drop("seen", "words").join(back, "chunk", "left").withColumns(
-        {"counts": F.coalesce("counts", nothing[0]), "often": F.coalesce("often", nothing[1])}
+        {name: F.coalesce(name, F.array().cast(f"array<{kind}>")) for name, (_, kind) in lists.items()}
     )
     whole = write_once(whole, "chunks")
 
@@ -338,27 +527,35 @@ def language_scores(
         weights = _train_pass(whole, corpus, weights, rate)
     model = spark.sparkContext.broadcast((corpus, weights))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, weights = model.value
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus, _ = model.value
+        for batch in batches:
+            for row in _rows_of(batch, corpus.head):
+                yield from _blocks(corpus, row)
+
+    def score(shard: pa.Table) -> pa.Table:
+        return score_shard(*model.value, shard, passes, rate)
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus, _ = model.value
         for batch in batches:
             for row in _rows_of(batch, corpus.head):
-                done = 0
-                for t in document_tokens(corpus, row, False):
-                    first = np.cumsum(t.doc_tokens) - t.doc_tokens
-                    base = np.log10((t.count + 1) / (corpus.tokens + corpus.distinct + 1))
-                    own = run_tokens(corpus, weights.classes, weights.members, t, None)
-                    known = np.add.reduceat((t.count > 0).astype(np.int64), first)
-                    columns = [
-                        pa.array(row["doc_ids"][done : done + len(first)], pa.int64()),
-                        pa.array(t.doc_tokens.astype(np.int64)),
-                        pa.array(known),
-                        pa.array(np.full(len(first), corpus.tokens)),
-                        pa.array(np.add.reduceat(base, first)),
-                        pa.array(np.add.reduceat(own, first)),
-                    ]
-                    done += len(first)
-                    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return whole.mapInArrow(score, schema)
+                n = row["n_words"]
+                counts = np.insert(row["counts"][row["ids"]], np.cumsum(n), corpus.documents)
+                first = np.cumsum(n + 1) - n - 1
+                value = np.log10((counts + 1) / (corpus.tokens + corpus.distinct + 1))
+                columns = [
+                    pa.array((row["chunk"] << 24) + np.arange(len(n)), pa.int64()),
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array((n + 1).astype(np.int64)),
+                    pa.array(np.add.reduceat((counts > 0).astype(np.int64), first)),
+                    pa.array(np.full(len(n), corpus.tokens)),
+                    pa.array(np.add.reduceat(value, first)),
+                ]
+                names = ["doc", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    scores = whole.mapInArrow(deal, _BLOCK_COLUMNS).groupBy("shard").applyInArrow(score, "doc bigint, score double")
+    scores = scores.groupBy("doc").agg(F.sum("score").alias("score"))
+    schema = "doc bigint, doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double"
+    return whole.mapInArrow(base, schema).join(scores, "doc").drop("doc")

@@ -211,6 +211,34 @@ def test_probabilities_of_a_context_sum_to_one():
     assert total + lost == pytest.approx(1, abs=1e-4)
 
 
+def test_shards_and_their_rows_grow_with_the_corpus():
+    sized = [maxent.Corpus(n, 7, 10, {}, np.array([10.0]), np.array([0.0])).shards for n in (10, 10**7, 10**9)]
+    assert sized[0] == 1 and sized[2] > 90 * sized[1] > 500
+
+
+def test_probabilities_of_all_words_in_a_shard_sum_to_one():
+    counts = np.repeat([1, 2, 3, 5, 6], [300, 40, 17, 16, 1])
+    tails, words = np.unique(counts, return_counts=True)
+    totals = np.bincount(maxent.tail_class(counts), counts).astype(float)
+    corpus = maxent.Corpus(900, 400, 10, {"a": 1, "b": 2}, np.array([10.0, 40, 25]), totals, tails, words)
+    rng = np.random.default_rng(0)
+    common = maxent.Weights(corpus)
+    common.members += rng.normal(0, 1, common.members.shape).astype(np.float32)
+    tables = [rng.normal(0, 1, n).astype(np.float32) for n in ((maxent.SHARD_CLASS_ROWS, 1 + len(totals)), (maxent.SHARD_NODE_ROWS, maxent.FAN))]
+    # every word in one context: frequent ones, all others, and unseen ones as one
+    place = np.concatenate([np.arange(3), np.arange(len(counts)), [0]])
+    target = np.concatenate([[0] * 3, 1 + maxent.tail_class(counts), [1]])
+    same = {name: np.full(len(place), 5) for name in ("one", "two", "one_key", "two_key")}
+    t = same | {"place": place, "target": target, "flags": np.zeros(len(place), np.uint8)}
+    p = 10 ** maxent.run_shard(corpus, common, tables, t, None)
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    # without weights of their own, words of a class share it by their counts
+    p = 10 ** maxent.run_shard(corpus, common, [0 * x for x in tables], t, None)[3:-1]
+    for k in np.unique(maxent.tail_class(counts)):
+        own = maxent.tail_class(counts) == k
+        assert p[own] / p[own].sum() == pytest.approx(counts[own] / totals[k], rel=1e-3)
+
+
 # --- decontamination ----------------------------------------------------------
 
 
