@@ -211,6 +211,19 @@ def test_probabilities_of_a_context_sum_to_one():
     assert total + lost == pytest.approx(1, abs=1e-4)
 
 
+def test_every_word_is_modelled_in_context(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(f"left{i}", f"right{i}") for i in range(300)]
+    texts = [" ".join(x for i in rng.permutation(300)[:200] for x in pairs[i]) for _ in range(40)]
+    # each word as often as before, but after another one
+    told = [" ".join(f"left{i} right{i}" for i in range(100, 200)), " ".join(f"left{i} right{299 - i}" for i in range(100, 200))]
+    filler = " ".join(["the of and to in"] * 20_000)  # so that no pair is of frequent words
+    got = {r["doc_id"]: r for r in maxent.language_scores(frame(spark, [*texts, filler, *told]), F.col("doc_id") <= 40).collect()}
+    one, other = got[41], got[42]
+    assert one["base_score"] == pytest.approx(other["base_score"])
+    assert one["score"] > other["score"] + 20
+
+
 def test_shards_and_their_rows_grow_with_the_corpus():
     sized = [maxent.Corpus(n, 7, 10, {}, np.array([10.0]), np.array([0.0])).shards for n in (10, 10**7, 10**9)]
     assert sized[0] == 1 and sized[2] > 90 * sized[1] > 500
