@@ -76,6 +76,11 @@ class Encoder(dict):
             before["pretokenizers"][0].get("invert") and before["pretokenizers"][0]["behavior"] == "Removed"
         )
 
+    def _holds_special(self, text: str) -> bool:
+        # the library may look for them after it has put a text in lower case
+        low = text.lower()
+        return any(s in text or s in low for s in self.special)
+
     def _ids(self, text: str) -> bytes:
         ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
         if sys.byteorder == "big":
@@ -104,7 +109,7 @@ class Encoder(dict):
 
     def _prepared(self, text: str) -> str | None:
         """The text with a space before each chunk but the first; None if the library must take it whole."""
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
+        if _UNUSUAL.search(text) or self.special and self._holds_special(text):
             return None
         if self.drops_space:
             return text.lower().replace("\n", " ")

@@ -170,6 +170,7 @@ def token_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int | None = 0,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Pieces of the ids of each whole text: (doc_id, piece, start, length, ids_crc32, part).
 
@@ -177,7 +178,7 @@ def token_pieces(
     texts are the end id alone.  ``part`` numbers the batches of rows made together.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, special_tokens).encode
         for table in gathered(batches):
             ids, counts = encode(table.column("text").to_pylist(), end_id)
             pieces = -(-counts // capacity)

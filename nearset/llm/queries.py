@@ -46,13 +46,13 @@ def tokenizer(name: str) -> str:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), special_tokens=True)
     return token_files.token_starts(token_files.read_tokens(spark, path))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lengths = token_counts.encoded_lengths(docs, tokenizer("byte_bpe_50k.json"))
+    lengths = token_counts.encoded_lengths(docs, tokenizer("byte_bpe_50k.json"), special_tokens=True)
     # the histogram is used several times, the texts are encoded once
     histogram = write_once(token_counts.length_histogram(lengths), "histogram")
     return token_counts.length_totals(histogram)
@@ -84,7 +84,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), 2048)
+    pieces = packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), 2048, special_tokens=True)
     return packing.pack(pieces, 2048, ["doc_id", "piece"])
 
 

@@ -16,12 +16,12 @@ PART = 1024
 
 
 def encoded_lengths(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True, special_tokens: bool = False
 ) -> DataFrame:
     """(doc_id, n_tokens) of every whole text; a null text is empty, ``end`` counts one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, special_tokens).encode
         for table in gathered(batches):
             _, n = encode(table.column("text").to_pylist())
             columns = [table.column("doc_id"), pa.array(n + end)]

@@ -22,10 +22,10 @@ from nearset.llm.encode import encoder, gathered
 from nearset.runtime import write_once
 
 
-def token_lists(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
+def token_lists(docs: DataFrame, tokenizer: str, end_id: int | None = 0, special_tokens: bool = False) -> DataFrame:
     """(doc_id, n_tokens, tokens) of (doc_id, text); ``end_id`` ends each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, special_tokens).encode
         for table in gathered(batches):
             ids, n = encode(table.column("text").to_pylist(), end_id)
             places = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -47,6 +47,7 @@ def write_tokens(
     encoding: str = "delta",
     row_group_bytes: int = 16 << 20,
     page_rows: int = 1000,
+    special_tokens: bool = False,
 ) -> None:
     """Encode every whole text and write the token files to ``path``, in order of id.
 
@@ -61,7 +62,7 @@ def write_tokens(
     placed = docs.repartitionByRange(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     ).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    lists = token_lists(placed, tokenizer, end_id)
+    lists = token_lists(placed, tokenizer, end_id, special_tokens)
     part, place = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")
     lists = lists.select("doc_id", "n_tokens", part, place, "tokens")
     (

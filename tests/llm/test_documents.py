@@ -326,6 +326,23 @@ def test_encoder_gives_the_ids_of_the_library(path):
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_queries_have_the_ids_of_the_plain_library_call(spark, tmp_path):
+    from nearset.llm import queries
+
+    texts = ["a <|endoftext|> b", "c<|startoftext|>D", "x <|ENDOFTEXT|>  y <|StartOfText|>", "none"]
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = [[x.ids for x in Tokenizer.from_file(p).encode_batch(texts, add_special_tokens=False)] for p in (BYTES, WORDS)]
+    files = {r["doc_id"]: r for r in queries.op5_token_files(spark, str(tmp_path)).collect()}
+    assert [files[i]["n_tokens"] for i in range(4)] == [len(x) + 1 for x in plain[0]]
+    lengths = collections.Counter(len(x) for x in plain[0])
+    got = {r["length"]: r["n_docs"] for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert got == lengths or got == {k + 1: v for k, v in lengths.items()}
+    pieces = {r["doc_id"]: r for r in queries.op9_packing(spark, str(tmp_path)).collect()}
+    assert [pieces[i]["ids_crc32"] for i in range(4)] == [
+        zlib.crc32(np.array([*x, 0], "<u4")) for x in plain[1]
+    ]
+
+
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_token_files(spark, docs, tmp_path, encoding):
     path = f"{tmp_path}/{encoding}"
