@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearset.llm import chat, packing, token_counts, token_files
+from nearset.llm import chat, line_dedup, packing, prefix_trie, spelling, token_counts, token_files
 from nearset.llm.common import remainder, table
 from nearset.llm.decontaminate import contaminated
 from nearset.llm.gbdt import quality_scores
@@ -88,6 +88,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 2048, ["doc_id", "piece"])
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = line_dedup.insert(line_dedup.empty_index(spark), docs)
+    kept = line_dedup.kept_lines(docs, index)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = write_once(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -100,8 +116,150 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
+_SPELLING_SQL = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, run, count(*) AS n
+    FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[a-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents
+    )
+    GROUP BY ALL
+),
+hashed AS (
+    -- crc32 of the UTF-8 bytes of "doc_id:run", bit by bit
+    SELECT run, n, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, flatten([
+            CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END
+            FOR c IN string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '')])),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS h
+    FROM runs
+),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (
+        SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+        FROM hashed
+    )
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+cut AS (
+    SELECT word, n, pos, left(word, (pos - 1)::INT) || substr(word, (pos + 1)::INT) AS rest
+    FROM words, (SELECT unnest(range(1, (SELECT max(length(word)) + 1 FROM words))) AS pos) p WHERE pos <= length(word)
+),
+near AS (
+    -- one letter replaced: equal without the letter of one position
+    SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+),
+best AS (
+    SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS near, max(n) AS near_n FROM near GROUP BY word
+),
+forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+           CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+    FROM words w LEFT JOIN best b USING (word)
+),
+chains AS (
+    SELECT word, word AS root FROM forms
+    UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+),
+roots AS (SELECT c.word, c.root FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r USING (word)
+"""
+
+_LINE_DEDUP_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, pos, line, translate(
+               regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+        FROM documents
+    )
+),
+often AS (
+    SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+),
+marked AS (
+    SELECT l.doc_id, l.pos, l.line, o.key IS NOT NULL AND l.doc_id < o.last AS dropped
+    FROM lines l LEFT JOIN often o ON l.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+_PREFIX_TRIE_SQL = r"""
+WITH RECURSIVE own AS (
+    SELECT conv_id, i, {'role': role, 'text': text} AS turn,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+        FROM conversations WHERE conv_id IS NOT NULL
+    )
+),
+heads AS (
+    -- crc32 of the decimal id, bit by bit
+    SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')]),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM own)
+),
+turns AS (
+    SELECT h.conv_id, o.i, o.turn, o.words FROM heads h JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20 AND o.i < h.h
+    UNION ALL
+    SELECT h.conv_id, o.i, o.turn, o.words FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.i >= h.h
+),
+rebuilt AS (
+    SELECT conv_id, turn, words, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth FROM turns
+),
+lengths AS (SELECT h.conv_id, count(r.depth) AS length FROM heads h LEFT JOIN rebuilt r USING (conv_id) GROUP BY h.conv_id),
+-- the member of each depth is the smallest conversation that has the same first turns
+steps AS (
+    SELECT conv_id, 0 AS depth, (SELECT min(conv_id) FROM heads) AS node, 0 AS words FROM heads
+    UNION ALL
+    SELECT r.conv_id, s.depth + 1, min(r.conv_id) OVER (PARTITION BY s.depth, s.node, r.turn), r.words
+    FROM steps s JOIN rebuilt r ON r.conv_id = s.conv_id AND r.depth = s.depth + 1
+),
+nodes AS (SELECT node AS conv_id, depth, count(*) AS n_convs, max(words) AS words FROM steps GROUP BY node, depth),
+parents AS (
+    SELECT n.conv_id, n.depth, p.node AS parent
+    FROM nodes n LEFT JOIN steps p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+),
+children AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM parents WHERE parent IS NOT NULL GROUP BY ALL),
+below AS (
+    SELECT a.node AS conv_id, a.depth, sum(CAST(c.n IS NULL AS BIGINT)) AS leaves, sum((n.n_convs - 1) * n.words) AS tokens
+    FROM nodes n JOIN steps a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+    LEFT JOIN children c ON c.parent = n.conv_id AND c.depth = n.depth
+    GROUP BY a.node, a.depth
+),
+ended AS (
+    SELECT s.node AS conv_id, s.depth, string_agg(s.conv_id::VARCHAR, ',' ORDER BY s.conv_id) AS ids
+    FROM steps s JOIN lengths l ON l.conv_id = s.conv_id AND l.length = s.depth GROUP BY s.node, s.depth
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.parent AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+       b.leaves::BIGINT AS n_leaves, b.tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN parents p USING (conv_id, depth) JOIN below b USING (conv_id, depth)
+LEFT JOIN children c ON c.parent = n.conv_id AND c.depth = n.depth
+LEFT JOIN ended e ON e.conv_id = n.conv_id AND e.depth = n.depth
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_spelling_variants": _SPELLING_SQL,
+        "op12_line_dedup": _LINE_DEDUP_SQL,
+        "op13_prefix_trie": _PREFIX_TRIE_SQL,
+    }
