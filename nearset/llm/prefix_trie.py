@@ -291,7 +291,8 @@ def prefix_trie(paths: DataFrame, ends: DataFrame) -> DataFrame:
     named = nodes.select(*_NAME, "conv_id")
     chains = turns.select("path", *_NAME).join(named, _NAME).select("path", "depth", "conv_id")
     # every path starts at the root, which is one row
-    top = turns.where("depth = 1").select("path").join(F.broadcast(named.where("depth = 0").select("depth", "conv_id")))
+    top = turns.where("depth = 1").select("path", zero.alias("depth"))
+    top = top.join(F.broadcast(named.where("depth = 0").select("depth", "conv_id")), "depth")
     chains = write_once(chains.unionByName(top.select("path", "depth", "conv_id")), "chains")
     totals = _grafted(own, chains, span)
 
