@@ -372,6 +372,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "similarity_join_classes_t30": _join(0.3, length_classes="reference"),
         "similarity_join_complete_classes_t30": _join(0.3, length_classes="complete"),
         "similarity_join_bag_t30": _join(0.3, distinct=False),
+        "similarity_join_adaptive_t50": _join(0.5, adaptive=True),
+        "similarity_join_adaptive_t30": _join(0.3, adaptive=True),
         "similar_groups_t50": _similar_groups,
         "similar_with_records": _with_records,
         # statistics
@@ -411,6 +413,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # documents as sets
         "document_near_duplicates_t90": _duplicates(0.9),
         "document_near_duplicates_t50": _duplicates(0.5),
+        "document_near_duplicates_adaptive_t90": _duplicates(0.9, adaptive=True),
         "document_near_duplicates_t90_small_blocks": _duplicates(0.9, **SMALL),
         "rarest_words": _rarest_words,
         "rarest_words_candidates": _rarest_word_duplicates,
@@ -656,6 +659,8 @@ def oracle_sql() -> dict[str, str]:
         "similarity_join_k3_t30": f"{_sql_found(0.3, 3)} {distinct_bag}",
         "similarity_join_classes_t30": f"{_sql_found(0.3, 1, 'reference')} {distinct_bag}",
         "similarity_join_complete_classes_t30": joined[0.3],
+        "similarity_join_adaptive_t50": joined[0.5],
+        "similarity_join_adaptive_t30": joined[0.3],
         "similarity_join_bag_t30": f"{_sql_found(0.3, 1)} SELECT * FROM bag",
         "similar_groups_t50": (
             f"{sets}, {groups}, {_sql_pairs(0.5)} SELECT id_a AS rep_a, id_b AS rep_b, "
@@ -738,6 +743,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "document_near_duplicates_t90": doc_pairs[0.9],
         "document_near_duplicates_t50": doc_pairs[0.5],
+        "document_near_duplicates_adaptive_t90": doc_pairs[0.9],
         "document_near_duplicates_t90_small_blocks": doc_pairs[0.9],
         "rarest_words": (
             f"WITH {_DOC_SETS}, {_sql_ranked()} "

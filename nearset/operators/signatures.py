@@ -31,6 +31,7 @@ class Scheme:
     ``order``          "frequency" (rare items first) or "item".
     ``prefix_items``   a fixed number of rarest items instead of the length
                        the threshold asks for; can miss pairs.
+    ``adaptive``       signatures of one or two items, chosen for each set; exact.
     """
 
     threshold: float = 0.9
@@ -38,6 +39,7 @@ class Scheme:
     length_classes: str | None = None
     order: str = "frequency"
     prefix_items: int | None = None
+    adaptive: bool = False
 
     def __post_init__(self):
         if not 0.0 < self.threshold <= 1.0:
@@ -50,6 +52,8 @@ class Scheme:
             raise ValueError(f"unknown item order: {self.order!r}")
         if self.prefix_items is not None and self.prefix_items < self.size:
             raise ValueError("prefix_items must be at least the signature size")
+        if self.adaptive and (self.size, self.length_classes, self.order, self.prefix_items) != (1, None, "frequency", None):
+            raise ValueError("adaptive signatures set the size themselves and need the order by frequency")
 
     def prefix(self, n: Column) -> Column:
         """Prefix length of a set of ``n`` items, never beyond the set itself."""

@@ -6,7 +6,7 @@ The steps, all on DataFrames:
                     items rare first, write the sets once.
 2. ``candidates``   sets that share a signature and whose sizes and positions
                     still allow the threshold.
-3. ``verify``       exact overlap of each candidate pair.
+3. ``verify``       exact overlap of the candidates that bitmaps leave.
 4. ``expand``       back from representatives to all set ids.
 
 Two facts about the data choose the plan, each read by a small aggregate job:
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from nearset.functions import sets as S
 from nearset.operators import large_sets
+from nearset.operators.adaptive import adaptive_signatures
 from nearset.operators.blocks import (
     BLOCK_ROWS,
     block_count,
@@ -42,6 +43,7 @@ from nearset.operators.itemsets import (
     unique_rows,
 )
 from nearset.operators.signatures import Scheme, combine_prefix
+from nearset.operators.sketches import possible_pairs
 from nearset.runtime import write_once
 
 # Most item combinations one set may turn into; longer sets sign with single
@@ -96,6 +98,7 @@ def prepare(rows: DataFrame, scheme: Scheme, split_rows: int = SPLIT_ROWS) -> Pr
             F.size("ordered").cast("bigint").alias("n"),
             F.size(F.filter("ordered", lambda x: x["df"] == 1)).alias("skip"),
             F.col("ordered.item").alias("items"),
+            *([F.col("ordered.df").alias("dfs")] if scheme.adaptive else []),
         )
     )
     return Prepared(write_once(_with_copies(sets, reps), "sets"), members, large)
@@ -125,7 +128,7 @@ def longest_combined(scheme: Scheme) -> int:
         return math.comb(min(n, p), scheme.size) <= _MAX_COMBINATIONS
 
     low, high = 0, 1
-    while fits(high) and high < _ANY:
+    while high < 1 << 50 and fits(high):  # larger numbers are not exact as doubles
         low, high = high, high * 2
     while high - low > 1:
         middle = (low + high) // 2
@@ -192,25 +195,32 @@ def _side(df: DataFrame, name: str, keys: list[str], extra: list[str]) -> DataFr
     )
 
 
-def pair_up(signed: DataFrame, scheme: Scheme, block_rows: int | None = None) -> DataFrame:
-    """Candidate pairs (a, b), ``a`` the smaller set; each pair once.
+def pair_up(
+    signed: DataFrame, scheme: Scheme, block_rows: int | None = None, sought: DataFrame | None = None
+) -> DataFrame:
+    """Candidate pairs (a, b, n_a, n_b), ``a`` the smaller set; each pair once.
 
-    With ``block_rows``, signatures shared by more rows are cut into blocks.
+    With ``block_rows``, signatures shared by more rows are cut into blocks.  ``sought``
+    are the rows of ``signed`` under which larger sets look for smaller ones, if not all.
     """
     keys = ["sig"]
-    left, right = signed, signed
+    left, right = signed, signed if sought is None else sought
     if block_rows is not None:
         sizes = signed.groupBy("sig").agg(F.count("*").alias("rows"))
         large = write_once(sizes.where(F.col("rows") > block_rows), "large-signatures")
-        signed = signed.join(large, "sig", "left").fillna(1, subset=["rows"])
-        left, right = blocked_sides(signed, "set_id", "rows", block_rows)
+
+        def blocked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+            sized = rows.join(large, "sig", "left").fillna(1, subset=["rows"])
+            return blocked_sides(sized, "set_id", "rows", block_rows)
+
+        left, right = blocked(left)[0], blocked(right)[1]
         keys = ["sig", "left_block", "right_block"]
     return (
         _side(left, "a", keys, ["level", "above", "within"])
         .join(_side(right, "b", keys, []), keys)
         .where(_meets(scheme))
-        .select("a", "b")
-        .dropDuplicates(["a", "b"])
+        .select("a", "b", "n_a", "n_b")
+        .distinct()
     )
 
 
@@ -277,7 +287,11 @@ def split_hot(signed: DataFrame, sets: DataFrame, hot: DataFrame, scheme: Scheme
 def candidates(
     sets: DataFrame, scheme: Scheme, hot_rows: int = BLOCK_ROWS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Candidate pairs (a, b) of the prepared sets."""
+    """Candidate pairs (a, b, n_a, n_b) of the prepared sets."""
+    if scheme.adaptive:
+        signed, sought = (write_once(x, "signed-sets") for x in adaptive_signatures(sets, scheme))
+        rows = signed.groupBy("sig").count().agg(F.max("count")).first()[0] or 0
+        return pair_up(signed, scheme, block_rows if rows > hot_rows else None, sought)
     signed = write_once(signed_sets(sets, scheme), "signed-sets")
     hot = write_once(
         signed.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows),
@@ -293,6 +307,7 @@ def candidates(
 def verify(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """Keep pairs that reach the threshold.
 
+    Bitmaps of the sets sort out most pairs first; item lists are fetched for the rest.
     Out: (a, b, n_a, n_b, copies_a, copies_b, shared, overlap, jaccard), where
     ``shared`` is the number of prefix items in common.
     """
@@ -300,7 +315,6 @@ def verify(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     def side(name: str) -> DataFrame:
         return sets.select(
             F.col("set_id").alias(name),
-            F.col("n").alias(f"n_{name}"),
             F.col("copies").alias(f"copies_{name}"),
             F.col("items").alias(f"items_{name}"),
         )
@@ -309,7 +323,8 @@ def verify(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
         return F.slice(f"items_{name}", F.lit(1), scheme.prefix(F.col(f"n_{name}")).cast("int"))
 
     checked = (
-        pairs.join(side("a"), "a")
+        possible_pairs(pairs, sets, scheme.threshold)
+        .join(side("a"), "a")
         .join(side("b"), "b")
         .withColumn("overlap", S.overlap(F.col("items_a"), F.col("items_b")))
         .withColumn("jaccard", S.jaccard(F.col("overlap"), F.col("n_a"), F.col("n_b")))
@@ -430,6 +445,7 @@ def similarity_join(
     prefix_items: int | None = None,
     distinct: bool = True,
     unique: bool = False,
+    adaptive: bool = False,
     split_rows: int = SPLIT_ROWS,
     hot_rows: int = BLOCK_ROWS,
     block_rows: int = BLOCK_ROWS,
@@ -440,10 +456,11 @@ def similarity_join(
     a pair appears once per signature its sets share.  A group of n equal sets
     gives n * (n - 1) / 2 pairs, which is the result as defined; ``similar_groups``
     has the same links in linear size.  Rows with a null set or item are left out.
-    ``unique`` promises that no (set, item) row repeats.  ``split_rows``, ``hot_rows`` and ``block_rows``
+    ``unique`` promises that no (set, item) row repeats.  ``adaptive`` lets each set sign with
+    one or two items, whichever makes fewer candidates; the result is the same.  ``split_rows``, ``hot_rows`` and ``block_rows``
     bound what one task handles; they do not change the result.
     """
-    scheme = Scheme(threshold, signature_size, length_classes, order, prefix_items)
+    scheme = Scheme(threshold, signature_size, length_classes, order, prefix_items, adaptive)
     rows = item_rows(df, set_col, item_col)
     prepared = prepare(rows if unique else unique_rows(rows), scheme, split_rows)
     found = similar_sets(prepared, scheme, split_rows, hot_rows, block_rows)

@@ -1,12 +1,13 @@
 """Statistics of a join: bucket sizes, comparisons, duplicates.
 
-Nothing here lists pairs that are only counted: comparisons are products of
-group sizes, and copies enter as weights.
+Nothing here lists pairs that are only counted: comparisons are sums over the
+sorted sizes of a signature, and copies enter as weights.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearset.functions import sets as S
@@ -36,22 +37,23 @@ def shared_signatures(signatures: DataFrame) -> DataFrame:
 def count_comparisons(signed: DataFrame, threshold: float) -> DataFrame:
     """Pairs per signature that pass the length filter, summed: (comparisons).
 
-    Counts sets per (signature, size) first and pairs the sizes, not the sets.
+    Sizes of a signature are sorted once.  A set of n items meets the sets of size
+    ``ceil(t * n)`` up to n, and how many these are is the difference of two sums of what
+    comes before: before n, and before the smallest size it may meet.
     """
     sizes = signed.groupBy("sig", "class", "n").agg(F.count("*").alias("sets"))
-    small = sizes.select("sig", "class", F.col("n").alias("n_a"), F.col("sets").alias("sets_a"))
-    large = sizes.select("sig", "class", F.col("n").alias("n_b"), F.col("sets").alias("sets_b"))
-    n_a, n_b, sets_a, sets_b = (F.col(c) for c in ("n_a", "n_b", "sets_a", "sets_b"))
-    same_size = F.call_function("div", sets_a * (sets_a - 1), F.lit(2).cast("bigint"))
-    return (
-        small.join(large, ["sig", "class"])
-        .where((n_a <= n_b) & S.length_filter(n_a, n_b, threshold))
-        .agg(
-            F.coalesce(
-                F.sum(F.when(n_a == n_b, same_size).otherwise(sets_a * sets_b)), F.lit(0)
-            ).alias("comparisons")
-        )
-    )
+    fewest = S.min_partner_size(F.col("n"), threshold).cast("bigint")
+    # a mark at its smallest partner stands before the sets of that size
+    marks = [(fewest, 0), (F.col("n"), 1)]
+    ends = F.explode(F.array(*[F.struct(at.alias("at"), F.lit(kind).alias("kind")) for at, kind in marks]))
+    rows = sizes.select("sig", "class", "sets", ends.alias("end")).select("sig", "class", "sets", "end.*")
+    earlier = W.partitionBy("sig", "class").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, -1)
+    own = F.col("kind") == 1
+    before = F.coalesce(F.sum(F.when(own, F.col("sets"))).over(earlier), F.lit(0))
+    sets = F.col("sets")
+    same_size = F.call_function("div", sets * (sets - 1), F.lit(2).cast("bigint"))
+    met = F.when(own, sets * F.col("before") + same_size).otherwise(-sets * F.col("before"))
+    return rows.withColumn("before", before).agg(F.coalesce(F.sum(met), F.lit(0)).alias("comparisons"))
 
 
 def join_stats(

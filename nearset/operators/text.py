@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from nearset.functions import text as T
 from nearset.runtime import write_once
 
-# Longest piece of a token that is looked up whole; longer terms are found by
-# their first characters and then compared.
-_PIECE = 64
+# Characters of the runs that terms are found by.
+_GRAM = 3
+# Longest token that is cut into all its pieces.
+_WHOLE = 64
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,33 +151,74 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("term").distinct()
 
 
+def _grams(text: Column) -> Column:
+    """Distinct runs of ``_GRAM`` characters of ``text``, in time linear in its length."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    run = chars
+    for n in range(2, _GRAM + 1):
+        later = F.slice(chars, F.lit(n), F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+        run = F.zip_with(run, later, lambda x, c: F.concat(x, c))  # null where the text has ended
+    return F.array_distinct(F.filter(run, lambda x: x.isNotNull()))
+
+
+def rarest_grams(terms: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(gram, term): for each term the run of ``_GRAM`` characters that the fewest tokens hold.
+
+    ``frequency`` is (gram, tokens); terms with a run that is not in it are left out, as no
+    token holds them.
+    """
+    cut = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    rarest = cut.join(frequency, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "gram")).alias("least")
+    )
+    return rarest.where("least.tokens > 0").select("least.gram", "term")
+
+
+def _pieces(tokens: DataFrame, longest: int, *keep: str) -> DataFrame:
+    """All pieces of up to ``longest`` characters: (*keep, term), each at its first place."""
+    size = F.length("token")
+    cut = tokens.select(*keep, "token", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("at") + 1))
+    pieces = cut.select(*keep, "token", "at", F.explode(lengths).alias("length")).withColumn(
+        "term", F.substring("token", F.col("at"), F.col("length"))
+    )
+    return pieces.where(F.instr("token", F.col("term")) == F.col("at")).select(*keep, "term")
+
+
+def _inside_long(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(token, term) for tokens whose pieces would be too many.
+
+    An index holds each term under the rarest of its runs of ``_GRAM`` characters, a token
+    is looked up with its own runs, and what is found is compared.  Terms that are shorter
+    than a run are looked for among the characters of runs.  Rows grow with the length of
+    the tokens, and a token travels once and not with each of its runs.
+    """
+    named = tokens.select(F.xxhash64("token").alias("key"), "token")
+    runs = named.select("key", F.explode(_grams(F.col("token"))).alias("gram"))
+    frequency = write_once(runs.groupBy("gram").agg(F.count("*").alias("tokens")), "grams")
+    index = rarest_grams(terms.where(F.length("term") >= _GRAM), frequency)
+    found = runs.join(write_once(index, "gram-index"), "gram").select("key", "term")
+    # a token is longer than a run, so its shorter pieces are all in runs
+    shorter = _pieces(runs.withColumnRenamed("gram", "token"), _GRAM - 1, "key")
+    tiny = write_once(terms.where(F.length("term").between(1, _GRAM - 1)), "short-terms")
+    found = found.unionByName(shorter.join(tiny, "term").select("key", "term").distinct())
+    return named.join(found, "key").where(F.contains(F.col("token"), F.col("term"))).select("token", "term")
+
+
 def contained_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """Which terms occur inside which tokens: (token, term, matches).
 
-    ``tokens`` (token) and ``terms`` (term) are distinct.  Each token is cut into
-    its pieces of up to ``_PIECE`` characters, which are joined with the terms; so
-    the work grows with the length of the tokens, not with tokens times terms.
+    ``tokens`` (token) and ``terms`` (term) are distinct.  Tokens of up to ``_WHOLE``
+    characters are cut into all their pieces, which are joined with the terms; longer
+    ones are looked up in an index of the terms' rarest runs.
     """
     size = F.length("token")
-    cut = tokens.where(size > 0).select(
-        "token", F.explode(F.sequence(F.lit(1), size)).alias("at")
-    )
-    lengths = F.sequence(F.lit(1), F.least(F.lit(_PIECE), size - F.col("at") + 1))
-    pieces = cut.select("token", "at", F.explode(lengths).alias("length")).select(
-        "token", "at", F.substring("token", F.col("at"), F.col("length")).alias("term")
-    )
-    # a piece that occurs several times is kept at its first place
-    short = pieces.where(F.instr("token", F.col("term")) == F.col("at")).join(terms, "term")
-
-    head = F.substring("term", 1, _PIECE)
-    long = (
-        pieces.where((size > _PIECE) & (F.length("term") == _PIECE))
-        .withColumnRenamed("term", "head")
-        .join(terms.where(F.length("term") > _PIECE).withColumn("head", head), "head")
-        .where(F.instr("token", F.col("term")) == F.col("at"))
-    )
-    columns = ["token", "term", T.count_matches(F.col("token"), F.col("term")).alias("matches")]
-    return short.select(columns).unionByName(long.select(columns))
+    short = _pieces(tokens.where(size.between(1, _WHOLE)).withColumn("whole", F.col("token")), _WHOLE, "whole")
+    inside = short.join(terms, "term").select(F.col("whole").alias("token"), "term")
+    long = tokens.where(size > _WHOLE)
+    if not long.isEmpty():
+        inside = inside.unionByName(_inside_long(long, terms))
+    return inside.select("token", "term", T.count_matches(F.col("token"), F.col("term")).alias("matches"))
 
 
 def substring_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:

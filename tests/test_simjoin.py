@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 from collections import Counter
 
@@ -9,7 +11,7 @@ from nearset.operators import simjoin
 from nearset.operators.itemsets import item_rows, unique_rows
 from nearset.operators.signatures import Scheme, make_signatures, rank_items
 from nearset.operators.simjoin import similar_groups, similarity_join
-from nearset.operators.stats import join_stats, pair_counts
+from nearset.operators.stats import count_comparisons, join_stats, pair_counts
 
 SMALL_BOUNDS = dict(split_rows=6, hot_rows=3, block_rows=3)
 
@@ -97,6 +99,12 @@ def test_long_prefixes_are_checked_instead_of_combined(spark, monkeypatch):
         assert Counter((r.id_a, r.id_b) for r in got.collect()) == bag
 
 
+def test_two_item_signatures_of_equal_sets_only(spark):
+    rows = family(3, copies=3)
+    got = similarity_join(frame(spark, rows), "user", "movie", 1.0, 2)
+    assert set(found(got)) == set(similar_pairs(rows, 1.0))
+
+
 def test_order_by_item(spark):
     rows = family(41)
     bag, _ = signature_join(rows, 0.5, 1, None, "item")
@@ -267,3 +275,17 @@ def test_a_hot_item_is_split_over_tasks(hot_item):
     ranked = rank_items(hot_item)
     assert len(ranked.collect()) == 30_000
     assert "skew=true" in ranked._jdf.queryExecution().toString()
+
+
+def test_comparisons_of_one_signature_with_very_many_sizes(spark):
+    """Sizes meet sizes by sums over their order: work grows with them, not with their square."""
+    sizes = spark.range(1, 50_001).select(F.array(F.lit(1)).alias("sig"), F.lit(0).alias("class"), F.col("id").alias("n"))
+    rows = sizes.unionAll(sizes.where("n % 7 = 0"))
+    got = count_comparisons(rows, 0.55).first()["comparisons"]
+    count = [0] + [2 if n % 7 == 0 else 1 for n in range(1, 50_001)]
+    sums = list(itertools.accumulate(count))
+    expected = sum(
+        count[n] * (sums[n - 1] - sums[max(1, math.ceil(n * 0.55)) - 1]) + count[n] * (count[n] - 1) // 2
+        for n in range(1, 50_001)
+    )
+    assert got == expected

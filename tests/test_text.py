@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -106,7 +107,7 @@ def test_substring_counts(spark):
 
 
 def test_contained_terms_of_long_tokens(spark, monkeypatch):
-    monkeypatch.setattr(X, "_PIECE", 3)
+    monkeypatch.setattr(X, "_WHOLE", 3)
     words_ = ["ab", "abc", "abcd", "xabcdabcdx", "bcda", "dabcdx", "aaaaaa", "aaaa", "a", "éaéa", "éa"]
     frame = spark.createDataFrame([(w,) for w in words_], "token string")
     got = X.contained_terms(frame, frame.withColumnRenamed("token", "term"))
@@ -142,3 +143,26 @@ def test_unknown_options(docs):
         X.tf_idf(docs, "log")
     with pytest.raises(ValueError):
         X.incidence(docs, "stem")
+
+
+def test_terms_inside_very_long_tokens(spark, monkeypatch):
+    """Tokens that are not cut into all their pieces are looked up by their runs."""
+    rng = random.Random(4)
+    letters = "abäc"
+    tokens = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 90))) for _ in range(80)}
+    tokens |= {"x" * 70, "y" * 65 + "é𝄞z", "é𝄞z", "𝄞", "z", "ab"}
+    terms = {t[i : i + n] for t in tokens for i in (0, len(t) // 2) for n in (1, 2, 3, 4, 9, 80)} | tokens | {"qqqq", "q", "xyz"}
+    expected = {(a, b, a.count(b)) for a in tokens for b in terms if b and b in a}
+    frames = [spark.createDataFrame([(x,) for x in xs if x], f"{name} string") for xs, name in ((tokens, "token"), (terms, "term"))]
+    for whole in (64, 5, 3):
+        monkeypatch.setattr(X, "_WHOLE", whole)
+        assert {tuple(r) for r in X.contained_terms(*frames).select("token", "term", "matches").collect()} == expected
+
+
+def test_a_token_of_100000_characters(spark):
+    rng = random.Random(5)
+    token = "".join(rng.choice("abcdefgh") for _ in range(100_000))
+    terms = {token[i : i + n] for i in range(0, 100_000, 500) for n in (1, 2, 3, 7, 70)} | {token, "zzz", "abcdefghabcdefgh"}
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{name} string") for xs, name in (([token, "abc"], "token"), (terms, "term"))]
+    got = {r.term: r.matches for r in X.contained_terms(*frames).where(F.length("token") > 10).collect()}
+    assert got == {t: token.count(t) for t in terms if t in token}
