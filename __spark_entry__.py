@@ -318,6 +318,28 @@ def _triples(mode: str):
     return query
 
 
+_XSD = "http://www.w3.org/2001/XMLSchema#integer"
+
+
+def _statements(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Statements of all kinds of objects in one file, with lines that are no statements."""
+    path = _new_path(spark)
+    docs = _table(spark, sf_dir, "documents")
+    subject = F.format_string("<http://example.org/%d> ", "doc_id")
+    escapes = F.format_string("\"\\u00e9%d \\U0001F600\\t\\\\u0041\" .", "doc_id")
+    lines = _triple_lines(spark, sf_dir)
+    for line in (
+        F.concat(subject, F.lit("<http://example.org/from> <http://example.org/"), "lang", F.lit("> .")),
+        F.concat(subject, F.lit("<http://example.org/size> "), F.format_string(f'"%d"^^<{_XSD}> . # counted', "n_chars")),
+        F.concat(F.format_string("_:d%d ", "doc_id"), F.lit("<http://example.org/of> "), F.format_string("_:e%d.", "doc_id")),
+        F.concat(subject, F.lit("<http://example.org/signs> "), escapes),
+        F.concat(subject, F.lit("<http://example.org/none> no object .")),
+    ):
+        lines = lines.unionAll(docs.select(line.alias("value")))
+    lines.write.text(path)
+    return readers.read_statements(spark, path)
+
+
 def _pair_files(fmt: str):
     def query(spark, sf_dir):
         path = _new_path(spark)
@@ -430,6 +452,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "counter_files": _statistics_files(_counters, "name string, value bigint"),
         "ntriples": _triples("default"),
         "ntriples_plain_split": _triples("reference"),
+        "ntriples_typed": lambda s, d: _statements(s, d)[0],
+        "ntriples_rejected": lambda s, d: _statements(s, d)[1].select("value"),
         "pair_files_text": _pair_files("text"),
         "pair_files_csv": _pair_files("csv"),
         "similar_users_from_files": _similar_users,
@@ -774,6 +798,19 @@ def oracle_sql() -> dict[str, str]:
             "SELECT 'http://example.org/' || doc_id AS subject, 'http://example.org/abstract' AS predicate, "
             f"{escaped} AS text, lang FROM documents"
         ),
+        "ntriples_typed": (
+            "WITH s AS (SELECT *, 'http://example.org/' || doc_id AS subject FROM documents) "
+            "SELECT subject, 'http://example.org/abstract' AS predicate, text AS object, 'literal' AS kind, "
+            "lang, NULL::VARCHAR AS datatype FROM s "
+            "UNION ALL SELECT subject, 'http://example.org/from', 'http://example.org/' || lang, 'iri', NULL, NULL FROM s "
+            f"UNION ALL SELECT subject, 'http://example.org/size', n_chars::VARCHAR, 'literal', NULL, '{_XSD}' FROM s "
+            "UNION ALL SELECT '_:d' || doc_id, 'http://example.org/of', '_:e' || doc_id, 'blank', NULL, NULL FROM s "
+            "UNION ALL SELECT subject, 'http://example.org/signs', "
+            "chr(233) || doc_id || ' ' || chr(128512) || chr(9) || '\\u0041', 'literal', NULL, NULL FROM s"
+        ),
+        "ntriples_rejected": (
+            "SELECT '<http://example.org/' || doc_id || '> <http://example.org/none> no object .' AS value FROM documents"
+        ),
         "ntriples_plain_split": (
             f"WITH lines AS (SELECT {line} AS value FROM documents) "
             "SELECT split_part(value, '<', 2) AS subject, "

@@ -90,6 +90,36 @@ def class_starts(threshold: float, largest: int = _MAX_SET_SIZE) -> list[int]:
     return list(takewhile(lambda s: s <= largest, starts()))
 
 
+def _class_of(n: Column, threshold: float) -> Column:
+    """(before, own): the start of the class of ``n`` and the one before it, 0 before the first.
+
+    The plan holds every so-manieth class start, and the row steps on from there, so that
+    both the table and the steps are the square root of the number of classes.
+    """
+    starts = class_starts(threshold)
+    stride = max(1, math.isqrt(len(starts)))
+    before = [0, *starts[:-1]]
+
+    def table(numbers: list[int]) -> Column:
+        return F.from_json(F.lit(str(numbers)), "array<bigint>")
+
+    marks, marks_before = table(starts[::stride]), table(before[::stride])
+    at = F.size(F.filter(marks, lambda s: s <= n)) - 1
+    first = F.struct(F.get(marks_before, at).alias("before"), F.get(marks, at).alias("own"))
+
+    def step(state: Column, _: Column) -> Column:
+        following = _following(state["own"], threshold)
+        on = F.struct(state["own"].alias("before"), following.alias("own"))
+        return F.when(following <= n, on).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(stride)), first, step)
+
+
+def _following(start: Column, threshold: float) -> Column:
+    """Start of the class after the one that starts at ``start``, as in ``class_starts``."""
+    return (start + prefix_length(start, threshold)).cast("bigint")
+
+
 def length_classes(n: Column, threshold: float, mode: str = "reference") -> Column:
     """Length classes of a set of ``n`` items, as an array of class starts.
 
@@ -104,11 +134,16 @@ def length_classes(n: Column, threshold: float, mode: str = "reference") -> Colu
     fewest = min_partner_size(n, threshold)
     if threshold == 1.0:  # every size is a class of its own
         return F.array(n)
-    starts = F.array(*[F.lit(s).cast("bigint") for s in class_starts(threshold)])
-    own = F.size(F.filter(starts, lambda s: s <= n))
     if mode == "complete":
-        first = F.size(F.filter(starts, lambda s: s <= fewest))
-        return F.slice(starts, first, own - first + 1)
-    own_start = F.get(starts, own - 1)
-    before = F.coalesce(F.get(starts, own - 2), F.lit(0).cast("bigint"))
-    return F.when(fewest < own_start, F.array(own_start, before)).otherwise(F.array(own_start))
+        # from t * n to n a class start grows by a factor of 2 - t at least
+        most = 3 + math.ceil(math.log(1 / threshold) / math.log(2 - threshold))
+
+        def add(classes: Column, _: Column) -> Column:
+            following = _following(F.element_at(classes, -1), threshold)
+            return F.when(following <= n, F.array_append(classes, following)).otherwise(classes)
+
+        first = F.array(_class_of(fewest, threshold)["own"])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, add)
+    own = _class_of(n, threshold)
+    both = F.array(own["own"], own["before"])
+    return F.when(fewest < own["own"], both).otherwise(F.array(own["own"]))

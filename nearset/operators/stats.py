@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearset.functions import sets as S
-from nearset.operators.itemsets import SPLIT_ROWS, item_rows, unique_rows
+from nearset.operators.itemsets import SPLIT_ROWS, item_rows, set_sizes, unique_rows
 from nearset.operators.signatures import Scheme, rank_items, signature_rows
 from nearset.operators.simjoin import prepare, similar_sets, times_copied, times_found
 from nearset.runtime import write_once
@@ -56,6 +56,13 @@ def count_comparisons(signed: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("before", before).agg(F.coalesce(F.sum(met), F.lit(0)).alias("comparisons"))
 
 
+def count_signatures(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """Signatures of all sets of unique rows, by the number of combinations of each size: (signatures)."""
+    sizes = set_sizes(rows).groupBy("n").agg(F.count("*").alias("sets"))
+    each = F.col("sets") * times_copied(scheme)
+    return sizes.agg(F.coalesce(F.sum(each), F.lit(0)).cast("bigint").alias("signatures"))
+
+
 def join_stats(
     df: DataFrame,
     set_col: str,
@@ -93,7 +100,7 @@ def join_stats(
     )
     # three one-row frames side by side
     return (
-        signed.agg(F.count("*").alias("signatures"))
+        count_signatures(rows, scheme)
         .withColumn("comparisons", count_comparisons(signed, threshold).scalar())
         .withColumn("emitted", pairs.select("emitted").scalar())
         .withColumn("distinct_pairs", pairs.select("distinct_pairs").scalar())

@@ -86,7 +86,8 @@ def parse_ntriples(lines: DataFrame, mode: str = "default") -> DataFrame:
                      the text, escapes are not decoded.
     ``"reference"``  (subject, text) by plain splitting: the subject keeps its
                      closing ``> `` and the text ends at the first quote.
-    Comment lines are left out; repeated subjects stay separate rows.
+    Comment lines are left out, and in the default mode so are lines without a literal;
+    repeated subjects stay separate rows.
     """
     value = F.col("value")
     lines = lines.where(~F.startswith(value, F.lit("#")) & (F.trim(value) != ""))
@@ -97,6 +98,8 @@ def parse_ntriples(lines: DataFrame, mode: str = "default") -> DataFrame:
     if mode != "default":
         raise ValueError(f"unknown N-Triples mode: {mode!r}")
     names = ["subject", "predicate", "text", "lang"]
+    # statements with another object, and lines that are none, hold no text
+    lines = lines.where(value.rlike(T.TRIPLE))
     return lines.select(*[T.triple_field(value, i + 1).alias(n) for i, n in enumerate(names)])
 
 
@@ -106,6 +109,44 @@ def read_ntriples(
     return parse_ntriples(spark.read.text(paths), mode)
 
 
+def parse_statements(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(statements, rejects) of lines (value) in the whole N-Triples grammar.
+
+    Statements are (subject, predicate, object, kind, lang, datatype): kind is "iri",
+    "blank" or "literal", blank nodes keep their ``_:``, literals are decoded, and lang
+    and datatype are null where they are not given.  Rejects are all other lines but empty
+    ones and comments, with all their columns.
+    """
+    value = F.col("value")
+    lines = lines.where(~F.startswith(F.trim(value), F.lit("#")) & (F.trim(value) != ""))
+
+    def part(group: int):
+        return T.statement_part(value, group)
+
+    def blank(group: int):
+        return F.concat(F.lit("_:"), part(group))
+
+    def given(group: int):
+        return F.when(part(group) != "", part(group))
+
+    good = T.is_statement(value)
+    kind = T.object_kind(value)
+    statements = lines.where(good).select(
+        F.when(part(2) != "", blank(2)).otherwise(part(1)).alias("subject"),
+        part(3).alias("predicate"),
+        F.when(kind == "blank", blank(5)).when(kind == "iri", part(4)).otherwise(T.unescaped(part(6))).alias("object"),
+        kind.alias("kind"),
+        given(7).alias("lang"),
+        given(8).alias("datatype"),
+    )
+    return statements, lines.where(~good)
+
+
+def read_statements(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(statements, rejects) of N-Triples files; rejects are (line, value), numbered in file order."""
+    return parse_statements(number_lines(spark.read.text(paths)))
+
+
 def number_lines(df: DataFrame, column: str = "line") -> DataFrame:
     """Add a unique BIGINT per row, for documents whose own ids repeat."""
     return df.withColumn(column, F.monotonically_increasing_id())

@@ -1,3 +1,4 @@
+import math
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -166,3 +167,55 @@ def test_shared_folder_comes_from_the_session(spark):
 
 def test_numbered_lines(spark):
     assert readers.number_lines(spark.range(4)).select("line").distinct().count() == 4
+
+
+STATEMENTS = [
+    # line, statement or None
+    ('<s> <p> "plain" .', ("s", "p", "plain", "literal", None, None)),
+    ('<s> <p> "" .', ("s", "p", "", "literal", None, None)),
+    ('<s><p><o>.', ("s", "p", "o", "iri", None, None)),
+    ('<s> <p> <> .', ("s", "p", "", "iri", None, None)),
+    ('  _:a.b-c <p> _:x1 . # why', ("_:a.b-c", "p", "_:x1", "blank", None, None)),
+    ('<s> <p> "x"@de-AT .', ("s", "p", "x", "literal", "de-AT", None)),
+    ('<s> <p> "1"^^<int> .', ("s", "p", "1", "literal", None, "int")),
+    ('<s> <p> "<o> _:b" .', ("s", "p", "<o> _:b", "literal", None, None)),
+    (r'<s> <p> "a\"b\\n\n\\\té\U0001F600\\u0041\'" .', ("s", "p", 'a"b\\n\n\\\té😀\\u0041\'', "literal", None, None)),
+    (r'<s> <p> "\\\\n\\" .', ("s", "p", "\\\\n\\", "literal", None, None)),
+    (r'<s> <p> "\n \x \u12" .', ("s", "p", "\n \\x \\u12", "literal", None, None)),
+    ("<s> <p> .", None),
+    ('<s> <p> "open .', None),
+    ('<s> <p> "x"', None),
+    ('<s> <p> "x"@ .', None),
+    ("<s> <p> <o> <g> .", None),
+    ('"s" <p> <o> .', None),
+    ("words", None),
+    ("# <s> <p> <o> .", "skipped"),
+    ("  # comment", "skipped"),
+    ("", "skipped"),
+]
+
+
+def test_statements_of_all_kinds_and_rejected_lines(spark):
+    lines = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(STATEMENTS)], "line bigint, value string")
+    good, bad = readers.parse_statements(lines)
+    key = lambda r: tuple(x or "" for x in r)
+    wanted = [s for _, s in STATEMENTS if isinstance(s, tuple)]
+    assert sorted((tuple(r) for r in good.collect()), key=key) == sorted(wanted, key=key)
+    assert sorted(r.line for r in bad.collect()) == [i for i, (_, s) in enumerate(STATEMENTS) if s is None]
+
+
+def test_rejected_lines_are_numbered(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("<s> <p> <o> .\nbroken\n")
+    good, bad = readers.read_statements(spark, str(tmp_path / "a.nt"))
+    assert good.count() == 1 and [(r.line, r.value) for r in bad.collect()] == [(1, "broken")]
+
+
+def test_statements_without_a_literal_are_no_documents(spark, tmp_path):
+    lines = [line for line, _ in STATEMENTS]
+    (tmp_path / "a.nt").write_text("\n".join(lines))
+    got = readers.read_ntriples(spark, str(tmp_path / "a.nt")).collect()
+    assert all(r.subject == "s" for r in got) and {"plain", "", "x"} <= {r.text for r in got}
+    weights = programs.abstract_weights(spark, str(tmp_path / "a.nt"))
+    n_docs = len(got)
+    row = weights.where("term = 'plain'").first()
+    assert row.weight == pytest.approx(math.log(n_docs))

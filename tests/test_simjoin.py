@@ -1,12 +1,14 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from brute_force import signature_join, signatures, similar_pairs
+from brute_force import class_list, signature_join, signatures, similar_pairs
+from nearset.functions.sets import length_classes
 from nearset.operators import simjoin
 from nearset.operators.itemsets import item_rows, unique_rows
 from nearset.operators.signatures import Scheme, make_signatures, rank_items
@@ -289,3 +291,19 @@ def test_comparisons_of_one_signature_with_very_many_sizes(spark):
         for n in range(1, 50_001)
     )
     assert got == expected
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.5, 0.9, 0.99, 0.9999])
+def test_length_classes_are_stepped_to(spark, threshold):
+    """Few marks in the plan and few steps in the row give what a list of all class starts gives."""
+    rng = random.Random(int(threshold * 1e4))
+    sizes = sorted({*range(1, 60), *(rng.randrange(1, 30_000) for _ in range(40)), 10_000, 10_001})
+    began = time.monotonic()
+    n = spark.createDataFrame([(n,) for n in sizes], "n bigint")
+    modes = ("reference", "complete")
+    df = n.select("n", *[length_classes(F.col("n"), threshold, mode).alias(mode) for mode in modes])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert time.monotonic() - began < 20 and len(plan) < 200_000
+    for r in df.collect():
+        for mode in modes:
+            assert list(r[mode]) == class_list(r.n, threshold, mode), (r.n, mode)
