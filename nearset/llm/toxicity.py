@@ -13,6 +13,7 @@ word comes down to one number, the mean of ``embedding . u`` over its n-grams.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ START_BIAS = -8.0
 #: The larger, the more do several toxic words count above one.
 TEMPER = 2.0
 _WORDS_KEPT = 1 << 19
+_WORDS_AT_ONCE = 1 << 16
 _WORD = re.compile(r"\w+(?:[*@$!]+\w+)*")
 _MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d@$!])")
 #: Signs that stand for letters.
@@ -101,24 +103,35 @@ def train(
 ) -> Model:
     """Fit embeddings and softmax together by full-batch AdaGrad steps over all words.
 
-    Clean texts weigh three times as much as toxic ones in sum.  Without both classes the
-    model says 0.5 everywhere.
+    Clean texts weigh three times as much as toxic ones in sum.  Without both classes, or
+    without words, the model says 0.5 everywhere.
     """
     y = np.asarray(toxic, float)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(0), 0.0)
+    # flat arrays of four bytes a number: the driver holds words and n-grams of the whole sample
     index: dict[str, int] = {}
-    ids, times, owner = [], [], []
-    for i, text in enumerate(sample):
+    ids, times, sizes = array("i"), array("i"), []
+    for text in sample:
         words = words_of(text)
         ids.extend(index.setdefault(w, len(index)) for w in words)
         times.extend(words.values())
-        owner.append(np.full(len(words), i))
-    ids, log_times, owner = np.array(ids, np.int64), np.log(times), np.concatenate(owner)
-    parts = [subwords(w, buckets) for w in index]
-    part_size = np.fromiter(map(len, parts), np.int64, len(parts))
-    part = np.fromiter((i for p in parts for i in p), np.int64, int(part_size.sum()))
-    part_word = np.repeat(np.arange(len(parts)), part_size)
+        sizes.append(len(words))
+    if not index:
+        return Model(np.zeros(0), 0.0)
+    ids, log_times = np.frombuffer(ids, np.int32), np.log(np.frombuffer(times, np.int32))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    part, part_size = array("i"), array("i")
+    for w in index:
+        grams = subwords(w, buckets)
+        part.extend(grams)
+        part_size.append(len(grams))
+    n_words = len(index)
+    del index
+    part, part_size = np.frombuffer(part, np.int32), np.frombuffer(part_size, np.int32)
+    begins = np.concatenate([[0], np.cumsum(part_size, dtype=np.int64)])
+    # words in runs, so that what is computed for their n-grams at once is bounded
+    runs = [(i, min(i + _WORDS_AT_ONCE, n_words)) for i in range(0, n_words, _WORDS_AT_ONCE)]
     # texts with words, and where the words of each begin
     with_words, first = np.unique(owner, return_index=True)
     place = np.zeros(len(y), np.int64)
@@ -132,7 +145,10 @@ def train(
     e2, u2, b2 = np.full((buckets, 1), 1e-4), np.full(dims, 1e-2), 1e-2
     for _ in range(epochs):
         bucket = e @ u
-        word = np.bincount(part_word, bucket[part], len(parts)) / part_size
+        word = np.concatenate(
+            [np.add.reduceat(bucket[part[begins[i] : begins[j]]], begins[i:j] - begins[i]) for i, j in runs]
+        )
+        word /= part_size
         value = word[ids] / TEMPER + log_times
         top = np.maximum.reduceat(value, first)
         weight = np.exp(value - top[place])
@@ -140,8 +156,10 @@ def train(
         p = 1 / (1 + np.exp(-np.clip(bias + TEMPER * (top + np.log(total)), -30, 30)))
         g = (p - y) * share
         # back to words, then to buckets
-        g_word = np.bincount(ids, (g / total)[place] * weight, len(parts)) / part_size
-        g_bucket = np.bincount(part, g_word[part_word], buckets)
+        g_word = np.bincount(ids, (g / total)[place] * weight, n_words) / part_size
+        g_bucket = np.zeros(buckets)
+        for i, j in runs:
+            g_bucket += np.bincount(part[begins[i] : begins[j]], np.repeat(g_word[i:j], part_size[i:j]), buckets)
         g_u, touched = g_bucket @ e, np.flatnonzero(g_bucket)
         step = g_bucket[touched, None] * u[None, :]
         e2[touched] += (step**2).mean(1, keepdims=True)
@@ -168,8 +186,10 @@ def toxicity_scores(
     ``labels`` has doc_id and toxic.  ``learn_from``, a condition on doc_id, says which
     ids may teach.  The model is trained on the labelled texts of the smallest hashes,
     half of them of each class where there are as many, up to ``sample_rows`` rows and
-    ``sample_chars`` characters.  Null labels teach nothing; without both classes the
-    score is 0.5.  Null texts are empty and score the bias; null ids are scored too;
+    ``sample_chars`` characters, half of them for each class in the order of the hashes; a
+    text beyond what is left of that is passed over.  Of rows of one id the first text
+    teaches, and of an id with both labels the 0.  Null labels teach nothing; without both
+    classes the score is 0.5.  Null texts are empty and score the bias; null ids are scored too;
     repeated rows stay.
     """
     spark = docs.sparkSession
@@ -181,16 +201,25 @@ def toxicity_scores(
         known = known.where(learn_from)
     # ids first, so that only texts of the sample travel
     drawn = [
-        known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2) for y in (0, 1)
+        known.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2)
+        for y in (0, 1)
     ]
-    chosen = {r["doc_id"]: r["y"] for part in drawn for r in part.collect()}
-    held = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id bigint")), "doc_id", "left_semi")
-    room, sample, toxic = sample_chars, [], []
-    for r in held.toLocalIterator():
-        if len(r["text"]) <= room:
-            room -= len(r["text"])
-            sample.append(r["text"])
-            toxic.append(chosen[r["doc_id"]])
+    drawn = [[r["doc_id"] for r in part.select("doc_id").collect()] for part in drawn]
+    chosen = spark.createDataFrame([(i,) for i in {*drawn[0], *drawn[1]}], "doc_id bigint")
+    # one text of each id, whatever the order of files
+    held = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    size = {r["doc_id"]: r["size"] for r in held.select("doc_id", F.length("text").alias("size")).collect()}
+    taken = {}
+    for y, ids in enumerate(drawn):
+        room = sample_chars // 2
+        for i in ids:
+            if i in size and i not in taken and size[i] <= room:
+                room -= size[i]
+                taken[i] = y
+    wanted = spark.createDataFrame([(i,) for i in taken], "doc_id bigint")
+    found = {r["doc_id"]: r["text"] for r in held.join(F.broadcast(wanted), "doc_id", "left_semi").toLocalIterator()}
+    sample, toxic = [found[i] for i in taken], list(taken.values())
+    del found
     model = spark.sparkContext.broadcast(train(sample, np.array(toxic, float)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
