@@ -26,14 +26,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker keeps, at most.
-CHUNKS_KEPT = 3 << 18
+#: Bytes that the chunks a worker keeps may take, at most.
+KEPT_BYTES = 96 << 20
+#: What one chunk takes besides its characters and ids: two objects and a place in the dictionary.
+_ENTRY_BYTES = 200
 #: Bytes of text that are encoded together: the more, the fewer look-ups.
 TOGETHER = 1 << 23
-_START = "\0"
+#: Before the first chunk of a text, and before a run of marks: signs that no chunk has.
+_START, _MARKS = "\0", "\1"
 _UNUSUAL = re.compile(r"[^\n\x20-\x7e¡-įı-ɏ]")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_WORD_AND_MARK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,])")
+#: What comes before a word, the word, and marks after it, without the apostrophe.
+_WORD = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Fixed value: the pieces of vocabularies that drop white space.
+_DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 def _byte_signs() -> dict[int, str]:
     """What byte-level vocabularies write for each byte: itself where it prints, else a sign from 256 on."""
@@ -49,8 +54,9 @@ class Encoder(dict):
     """``encode(texts)`` gives the ids of texts.
 
     As a dictionary it maps a chunk to its ids, as little-endian unsigned 32-bit
-    numbers; the chunks are dropped when there are more than CHUNKS_KEPT.  Strings of special tokens in a text are ordinary text
-    unless ``special_tokens``.
+    numbers.  Chunks met since the dictionary was last half full stay when it is half
+    full again, so the chunks kept never take more than KEPT_BYTES.  Strings of special
+    tokens in a text are ordinary text unless ``special_tokens``.
     """
 
     def __init__(self, path: str, special_tokens: bool = False):
@@ -75,35 +81,67 @@ class Encoder(dict):
         self.drops_space = steps == ["Split", "ByteLevel"] and (
             before["pretokenizers"][0].get("invert") and before["pretokenizers"][0]["behavior"] == "Removed"
         )
+        # a word and the marks after it are pieces, which the model can be asked for directly
+        self.cuts_words = self.byte_level or (
+            self.drops_space and before["pretokenizers"][0]["pattern"].get("Regex") == _DROPPING
+        )
+        self.model = self.tokenizer.model
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all chunks."""
+        self.clear()
+        self.older: dict[str, bytes] = {}
+        self.taken = 0
 
     def _holds_special(self, text: str) -> bool:
         # the library may look for them after it has put a text in lower case
         low = text.lower()
         return any(s in text or s in low for s in self.special)
 
-    def _ids(self, text: str) -> bytes:
-        ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        ids = array.array("I", ids)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
+    def _ids(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece by the model alone."""
+        if piece.isascii():
+            signs = piece.replace(" ", _BYTE_SIGNS[32])
+        else:
+            signs = piece.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return self._bytes([t.id for t in self.model.tokenize(signs)])
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS_KEPT:
+        ids = self.older.get(chunk)
+        if ids is None:
+            m = _WORD.fullmatch(chunk) if self.cuts_words else None
+            if m and m[3]:
+                return self[m[1] + m[2]] + self[_MARKS + m[3]]
+            if m and m[1] == "\n":
+                return self["\n"] + self[_START + m[2]]
+            if m:
+                ids = self._piece(m[2] if m[1] or self.drops_space else " " + m[2])
+            elif not chunk:
+                ids = b""
+            elif chunk[0] == _MARKS:
+                ids = self._piece(chunk[1:])
+            elif chunk[0] == _START:
+                ids = self._ids(chunk[1:])
+            elif self.byte_level and chunk[0] != "\n":
+                ids = self._ids(" " + chunk)
+            else:
+                ids = self._ids(chunk)
+        self.taken += len(chunk) + len(ids) + _ENTRY_BYTES
+        if 2 * self.taken > KEPT_BYTES:
+            self.older = dict(self)
             self.clear()
-        if not chunk:
-            ids = b""
-        elif m := _WORD_AND_MARK.fullmatch(chunk):
-            ids = self[m[1]] + self._ids(m[2])
-        elif chunk[0] == _START:
-            ids = self._ids(chunk[1:])
-        elif self.byte_level and _LETTERS.fullmatch(chunk):
-            # one piece, as it is, for the model
-            piece = self.tokenizer.model.tokenize((" " + chunk).encode().decode("latin-1").translate(_BYTE_SIGNS))
-            ids = np.array([t.id for t in piece], "<u4").tobytes()
-        elif self.byte_level and chunk[0] != "\n":
-            ids = self._ids(" " + chunk)
-        else:
-            ids = self._ids(chunk)
+            self.taken = 0
         self[chunk] = ids
         return ids
 
@@ -168,3 +206,19 @@ def gathered(batches: Iterator[pa.RecordBatch], chars: int = TOGETHER) -> Iterat
 def encoder(path: str, special_tokens: bool = False) -> Encoder:
     """One encoder for a path in each worker process."""
     return Encoder(path, special_tokens)
+
+
+def encoded(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = None, special_tokens: bool = False
+) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows put together, the ids of their texts one after another, and how many each has.
+
+    A worker serves later tasks of other kinds, so the chunks go with the task.
+    """
+    own = encoder(path, special_tokens)
+    try:
+        for table in gathered(batches):
+            yield table, *own.encode(table.column("text").to_pylist(), end_id)
+    finally:
+        own.forget()
+        pa.default_memory_pool().release_unused()

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearset.llm.common import ready, row_numbers, texts
-from nearset.llm.encode import encoder, gathered
+from nearset.llm.encode import encoded
 from nearset.runtime import write_once
 
 GROUPS = 64
@@ -178,9 +178,7 @@ def token_pieces(
     texts are the end id alone.  ``part`` numbers the batches of rows made together.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, special_tokens).encode
-        for table in gathered(batches):
-            ids, counts = encode(table.column("text").to_pylist(), end_id)
+        for table, ids, counts in encoded(batches, tokenizer, end_id, special_tokens):
             pieces = -(-counts // capacity)
             doc = np.repeat(np.arange(len(counts)), pieces)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

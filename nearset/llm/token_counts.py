@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearset.llm.common import ready, sums_before, texts
-from nearset.llm.encode import encoder, gathered
+from nearset.llm.encode import encoded
 
 #: Lengths of one part of the histogram when it is summed.
 PART = 1024
@@ -21,9 +21,7 @@ def encoded_lengths(
     """(doc_id, n_tokens) of every whole text; a null text is empty, ``end`` counts one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, special_tokens).encode
-        for table in gathered(batches):
-            _, n = encode(table.column("text").to_pylist())
+        for table, _, n in encoded(batches, tokenizer, special_tokens=special_tokens):
             columns = [table.column("doc_id"), pa.array(n + end)]
             yield from pa.table(columns, ["doc_id", "n_tokens"]).to_batches()
 

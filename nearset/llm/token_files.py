@@ -18,16 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearset.llm.common import ready, sums_before, texts
-from nearset.llm.encode import encoder, gathered
+from nearset.llm.encode import encoded
 from nearset.runtime import write_once
 
 
 def token_lists(docs: DataFrame, tokenizer: str, end_id: int | None = 0, special_tokens: bool = False) -> DataFrame:
     """(doc_id, n_tokens, tokens) of (doc_id, text); ``end_id`` ends each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, special_tokens).encode
-        for table in gathered(batches):
-            ids, n = encode(table.column("text").to_pylist(), end_id)
+        for table, ids, n in encoded(batches, tokenizer, end_id, special_tokens):
             places = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(places), pa.array(ids.astype(np.int32)))
             columns = [table.column("doc_id"), pa.array(n), lists]
