@@ -26,13 +26,37 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def kept_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without those whose doc_id is in ``gone``; rows without an id stay.
+#: Column that ``row_keys`` adds.
+ROW_KEY = "_row_key"
+
+
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a bigint that names each row's document, in the column ROW_KEY.
+
+    It is the id, or, where an id is null or names several different texts, a negative
+    hash of id and text.  So repeated rows share a key and other rows do not.  Only the
+    ids of all rows are grouped; texts are read again for ids that come more than once.
+    """
+    key, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))
+    again = docs.groupBy(key.alias("again_id")).count().where("count > 1 AND again_id IS NOT NULL")
+    again = write_once(again.select("again_id"), "again")
+    hashes = docs.select(key.alias("several_id"), F.xxhash64(text).alias("h"))
+    hashes = hashes.join(again, hashes["several_id"] == again["again_id"], "left_semi").groupBy("several_id")
+    several = hashes.agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
+    several = write_once(several.select("several_id"), "several")
+    hashed = F.xxhash64(key, text).bitwiseOR(F.lit(-(1 << 63)))
+    own = F.when(several["several_id"].isNotNull() | key.isNull(), hashed).otherwise(key)
+    joined = docs.join(several, key == several["several_id"], "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], own.alias(ROW_KEY))
+
+
+def kept_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` without those whose id is a doc_id of ``gone``; rows without an id stay.
 
     The ids are written first, so that Spark sees their size before it joins.
     """
     ids = write_once(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+    return docs.join(ids, docs[id_col] == ids["gone_id"], "left_anti")
 
 
 def ready(spark: SparkSession, rows: int = 256) -> None:

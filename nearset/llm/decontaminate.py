@@ -32,7 +32,7 @@ PIECE = 48
 BLOCK = 16
 #: Items of one index, at most; more items are searched in several passes.
 SHARD_ITEMS = 4096
-#: Items of fewer words say too little to be found again.
+#: Items of fewer words are found only as they are, as a whole run of words.
 LEAST_WORDS = 5
 #: A last sentence of fewer words is no answer of its own, a question of fewer words does not count alone.
 PART_WORDS = 10
@@ -89,11 +89,14 @@ class Index:
     def __init__(self, items: Iterable[tuple[int, str]]):
         self.items: list[tuple[int, list[str], list[str]]] = []
         self.words: list[list[str]] = []
+        self.short: dict[tuple[str, ...], list[int]] = {}
         self.terms: dict[str, int] = {}
         owners, term, piece, times, length = [], [], [], [], []
         for item_id, text in items:
             words = words_of(text or "")
             if len(words) < LEAST_WORDS:
+                if words:
+                    self.short.setdefault(tuple(words), []).append(item_id)
                 continue
             asked, answer = question_and_answer(text)
             # a question that counts alone must be found alone
@@ -111,6 +114,7 @@ class Index:
                     owners.append(len(self.items))
             self.items.append((item_id, asked, answer))
             self.words.append(words)
+        self.short_lengths = sorted({len(words) for words in self.short})
         self.owner = np.array(owners, np.int64)
         self.n_pieces, self.n_blocks = len(owners), -(-len(owners) // BLOCK)
         if not owners:
@@ -181,6 +185,15 @@ class Index:
         return [(d, p, s) for (d, p), s in best.items()]
 
 
+def short_items(index: Index, document: list[str]) -> Iterator[tuple[int, float, float, float]]:
+    """Hits of the short items whose words are a run of the document's: every share is 1."""
+    for n in index.short_lengths:
+        runs = set(zip(*[document[i:] for i in range(n)]))
+        for words in sorted(index.short.keys() & runs):
+            for item_id in index.short[words]:
+                yield item_id, 1.0, 1.0, 1.0
+
+
 def verified(
     index: Index, document: list[str], scores: dict[int, float], question: float, answer: float, whole: float
 ) -> Iterator[tuple[int, float, float, float]]:
@@ -215,9 +228,9 @@ def contaminated(
     ``threshold`` of a piece's own score or more and the document has the shares
     ``question`` and ``answer`` of the shingles of the item's parts, or the share
     ``whole`` of the words of the item, or of its question alone, in runs of RUN words.
-    Case and punctuation do not matter.  Null and empty texts hold nothing, items with null
-    texts or fewer than LEAST_WORDS words are not searched, repeated rows give repeated
-    hits, rows without an id give hits without one.  No items give no rows.
+    Items of fewer than LEAST_WORDS words count where all their words are a run of the
+    document's.  Case and punctuation do not matter.  Null and empty texts hold nothing,
+    items without words are in no document, repeated rows give repeated hits, rows without an id give hits without one.  No items give no rows.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -238,9 +251,9 @@ def contaminated(
                     scores = found.setdefault(d, {})
                     scores[item] = max(score, scores.get(item, 0.0))
                 out = []
-                for d, scores in sorted(found.items()):
-                    for hit in verified(held, documents[d], scores, question, answer, whole):
-                        out.append((ids[d], *hit))
+                for d, words in enumerate(documents):
+                    hits = [*verified(held, words, found[d], question, answer, whole)] if d in found else []
+                    out += [(ids[d], *hit) for hit in [*hits, *short_items(held, words)]]
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
@@ -267,4 +280,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", *
     Rows without an id stay.
     """
     hits = contaminated(docs, items, id_col, **options).select("doc_id")
-    return kept_rows(docs.withColumnRenamed(id_col, "doc_id"), hits).withColumnRenamed("doc_id", id_col)
+    return kept_rows(docs, hits, id_col)
