@@ -86,11 +86,6 @@ class Encoder(dict):
             self.drops_space and before["pretokenizers"][0]["pattern"].get("Regex") == _DROPPING
         )
         self.model = self.tokenizer.model
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop all chunks."""
-        self.clear()
         self.older: dict[str, bytes] = {}
         self.taken = 0
 
@@ -176,17 +171,18 @@ class Encoder(dict):
                 if p is None:
                     index[at[i]] = len(parts)
                     parts.append(self._ids(texts[i]))
-        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
-        first = np.cumsum(size, dtype=np.int32) - size
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        n = size[index]
-        counts = np.add.reduceat(n, at).astype(np.int64)
-        place = np.repeat(first[index] - (np.cumsum(n, dtype=np.int32) - n), n)
-        place += np.arange(len(place), dtype=np.int32)
-        ids = flat[place]
         if end_id is not None:
-            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
-        return ids, counts
+            # the end is one entry more, after the last chunk of each text
+            ends = np.asarray(lists.offsets)[1:]
+            index = np.insert(index, ends, len(parts))
+            parts.append(self._bytes([end_id]))
+            at = at + np.arange(len(at))
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        starts = np.zeros(len(parts) + 1, np.int32)
+        np.cumsum(size, out=starts[1:])
+        held = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(parts), "<u4")))
+        ids = held.take(pa.array(index)).flatten().to_numpy()
+        return ids, np.add.reduceat(size[index], at).astype(np.int64)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], chars: int = TOGETHER) -> Iterator[pa.Table]:
@@ -213,12 +209,9 @@ def encoded(
 ) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Rows put together, the ids of their texts one after another, and how many each has.
 
-    A worker serves later tasks of other kinds, so the chunks go with the task.
+    Chunks stay for the next task of the worker, within their bytes.
     """
     own = encoder(path, special_tokens)
-    try:
-        for table in gathered(batches):
-            yield table, *own.encode(table.column("text").to_pylist(), end_id)
-    finally:
-        own.forget()
-        pa.default_memory_pool().release_unused()
+    for table in gathered(batches):
+        yield table, *own.encode(table.column("text").to_pylist(), end_id)
+    pa.default_memory_pool().release_unused()
