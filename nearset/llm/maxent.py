@@ -10,14 +10,18 @@
    never seen), and the words of such a class, ordered by their counts, are the leaves of
    a tree whose nodes have FAN children.  Every choice is a softmax, log-linear in hashed
    features of the context: the word before, the one before that (a skip), and both.
-4. Common weights take other than frequent words by their class alone.  Training passes
-   over all training tokens: each task takes gradient steps on its chunks from the common
-   weights, and the weighted mean of all tasks is the next weights.  A training word
-   counts as one less frequent than it is, as it is not in its own past, which teaches
-   the model what unseen words are worth.
+4. Common weights take other than frequent words by their class alone.  Training documents
+   are dealt to groups of about GROUP_TOKENS by a hash; gradient steps are taken in each
+   group from the common weights, and the weighted mean of all groups is the next weights.
+   A training word counts as one less frequent than it is, as it is not in its own past,
+   which teaches the model what unseen words are worth.
 5. Weights of the words themselves, frequent or not, are in shards, one for SHARD_TOKENS
-   training tokens.  Tokens are dealt to shards by their context; a shard learns its
-   weights on top of the common ones and scores its tokens, in one task of bounded size.
+   training tokens.  Tokens are dealt to shards by their context, those of a frequent
+   context to several; a shard learns its weights on top of the common ones and scores
+   its tokens.
+
+Groups and shards take documents in the order of a hash of id and text, so the scores are
+those of the rows, however these lie in files and partitions.
 """
 
 from __future__ import annotations
@@ -52,8 +56,10 @@ FAN = CLASS_SIZE
 #: Training tokens for which there is one shard, and its rows of hashed weights.
 SHARD_TOKENS = 1 << 20
 SHARD_CLASS_ROWS, SHARD_NODE_ROWS = 1 << 14, 1 << 16
-#: Shards that share a context of two frequent words, which may be any part of the tokens.
-SPREAD = 8
+#: Shards that share a context: one for so many tokens that the context may have.
+SPREAD_TOKENS = SHARD_TOKENS >> 3
+#: Training tokens from which one set of common weights is learned, before all are averaged.
+GROUP_TOKENS = 1 << 21
 #: Words that one task numbers.
 TAIL_PART = 100_000
 BATCH = 8192
@@ -75,13 +81,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids[real]
         train = np.asarray(table.column("train").to_pylist(), bool)
         seen = np.bincount(ids[np.repeat(train, n)], minlength=len(words))
-        lists = [table.column("doc_id").combine_chunks(), pa.array(train), pa.array(n), pa.array(ids), words, pa.array(seen)]
+        own = [table.column(name).combine_chunks() for name in ("doc_id", "mark")]
+        lists = [*own, pa.array(train), pa.array(n), pa.array(ids), words, pa.array(seen)]
         row = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
         yield pa.RecordBatch.from_arrays([pa.array([(part << 20) + number], pa.int64()), *row], _CHUNK_NAMES)
 
 
 _CHUNK_COLUMNS = (
-    "chunk bigint, doc_ids array<bigint>, train array<boolean>, n_words array<bigint>, ids array<int>, "
+    "chunk bigint, doc_ids array<bigint>, marks array<int>, train array<boolean>, n_words array<bigint>, ids array<int>, "
     "words array<string>, seen array<bigint>"
 )
 _CHUNK_NAMES = [column.split()[0] for column in _CHUNK_COLUMNS.split(", ")]
@@ -157,20 +164,34 @@ class Tokens:
     def __init__(self, corpus: Corpus, n: np.ndarray, ids: np.ndarray, counts: np.ndarray, heads: np.ndarray):
         """``n`` words of each document in ``ids``; ``counts`` and ``heads`` by id."""
         ends = np.cumsum(n)
-        self.doc_tokens = n + 1
         self.count = np.insert(counts[ids], ends, corpus.documents)
         self.head = np.insert(heads[ids], ends, 0)
+        own = np.where(self.head >= 0, self.head, len(corpus.head_counts) + tail_class(self.count))
+        self._contexts(corpus, n + 1, own)
+
+    @classmethod
+    def coded(cls, corpus: Corpus, doc_tokens: np.ndarray, own: np.ndarray) -> Tokens:
+        """From tokens as they are told apart as contexts."""
+        made = cls.__new__(cls)
+        made.head = np.where(own < len(corpus.head_counts), own, -1)
+        made._contexts(corpus, doc_tokens, own)
+        return made
+
+    def _contexts(self, corpus: Corpus, doc_tokens: np.ndarray, own: np.ndarray) -> None:
+        """``own`` is a frequent word itself, of another one its class."""
         n_head, n_classes = len(corpus.head_counts), len(corpus.bounds) - 1
-        tail = tail_class(self.count)
-        self.target = np.where(self.head >= 0, self.head // CLASS_SIZE, n_classes + tail)
-        # the context of a word: a frequent word itself, another one by its class
-        own = np.where(self.head >= 0, self.head, n_head + tail)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(self.doc_tokens) - self.doc_tokens, self.doc_tokens)
-        one, two = np.zeros_like(own), np.zeros_like(own)
-        one[1:], two[2:] = own[:-1], own[:-2]
-        one[at < 1], two[at < 2] = 0, 0
-        self.one, self.two = one, two
-        self.features = _features(one, two)
+        self.doc_tokens, self.own = doc_tokens, own
+        self.target = np.where(own < n_head, own // CLASS_SIZE, n_classes + own - n_head)
+        self.at = np.arange(len(own)) - np.repeat(np.cumsum(doc_tokens) - doc_tokens, doc_tokens)
+        self.one, self.two = self.before(own, 1), self.before(own, 2)
+        self.features = _features(self.one, self.two)
+
+    def before(self, x: np.ndarray, n: int, start: int = 0) -> np.ndarray:
+        """``x`` of the token ``n`` places earlier in the document, or ``start``."""
+        out = np.full_like(x, start)
+        out[n:] = x[:-n]
+        out[self.at < n] = start
+        return out
 
     def place_of(self, row: dict, ids: np.ndarray) -> None:
         """Add numbers of words among all others of the tail, and words by a hash; 0 for unseen words and ends."""
@@ -257,49 +278,99 @@ def run_tokens(corpus: Corpus, classes: np.ndarray, members: np.ndarray, t: Toke
     return out / np.log(10)
 
 
-_BLOCK = {
-    "doc": np.int32, "flags": np.uint8, "target": np.int16, "place": np.int64,
-    "one": np.int32, "two": np.int32, "one_key": np.int32, "two_key": np.int32,
-}
-_BLOCK_COLUMNS = "shard bigint, chunk bigint, step int, " + ", ".join(f"{name} binary" for name in _BLOCK)
+#: Tokens of a block as they travel, one array for each: classes and contexts with a last
+#: bit for words that training takes to the class below, and hashes of the words of a
+#: context that are not frequent.  A run is what a document has in the block: its number in
+#: the chunk (with a last bit for training), its mark, its tokens.
+_TOKEN = {"target": np.uint8, "place": np.int64, "one": np.int16, "two": np.int16}
+_KEYS = {"one_key": np.int32, "two_key": np.int32}
+_RUN = {"docs": np.int32, "marks": np.int32, "sizes": np.int32}
+_BLOCK_NAMES = [*_TOKEN, *_KEYS, *_RUN]
+_BLOCK_COLUMNS = "shard bigint, chunk bigint, " + ", ".join(f"{name} binary" for name in _BLOCK_NAMES)
+
+
+def _place_kind(corpus: Corpus) -> type:
+    return np.int32 if corpus.distinct < 1 << 31 else np.int64
 
 
 def _blocks(corpus: Corpus, row: dict) -> Iterator[pa.RecordBatch]:
     """The tokens of a chunk by shard."""
     n_head, n_classes = len(corpus.head_counts), len(corpus.bounds) - 1
-    train, done = np.asarray(row["train"], bool), 0
-    for step, t in enumerate(document_tokens(corpus, row, False)):
-        at = np.arange(len(t.one)) - np.repeat(np.cumsum(t.doc_tokens) - t.doc_tokens, t.doc_tokens)
-
-        def before(x: np.ndarray, n: int) -> np.ndarray:
-            out = np.zeros_like(x)
-            out[n:] = x[:-n]
-            out[at < n] = 0
-            return out
-
+    train, done = np.asarray(row["train"], np.int64), 0
+    for t in document_tokens(corpus, row, False):
+        docs = np.arange(done, done + len(t.doc_tokens))
+        done += len(docs)
+        tail = t.head < 0
         # words that training takes to the class below: counts that are powers of two
-        lower = (t.head < 0) & (t.count > 0) & (t.count & (t.count - 1) == 0)
-        columns = {"doc": np.repeat(np.arange(done, done + len(t.doc_tokens)), t.doc_tokens)}
-        columns["flags"] = lower + 2 * before(lower, 1) + 4 * before(lower, 2) + 8 * train[columns["doc"]]
-        columns |= {"target": t.target, "place": np.where(t.head >= 0, t.head, t.place), "one": t.one, "two": t.two}
-        columns |= {"one_key": before(t.key, 1), "two_key": before(t.key, 2)}
-        done += len(t.doc_tokens)
-        one, two = columns["one_key"].astype(np.int64) << 12, columns["two_key"].astype(np.int64)
-        often = _hashed(5, t.one * 65_537 + t.two + ((row["chunk"] % SPREAD) << 40))
-        hashes = np.where(t.one >= n_head, _hashed(4, one), np.where(t.two >= n_head, _hashed(4, one + two), often))
+        lower = tail & (t.count > 0) & (t.count & (t.count - 1) == 0)
+        own = np.where(tail, n_head + 2 * (t.own - n_head) + lower, t.own)
+        key = np.where(tail, t.key, t.head)
+        count = np.where(tail, t.count, corpus.head_counts[t.head]).astype(np.int64)
+        one, two, one_key, two_key = t.before(own, 1), t.before(own, 2), t.before(key, 1), t.before(key, 2)
+        one_count, two_count = t.before(count, 1, corpus.documents), t.before(count, 2, corpus.documents)
+
+        # a context goes to as many shards as its count may ask for, by the documents' marks
+        marks = np.repeat(row["marks"][docs].astype(np.int64) & 0xFFFFFFFF, t.doc_tokens)
+        part = marks % (1 + np.where(one >= n_head, one_count, np.minimum(one_count, two_count)) // SPREAD_TOKENS)
+        first, second = one_key.astype(np.int64) << 12, two_key.astype(np.int64)
+        often = _hashed(5, t.one * 65_537 + t.two + (part << 44))
+        both = np.where(one >= n_head, first, first + second) + (part << 44)
+        hashes = np.where((one < n_head) & (two < n_head), often, _hashed(4, both))
         # after an unseen word there is nothing to learn, and any shard will do
-        hashes = np.where((t.one == n_head), _hashed(6, np.arange(len(one))), hashes)
+        hashes = np.where(t.one == n_head, _hashed(6, marks + t.at), hashes)
         shard = hashes.astype(np.int64) % corpus.shards
+
         order = np.argsort(shard, kind="stable")
-        owners, first = np.unique(shard[order], return_index=True)
-        ends = [*first[1:].tolist(), len(order)]
-        columns = {name: columns[name].astype(kind)[order] for name, kind in _BLOCK.items()}
-        parts = [[columns[name][i:j].tobytes() for i, j in zip(first.tolist(), ends)] for name in _BLOCK]
-        same = [pa.array(owners, pa.int64()), pa.array([row["chunk"]] * len(owners), pa.int64()), pa.array([step] * len(owners), pa.int32())]
-        names = ["shard", "chunk", "step", *_BLOCK]
+        target = np.where(tail, n_classes + 2 * (t.target - n_classes) + lower, t.target)
+        columns = {"target": target, "place": np.where(tail, t.place, t.head), "one": one, "two": two}
+        columns = {name: columns[name].astype(kind)[order] for name, kind in (_TOKEN | {"place": _place_kind(corpus)}).items()}
+        owner, doc = shard[order], np.repeat(docs, t.doc_tokens)[order]
+        starts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        run = doc[starts]
+        runs = {"docs": 2 * run + train[run], "marks": row["marks"][run], "sizes": np.diff(np.append(starts, len(doc)))}
+        owners, begin = np.unique(owner, return_index=True)
+        cuts = [*zip(begin.tolist(), [*begin[1:].tolist(), len(owner)])]
+        parts = [[columns[name][i:j].tobytes() for i, j in cuts] for name in _TOKEN]
+        for name, keys in (("one", one_key), ("two", two_key)):
+            own_key = keys.astype(np.int32)[order]
+            rare = columns[name] >= n_head
+            parts.append([own_key[i:j][rare[i:j]].tobytes() for i, j in cuts])
+        cuts = np.searchsorted(starts, cuts).tolist()
+        parts += [[runs[name][i:j].astype(kind).tobytes() for i, j in cuts] for name, kind in _RUN.items()]
+        same = [pa.array(owners, pa.int64()), pa.array([row["chunk"]] * len(owners), pa.int64())]
+        names = ["shard", "chunk", *_BLOCK_NAMES]
         yield pa.RecordBatch.from_arrays([*same, *(pa.array(p, pa.binary()) for p in parts)], names)
 
 
+def shard_tokens(corpus: Corpus, table: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Documents and columns of the tokens of a shard, in an order of the rows alone.
+
+    Documents stand in the order of their marks; those of equal marks by what they have
+    here.
+    """
+    n_head, n_classes = len(corpus.head_counts), len(corpus.bounds) - 1
+    kinds = _TOKEN | _KEYS | _RUN | {"place": _place_kind(corpus)}
+    t = {name: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in kinds.items()}
+    runs = [len(x) // 4 for x in table.column("docs").to_pylist()]
+    docs = (np.repeat(table.column("chunk").to_numpy(), runs) << 24) + (t["docs"] >> 1)
+    size, begin = t["sizes"].astype(np.int64), np.cumsum(t["sizes"], dtype=np.int64) - t["sizes"]
+    for name in ("one", "two"):
+        key = t[name].astype(np.int32)
+        key[t[name] >= n_head] = t[f"{name}_key"]
+        t[f"{name}_key"] = key
+    last = begin + size - 1
+    order = np.lexsort((t["two_key"][begin], t["place"][last], t["one_key"][begin], t["place"][begin], size, t["marks"]))
+    n = size[order]
+    at = np.repeat(begin[order] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    out = {name: t[name][at].astype(np.int32) for name in ("target", "one", "two", *_KEYS)} | {"place": t["place"][at]}
+    flags = 8 * (np.repeat(t["docs"][order], n) & 1)
+    for bit, (name, least) in enumerate((("target", n_classes), ("one", n_head), ("two", n_head))):
+        x = out[name]
+        flags += (x >= least) * ((x - least) & 1) << bit
+        out[name] = np.where(x >= least, least + (x - least) // 2, x)
+    return np.repeat(docs[order], n), out | {"flags": flags}
+
+
 def _tree_entries(corpus: Corpus, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """The nodes on the way to words of the tail: whose way it is, the node, the log of what is under each child, the child."""
     first, size, words, tokens = corpus.tree
@@ -378,10 +449,7 @@ def _node_rows(context: np.ndarray | int, node: np.ndarray) -> np.ndarray:
 
 def score_shard(corpus: Corpus, common: Weights, table: pa.Table, passes: int, rate: float) -> pa.Table:
     """(doc, score) of the tokens of one shard, after learning from those for training."""
-    table = table.sort_by([("chunk", "ascending"), ("step", "ascending")])
-    t = {name: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in _BLOCK.items()}
-    n = np.array([len(x) // 4 for x in table.column("doc").to_pylist()])
-    docs = np.repeat(table.column("chunk").to_numpy() << 24, n) + t["doc"]
+    docs, t = shard_tokens(corpus, table)
     shape = (SHARD_CLASS_ROWS, len(corpus.bounds) - 1 + len(corpus.tail_totals))
     learner = Learner(np.zeros(shape, np.float32), np.zeros((SHARD_NODE_ROWS, FAN), np.float32), rate)
     learned = t["flags"] >= 8
@@ -392,57 +460,98 @@ def score_shard(corpus: Corpus, common: Weights, table: pa.Table, passes: int, r
     return pa.table({"doc": pa.array(own, pa.int64()), "score": pa.array(np.bincount(inverse, score))})
 
 
-def _rows_of(batch: pa.RecordBatch, head: dict[str, int]) -> Iterator[dict]:
+def _rows_of(batch: pa.RecordBatch, corpus: Corpus) -> Iterator[dict]:
     """Rows with numeric lists as arrays, and frequent words by their numbers."""
     for i in range(batch.num_rows):
         row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns)}
         out = {"chunk": row["chunk"].as_py(), "doc_ids": row["doc_ids"].as_py(), "train": row["train"].as_py()}
-        numeric = ("n_words", "ids", "counts", "places", "keys")
+        numeric = ("marks", "n_words", "ids", "counts", "places", "keys")
         out |= {name: row[name].values.to_numpy(zero_copy_only=False) for name in numeric}
-        coded = row["often"].values.dictionary_encode()
-        # a null, which stands for any other word, has no index
-        numbers = np.array([*(head.get(w, -1) for w in coded.dictionary.to_pylist()), -1], np.int64)
-        out["heads"] = numbers[coded.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)]
+        often = (out["counts"] > 0) & (out["counts"] * HEAD_SHARE >= corpus.tokens)
+        out["heads"] = np.where(often, out["places"], -1)
+        out["places"] = np.where(often, 0, out["places"])
         yield out
 
 
-_MOVES_COLUMNS = "which int, row int, n bigint, moved array<float>"
-_MOVES = pa.schema({"which": pa.int32(), "row": pa.int32(), "n": pa.int64(), "moved": pa.list_(pa.float32())})
+_CODES_COLUMNS = "part bigint, mark int, codes binary"
 
 
-def _train_pass(chunks: DataFrame, corpus: Corpus, weights: Weights, rate: float) -> Weights:
-    spark = chunks.sparkSession
+def _codes(corpus: Corpus, groups: int, row: dict) -> Iterator[pa.RecordBatch]:
+    """The training documents of a chunk, two bytes a token, with the group of each."""
+    marks = row["marks"][np.asarray(row["train"], bool)]
+    for t in document_tokens(corpus, row, True) if len(marks) else ():
+        ends = np.cumsum(t.doc_tokens).tolist()
+        own, marks, here = t.own.astype(np.uint16), marks[len(ends) :], marks[: len(ends)]
+        codes = [own[i:j].tobytes() for i, j in zip([0, *ends], ends)]
+        part = (_hashed(11, here.astype(np.int64) & 0xFFFFFFFF)).astype(np.int64) % groups
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(here, pa.int32()), pa.array(codes, pa.binary())], ["part", "mark", "codes"]
+        )
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Codes of documents of one group that are worked on together; groups come one after another."""
+    held, size, part = [], 0, None
+    for batch in batches:
+        for own, codes in zip(batch.column("part").to_pylist(), batch.column("codes").to_pylist()):
+            if held and (own != part or size >= 2 * TOGETHER):
+                yield part, held
+                held, size = [], 0
+            part, size = own, size + len(codes)
+            held.append(codes)
+    if held:
+        yield part, held
+
+
+_MOVES_COLUMNS = "part bigint, which int, row int, n bigint, moved array<float>"
+_MOVES = pa.schema({"part": pa.int64(), "which": pa.int32(), "row": pa.int32(), "n": pa.int64(), "moved": pa.list_(pa.float32())})
+
+
+def _moves(corpus: Corpus, start: Weights, part: int, learner: Learner) -> Iterator[pa.RecordBatch]:
+    """How far each row has moved, times how often it was met."""
+    for which, old in enumerate((start.classes, start.members)):
+        met = np.flatnonzero(learner.met[which])
+        n = learner.met[which][met]
+        moved = (learner.weights[which][met] - old[met]) * n[:, None]
+        lists = pa.array(list(moved.astype(np.float32)), pa.list_(pa.float32()))
+        same = [pa.array(np.full(len(met), x), kind) for x, kind in ((part, pa.int64()), (which, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(met, pa.int32()), pa.array(n), lists], _MOVES.names)
+
+
+def _train_pass(codes: DataFrame, corpus: Corpus, weights: Weights, rate: float) -> Weights:
+    """Steps within each group of documents, and the mean of all groups."""
+    spark = codes.sparkSession
     common = spark.sparkContext.broadcast((corpus, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, start = common.value
-        learner = Learner(start.classes, start.members, rate)
-        for batch in batches:
-            for row in _rows_of(batch, corpus.head):
-                for t in document_tokens(corpus, row, True):
-                    run_tokens(corpus, *learner.weights, t, learner)
-        for which, old in enumerate((start.classes, start.members)):
-            met = np.flatnonzero(learner.met[which])
-            n = learner.met[which][met]
-            moved = (learner.weights[which][met] - old[met]) * n[:, None]
-            columns = [pa.array(np.full(len(met), which), pa.int32()), pa.array(met, pa.int32()), pa.array(n)]
-            lists = pa.array(list(moved.astype(np.float32)), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*columns, lists], ["which", "row", "n", "moved"])
+        part, learner = None, None
+        for own, held in _groups(batches):
+            if own != part:
+                if learner is not None:
+                    yield from _moves(corpus, start, part, learner)
+                part, learner = own, Learner(start.classes, start.members, rate)
+            n = np.array([len(x) // 2 for x in held])
+            t = Tokens.coded(corpus, n, np.frombuffer(b"".join(held), np.uint16).astype(np.int64))
+            run_tokens(corpus, *learner.weights, t, learner)
+        if learner is not None:
+            yield from _moves(corpus, start, part, learner)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # at most as many rows as the model has
+        # at most as many rows as the model has; groups come in their order
         sums: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
         for batch in batches:
             keys = zip(batch.column("which").to_pylist(), batch.column("row").to_pylist())
             for key, n, moved in zip(keys, batch.column("n").to_pylist(), batch.column("moved")):
                 before = sums.get(key, (0, 0.0))
                 sums[key] = (before[0] + n, before[1] + moved.values.to_numpy().astype(float))
-        rows = [{"which": k[0], "row": k[1], "n": n, "moved": (v / n).astype(np.float32)} for k, (n, v) in sums.items()]
+        rows = [{"part": 0, "which": k[0], "row": k[1], "n": n, "moved": (v / n).astype(np.float32)} for k, (n, v) in sums.items()]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _MOVES)
 
-    moves = chunks.mapInArrow(run, _MOVES_COLUMNS)
-    for r in moves.repartition("which", "row").mapInArrow(add_up, _MOVES_COLUMNS).toLocalIterator():
+    moves = codes.sortWithinPartitions("part", "mark", "codes").mapInArrow(run, _MOVES_COLUMNS)
+    placed = moves.repartition("which", "row").sortWithinPartitions("which", "row", "part")
+    for r in placed.mapInArrow(add_up, _MOVES_COLUMNS).toLocalIterator():
         w = weights.classes if r["which"] == 0 else weights.members
         w[r["row"]] += np.array(r["moved"], np.float32)
     return weights
@@ -463,11 +572,14 @@ def language_scores(
     space, and each document ends with one end token.  base_score sums log10((c + 1) /
     (N + V + 1)); score is the model's log10 probability.  Null and empty texts are the
     end alone; null ids and repeated rows are scored like others; without training
-    documents every word is unseen.  An empty table gives an empty result.
+    documents every word is unseen.  An empty table gives an empty result.  Scores do not
+    depend on how rows lie in partitions; documents whose hashes of 32 bits are equal are
+    told apart by their tokens.
     """
     spark = docs.sparkSession
     ready(spark)
     marked = texts(docs, id_col, text_col).withColumn("train", F.coalesce(train, F.lit(False)))
+    marked = marked.withColumn("mark", F.hash("doc_id", "text"))
     chunks = write_once(marked.mapInArrow(_chunks, _CHUNK_COLUMNS), "chunks")
 
     entries = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "seen")).alias("place", "x"))
@@ -502,35 +614,46 @@ def language_scores(
     starts = [(int(c), int(n)) for c, n in zip(tail[:, 0], np.cumsum(tail[:, 1]) - tail[:, 1])]
     starts = spark.createDataFrame(starts, "c bigint, before bigint")
     places = within.join(starts, "c").select("words", "c", (F.col("place") + F.col("before")).alias("place"))
-    counted = places.unionByName(counted.where(often).withColumn("place", F.lit(0).cast("bigint")))
+    # a frequent word has the number of its own kind
+    numbers = [(w, -c, i) for i, (c, w) in enumerate(head, 1)]
+    counted = places.unionByName(spark.createDataFrame(numbers, "words string, c bigint, place bigint"))
 
     found = entries.select("at", "words").join(counted, "words", "left").select(
         F.shiftright("at", 24).alias("chunk"),
         F.struct(
-            F.col("at").bitwiseAND((1 << 24) - 1).cast("int").alias("place"),
+            F.col("at").bitwiseAND((1 << 24) - 1).cast("int").alias("at"),
             F.coalesce("c", F.lit(0)).alias("c"),
-            F.when(often, F.col("words")).alias("word"),
-            F.coalesce(F.col("place"), F.lit(0)).alias("number"),
-            F.hash("words").alias("key"),
+            F.coalesce(F.col("place"), F.lit(0)).alias("place"),
         ).alias("x"),
     )
     back = found.groupBy("chunk").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    lists = {"counts": ("c", "bigint"), "often": ("word", "string"), "places": ("number", "bigint"), "keys": ("key", "int")}
-    back = back.select("chunk", *[F.col(f"x.{name}").alias(out) for out, (name, _) in lists.items()])
-    whole = chunks.drop("seen", "words").join(back, "chunk", "left").withColumns(
-        {name: F.coalesce(name, F.array().cast(f"array<{kind}>")) for name, (_, kind) in lists.items()}
+    lists = {"counts": "c", "places": "place"}
+    back = back.select("chunk", *[F.col(f"x.{name}").alias(out) for out, name in lists.items()])
+    keyed = chunks.withColumn("keys", F.transform("words", lambda w: F.hash(w))).drop("seen", "words")
+    whole = keyed.join(back, "chunk", "left").withColumns(
+        {name: F.coalesce(name, F.array().cast("array<bigint>")) for name in lists}
     )
     whole = write_once(whole, "chunks")
 
     weights = Weights(corpus)
-    for _ in range(passes if n_docs else 0):
-        weights = _train_pass(whole, corpus, weights, rate)
+    if n_docs and passes:
+        groups = max(1, -(-tokens // GROUP_TOKENS))
+        known = spark.sparkContext.broadcast(corpus)
+
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in _rows_of(batch, known.value):
+                    yield from _codes(known.value, groups, row)
+
+        codes = whole.mapInArrow(code, _CODES_COLUMNS).repartition("part")
+        for _ in range(passes):
+            weights = _train_pass(codes, corpus, weights, rate)
     model = spark.sparkContext.broadcast((corpus, weights))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, _ = model.value
         for batch in batches:
-            for row in _rows_of(batch, corpus.head):
+            for row in _rows_of(batch, corpus):
                 yield from _blocks(corpus, row)
 
     def score(shard: pa.Table) -> pa.Table:
@@ -539,7 +662,7 @@ def language_scores(
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, _ = model.value
         for batch in batches:
-            for row in _rows_of(batch, corpus.head):
+            for row in _rows_of(batch, corpus):
                 n = row["n_words"]
                 counts = np.insert(row["counts"][row["ids"]], np.cumsum(n), corpus.documents)
                 first = np.cumsum(n + 1) - n - 1

@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +226,58 @@ def test_every_word_is_modelled_in_context(spark):
     assert one["score"] > other["score"] + 20
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "SHARD_TOKENS", 1000)  # some shards, and contexts in several
+    monkeypatch.setattr(maxent, "SPREAD_TOKENS", 100)
+    monkeypatch.setattr(maxent, "GROUP_TOKENS", 2000)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[i] for i in rng.zipf(1.3, n) % 300) for n in rng.integers(0, 90, 150)]
+    docs = frame(spark, [*texts, None, "", texts[0]])
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    train = F.col("doc_id") % 4 != 1
+    parted = [docs.coalesce(1), docs.repartition(6, "text"), docs.orderBy(F.desc("doc_id"))]
+    scores = [sorted((r["doc_id"], r["score"]) for r in maxent.language_scores(d, train).collect()) for d in parted]
+    for other in scores[1:]:
+        assert [i for i, _ in other] == [i for i, _ in scores[0]]
+        assert [x for _, x in other] == pytest.approx([x for _, x in scores[0]], abs=1e-6)
+
+
+def test_tokens_reach_their_shards_whole():
+    counts = {"a": 40, "b": 25}
+    tail = {"c": 3, "d": 2, "e": 1, "f": 4}
+    tails, n = np.unique(list(tail.values()), return_counts=True)
+    totals = np.bincount(maxent.tail_class(tails), tails * n).astype(float)
+    corpus = maxent.Corpus(5 << 20, 7, 10, {"a": 1, "b": 2}, np.array([10.0, 40, 25]), totals, tails, n)
+    words = ["a", "b", *tail, "unseen"]
+    said = [["a", "c", "d", "b", "e"], [], ["unseen", "f", "a", "a", "f", "c"], ["d"]]
+    row = {
+        "chunk": 3, "train": [True, False, True, False], "marks": np.array([9, -4, 2, 2], np.int32),
+        "n_words": np.array([len(x) for x in said]), "ids": np.array([words.index(w) for x in said for w in x]),
+        "counts": np.array([counts.get(w, tail.get(w, 0)) for w in words]), "places": np.array([0, 0, 2, 1, 0, 3, 0]),
+        "keys": np.arange(101, 108, dtype=np.int32), "heads": np.array([corpus.head.get(w, -1) for w in words]),
+    }
+    batch = pa.Table.from_batches(list(maxent._blocks(corpus, row)))
+    got = collections.Counter()
+    for shard in set(batch.column("shard").to_pylist()):
+        docs, t = maxent.shard_tokens(corpus, batch.filter(pc.equal(batch.column("shard"), shard)))
+        names = ("target", "place", "one", "two", "one_key", "two_key", "flags")
+        got.update(zip(docs.tolist(), *(t[x].tolist() for x in names)))
+    want, classes = collections.Counter(), {w: int(maxent.tail_class(np.array([c]))[0]) for w, c in (tail | {"unseen": 0}).items()}
+    lower = lambda w: w in ("d", "e", "f")
+    place = dict(zip(words, row["places"].tolist()))
+    own = lambda w: (classes[w] + 3, 101 + words.index(w) if w in tail else 0) if w in classes else (corpus.head.get(w, 0),) * 2
+    for d, text in enumerate(said):
+        past = [None, None]
+        for w in [*text, None]:
+            target = 1 + classes[w] if w in classes else 0
+            (one, one_key), (two, two_key) = own(past[-1]), own(past[-2])
+            flags = lower(w) + 2 * lower(past[-1]) + 4 * lower(past[-2]) + 8 * row["train"][d]
+            want[(3 << 24) + d, target, corpus.head.get(w, place.get(w, 0)), one, two, one_key, two_key, flags] += 1
+            past.append(w)
+    assert got == want
+
+
 def test_shards_and_their_rows_grow_with_the_corpus():
     sized = [maxent.Corpus(n, 7, 10, {}, np.array([10.0]), np.array([0.0])).shards for n in (10, 10**7, 10**9)]
     assert sized[0] == 1 and sized[2] > 90 * sized[1] > 500
