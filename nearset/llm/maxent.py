@@ -70,9 +70,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part = TaskContext.get().partitionId()
     for number, table in enumerate(gathered(batches, CHUNK)):
-        raw = [t.encode("utf-8", "replace").lower() for t in table.column("text").to_pylist()]
-        lists = pc.ascii_split_whitespace(pa.array(raw, pa.binary()).cast(pa.large_string()))
-        del raw
+        text = pc.ascii_lower(table.column("text").combine_chunks().cast(pa.large_string()))
+        lists = pc.ascii_split_whitespace(text)
+        del text
         coded = lists.flatten().dictionary_encode()
         words, ids, ends = coded.dictionary.cast(pa.string()), np.asarray(coded.indices), np.asarray(lists.offsets)
         nothing = pc.index(words, "").as_py()  # between separators that follow each other
@@ -84,6 +84,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [table.column(name).combine_chunks() for name in ("doc_id", "mark")]
         lists = [*own, pa.array(train), pa.array(n), pa.array(ids), words, pa.array(seen)]
         row = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+        del lists, coded, real
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array([(part << 20) + number], pa.int64()), *row], _CHUNK_NAMES)
 
 
@@ -219,6 +221,13 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _sum_of_rows(z: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """``z``, to which the rows of ``weights`` are added in place."""
+    for r in rows:
+        z += weights.take(r, axis=0)
+    return z
+
+
 class Learner:
     """AdaGrad steps on copies of two tables of weights; keeps how often each row was met."""
 
@@ -233,12 +242,23 @@ class Learner:
         order = np.argsort(rows, kind="stable")
         ordered = rows[order]
         first = np.flatnonzero(np.diff(ordered, prepend=np.int32(-1)))
-        own, g = ordered[first], np.add.reduceat(grad[order], first, axis=0)
-        w, s = self.weights[which], self.squares[which]
-        s[own, columns] += g * g
-        w[own, columns] -= self.rate * g / np.sqrt(s[own, columns])
+        own, g = ordered[first], np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+        self._move(which, own if columns == slice(None) else (own, columns), g)
         self.met[which][own] += np.diff(np.append(first, len(rows)))
 
+    def step_all(self, which: int, columns: slice, grad: np.ndarray) -> None:
+        """The same in the first row, which every token meets."""
+        self._move(which, (0, columns), grad.sum(axis=0))
+        self.met[which][0] += len(grad)
+
+    def _move(self, which: int, at, g: np.ndarray) -> None:
+        w, s = self.weights[which], self.squares[which]
+        squares = s[at] + g * g
+        s[at] = squares
+        g *= self.rate
+        g /= np.sqrt(squares, out=squares)
+        w[at] -= g
+
 
 def run_tokens(corpus: Corpus, classes: np.ndarray, members: np.ndarray, t: Tokens, learner: Learner | None) -> np.ndarray:
     """log10 probability of each token; with a learner, steps are taken on the way."""
@@ -248,14 +268,15 @@ def run_tokens(corpus: Corpus, classes: np.ndarray, members: np.ndarray, t: Toke
     for i in range(0, len(out), BATCH):
         target, head = t.target[i : i + BATCH], t.head[i : i + BATCH]
         f = [_rows(x[i : i + BATCH], CLASS_ROWS) for x in t.features]
-        z = classes[0] + classes[f[0]] + classes[f[1]] + classes[f[2]]
+        z = _sum_of_rows(classes[0] + classes[f[0]], classes, f[1:])
         log_p = _log_softmax(z)
         here = np.arange(len(target))
         value = log_p[here, target].astype(float)
         if learner is not None:
             grad = np.exp(log_p)
             grad[here, target] -= 1
-            for rows in (np.zeros(len(target), np.uint16), *f):
+            learner.step_all(0, slice(None), grad)
+            for rows in f:
                 learner.step(0, rows, slice(None), grad)
         m = [_rows(x[i : i + BATCH], MEMBER_ROWS) for x in t.features]
         for k in np.unique(target[target < n_classes]):
@@ -268,7 +289,8 @@ def run_tokens(corpus: Corpus, classes: np.ndarray, members: np.ndarray, t: Toke
             if learner is not None:
                 grad = np.exp(log_q)
                 grad[np.arange(len(among)), which] -= 1
-                for r in (np.zeros(len(among), np.uint16), *rows):
+                learner.step_all(1, span, grad)
+                for r in rows:
                     learner.step(1, r, span, grad)
         rare = np.flatnonzero((target > n_classes))
         if len(rare) and learner is None:
@@ -384,11 +406,14 @@ def _tree_entries(corpus: Corpus, place: np.ndarray) -> tuple[np.ndarray, ...]:
     k, local = k[who], (place - first[k])[who]
     width = FAN ** (own[who] - level - 1)
     start = local // (width * FAN) * (width * FAN)
-    edges = np.minimum(start[:, None] + width[:, None] * np.arange(FAN + 1), size[k][:, None])
-    under = np.diff(np.interp(edges + first[k][:, None], words, tokens), axis=1)
+    # what is under a node is worked out once, however many words pass it
+    node = ((first[k] + start) << 4) + level
+    _, at, back = np.unique(node, return_index=True, return_inverse=True)
+    edges = np.minimum(start[at, None] + width[at, None] * np.arange(FAN + 1), size[k[at], None])
+    under = np.diff(np.interp(edges + first[k[at], None], words, tokens), axis=1)
     with np.errstate(divide="ignore"):
-        prior = np.log(under)
-    return who, ((first[k] + start) << 4) + level, prior, (local - start) // width
+        prior = np.log(under).astype(np.float32)
+    return who, node, prior[back], (local - start) // width
 
 
 def run_shard(corpus: Corpus, common: Weights, tables: tuple, t: dict[str, np.ndarray], learner: Learner | None) -> np.ndarray:
@@ -406,14 +431,16 @@ def run_shard(corpus: Corpus, common: Weights, tables: tuple, t: dict[str, np.nd
         keys = [b["one_key"], b["two_key"], b["one_key"] * 1_000_003 + b["two_key"]]
         own = [_hashed(kind, x) for kind, x in zip((7, 8, 9), keys)]
         f, g = [_rows(x, CLASS_ROWS) for x in features], [_rows(x, SHARD_CLASS_ROWS) for x in own]
-        z = common.classes[0] + sum(common.classes[x] for x in f) + classes[0] + sum(classes[x] for x in g)
+        z = _sum_of_rows(common.classes[0] + classes[0] + common.classes[f[0]], common.classes, f[1:])
+        z = _sum_of_rows(z, classes, g)
         log_p = _log_softmax(z)
         here = np.arange(len(target))
         value = log_p[here, target].astype(float)
         if learner is not None:
             grad = np.exp(log_p)
             grad[here, target] -= 1
-            for rows in (np.zeros(len(target), np.uint16), *g):
+            learner.step_all(0, slice(None), grad)
+            for rows in g:
                 learner.step(0, rows, slice(None), grad)
         # members of classes of frequent words, and nodes of the others
         head = np.flatnonzero(b["target"] < n_classes)
@@ -425,13 +452,13 @@ def run_shard(corpus: Corpus, common: Weights, tables: tuple, t: dict[str, np.nd
         base[np.arange(FAN) >= (bounds[k + 1] - bounds[k])[:, None]] = -np.inf
         who, node, prior, child = _tree_entries(corpus, b["place"][tail])
         who, node = np.append(head, tail[who]), np.append(-1 - k, node)
-        base = np.concatenate([base, prior.astype(np.float32)])
+        base = np.concatenate([base, prior])
         child = np.append(b["place"][head] - bounds[k], child)
         if not len(who):
             out[i : i + BATCH] = value
             continue
         rows = [_node_rows(0, node), *(_node_rows(x[who].astype(np.int64), node) for x in own)]
-        log_q = _log_softmax(base + sum(nodes[r] for r in rows))
+        log_q = _log_softmax(_sum_of_rows(base, nodes, rows))
         entry = np.arange(len(who))
         value += np.bincount(who, log_q[entry, child], len(value))
         if learner is not None:
