@@ -62,6 +62,9 @@ SPREAD_TOKENS = SHARD_TOKENS >> 3
 GROUP_TOKENS = 1 << 21
 #: Words that one task numbers.
 TAIL_PART = 100_000
+#: Numbers of words: 0 if unseen, frequent ones from 1, the others from FIRST_TAIL in the
+#: order of their counts.  Above these bits stands the place of a word in its chunk.
+FIRST_TAIL, NUMBER_BITS = 1 << 12, 39
 BATCH = 8192
 
 
@@ -126,6 +129,16 @@ class Corpus:
         words = np.append(0, np.cumsum(self.tail_words))
         return np.cumsum(size) - size, size, words, np.append(0, np.cumsum(self.tail_counts * self.tail_words))
 
+    def words(self, numbers: np.ndarray) -> dict[str, np.ndarray]:
+        """Counts of words by their numbers, frequent words (else -1), and places among the others."""
+        often, rare = (numbers > 0) & (numbers < FIRST_TAIL), numbers >= FIRST_TAIL
+        out = {"heads": np.where(often, numbers, -1), "places": np.where(rare, numbers - FIRST_TAIL, 0)}
+        counts = np.zeros(len(numbers), np.int64)
+        counts[often] = self.head_counts[numbers[often]]
+        # words of the tail stand in the order of their counts
+        counts[rare] = self.tail_counts[np.searchsorted(self.tree[2], out["places"][rare], side="right") - 1]
+        return out | {"counts": counts}
+
     @property
     def bounds(self) -> np.ndarray:
         """Where classes of frequent words begin, then their number."""
@@ -492,11 +505,9 @@ def _rows_of(batch: pa.RecordBatch, corpus: Corpus) -> Iterator[dict]:
     for i in range(batch.num_rows):
         row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns)}
         out = {"chunk": row["chunk"].as_py(), "doc_ids": row["doc_ids"].as_py(), "train": row["train"].as_py()}
-        numeric = ("marks", "n_words", "ids", "counts", "places", "keys")
+        numeric = ("marks", "n_words", "ids", "numbers", "keys")
         out |= {name: row[name].values.to_numpy(zero_copy_only=False) for name in numeric}
-        often = (out["counts"] > 0) & (out["counts"] * HEAD_SHARE >= corpus.tokens)
-        out["heads"] = np.where(often, out["places"], -1)
-        out["places"] = np.where(often, 0, out["places"])
+        out |= corpus.words(out.pop("numbers"))
         yield out
 
 
@@ -640,26 +651,21 @@ def language_scores(
     within = row_numbers(counted.where(~often).withColumn("part", of_part), ["c"], ["words"], "place")
     starts = [(int(c), int(n)) for c, n in zip(tail[:, 0], np.cumsum(tail[:, 1]) - tail[:, 1])]
     starts = spark.createDataFrame(starts, "c bigint, before bigint")
-    places = within.join(starts, "c").select("words", "c", (F.col("place") + F.col("before")).alias("place"))
-    # a frequent word has the number of its own kind
-    numbers = [(w, -c, i) for i, (c, w) in enumerate(head, 1)]
-    counted = places.unionByName(spark.createDataFrame(numbers, "words string, c bigint, place bigint"))
-
-    found = entries.select("at", "words").join(counted, "words", "left").select(
-        F.shiftright("at", 24).alias("chunk"),
-        F.struct(
-            F.col("at").bitwiseAND((1 << 24) - 1).cast("int").alias("at"),
-            F.coalesce("c", F.lit(0)).alias("c"),
-            F.coalesce(F.col("place"), F.lit(0)).alias("place"),
-        ).alias("x"),
+    number = F.col("place") + F.col("before") + FIRST_TAIL
+    places = within.join(starts, "c").select("words", number.alias("number"))
+    numbers = [(w, i) for i, (_, w) in enumerate(head, 1)]
+    numbered = places.unionByName(spark.createDataFrame(numbers, "words string, number bigint"))
+
+    # the place of a word in the chunk, which orders the list, and its number
+    place = F.shiftleft(F.col("at").bitwiseAND((1 << 24) - 1), NUMBER_BITS)
+    found = entries.select("at", "words").join(numbered, "words", "left").select(
+        F.shiftright("at", 24).alias("chunk"), (place + F.coalesce("number", F.lit(0))).alias("x")
     )
     back = found.groupBy("chunk").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    lists = {"counts": "c", "places": "place"}
-    back = back.select("chunk", *[F.col(f"x.{name}").alias(out) for out, name in lists.items()])
+    low = F.transform("x", lambda x: x.bitwiseAND((1 << NUMBER_BITS) - 1))
     keyed = chunks.withColumn("keys", F.transform("words", lambda w: F.hash(w))).drop("seen", "words")
-    whole = keyed.join(back, "chunk", "left").withColumns(
-        {name: F.coalesce(name, F.array().cast("array<bigint>")) for name in lists}
-    )
+    nothing = F.array().cast("array<bigint>")
+    whole = keyed.join(back, "chunk", "left").withColumn("numbers", F.coalesce(low, nothing)).drop("x")
     whole = write_once(whole, "chunks")
 
     weights = Weights(corpus)
