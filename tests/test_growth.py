@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from nearset.operators import itemsets, signatures
 from nearset.operators import text as X
 
 
@@ -40,3 +41,28 @@ def test_substring_counts_of_repeated_ids(spark):
     got = sorted(tuple(r) for r in X.substring_counts(docs, X.count_terms(docs)).collect())
     # sums over both rows of id 1, once for each row that holds the term
     assert got == [(1, 2, "b", 5), (1, 3, "ab", 2), (1, 3, "abc", 1), (1, 3, "b", 5), (2, 2, "b", 3), (2, 2, "bb", 1)]
+
+
+def test_ranges_of_large_sets_do_not_grow_with_their_rows(spark, monkeypatch):
+    written = []
+
+    def noted(df, name, write=signatures.write_once):
+        written.append((name, write(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(signatures, "write_once", noted)
+    rows = spark.range(4000).select((F.col("id") % 2).alias("set_id"), F.col("id").alias("item"))
+    ranked = signatures.rank_large_sets(rows, "item", 10)
+    assert sorted((r.set_id, r.rk, r.item) for r in ranked.collect())[:3] == [(0, 1, 0), (0, 2, 2), (0, 3, 4)]
+    [parts] = [t.select("part").distinct().count() for name, t in written if name == "sorted-rows"]
+    assert parts <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sets_are_nested_without_frequencies(spark, monkeypatch):
+    def refused(rows):
+        raise AssertionError("frequencies are of no use here")
+
+    monkeypatch.setattr(signatures, "item_frequency", refused)
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (2, "b"), (2, "a")], "set_id long, item string")
+    got = sorted((r.set_id, r.chunk, r["items"], r.n_items) for r in itemsets.to_sets(rows, 2).collect())
+    assert got == [(1, 0, ["a", "b"], 2), (2, 0, ["a", "b"], 3), (2, 1, ["c"], 3)]
