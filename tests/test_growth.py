@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from nearset.operators import itemsets, signatures
+from nearset.operators import itemsets, signatures, simjoin
 from nearset.operators import text as X
+from nearset.operators.signatures import Scheme
 
 
 def _words(count: int, seed: int) -> list[str]:
@@ -66,3 +67,16 @@ def test_sets_are_nested_without_frequencies(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (2, "b"), (2, "a")], "set_id long, item string")
     got = sorted((r.set_id, r.chunk, r["items"], r.n_items) for r in itemsets.to_sets(rows, 2).collect())
     assert got == [(1, 0, ["a", "b"], 2), (2, 0, ["a", "b"], 3), (2, 1, ["c"], 3)]
+
+
+def test_prepared_items_are_places_in_the_order(spark):
+    rows = [(s, w) for s, words in enumerate(["the fox", "the dog ran", "the fox ran", "é z"]) for w in words.split()]
+    frame = spark.createDataFrame(rows, "set_id long, item string")
+    places = {r.item: r.place for r in simjoin.numbered_items(frame).collect()}
+    df = {w: sum(x == w for _, x in rows) for w in places}
+    order = sorted(places, key=lambda w: (df[w], w.encode()))
+    assert [places[w] for w in order] == list(range(1, len(order) + 1))
+    sets = {r.set_id: r for r in simjoin.prepare(frame, Scheme(0.5)).sets.collect()}
+    for set_id, words in {1: ["dog", "ran", "the"], 3: ["z", "é"]}.items():
+        assert sets[set_id]["items"] == [places[w] for w in words]
+        assert sets[set_id].skip == sum(df[w] == 1 for w in words)
