@@ -366,7 +366,8 @@ def tf_idf(
         max_cnt = F.max("cnt").over(W.partitionBy("doc_id"))
         counts = counts.withColumn("max_cnt", max_cnt)
         weight = T.floor_weight(cnt, F.col("max_cnt"), n_docs, df)
-    return counts.join(frequency, "term").select(
+    # there are far fewer terms than counts: they are hashed, where a merge would sort all counts
+    return counts.join(frequency.hint("shuffle_hash"), "term").select(
         "doc_id", "term", "cnt", weight.alias("weight")
     )
 

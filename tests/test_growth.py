@@ -80,3 +80,11 @@ def test_prepared_items_are_places_in_the_order(spark):
     for set_id, words in {1: ["dog", "ran", "the"], 3: ["z", "é"]}.items():
         assert sets[set_id]["items"] == [places[w] for w in words]
         assert sets[set_id].skip == sum(df[w] == 1 for w in words)
+
+
+def test_counts_are_not_sorted_for_their_weights(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
+    weights = X.tf_idf(docs)
+    assert weights.count() == 4
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
