@@ -69,6 +69,14 @@ class Scheme:
         return S.length_classes(n, self.threshold, self.length_classes)
 
 
+def with_classes(sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Add ``classes``, if the scheme has length classes: worked out once for each size ``n``."""
+    if scheme.length_classes is None:
+        return sets
+    sizes = write_once(sets.select("n").distinct(), "sizes")
+    return sets.join(write_once(sizes.withColumn("classes", scheme.classes(F.col("n"))), "classes"), "n")
+
+
 def _order_columns(order: str) -> list[str]:
     return ["df", "item"] if order == "frequency" else ["item"]
 

@@ -45,8 +45,8 @@ from nearset.operators.itemsets import (
     largest_set,
     unique_rows,
 )
-from nearset.operators.signatures import Scheme, combine_prefix
-from nearset.operators.sketches import INLINE_ITEMS, possible_pairs
+from nearset.operators.signatures import Scheme, combine_prefix, with_classes
+from nearset.operators.sketches import INLINE_ITEMS, parity, possible_pairs, unequal_bits
 from nearset.runtime import write_once
 
 # Most item combinations one set may turn into; longer sets sign with single
@@ -55,6 +55,9 @@ _MAX_COMBINATIONS = 1000
 
 _ANY = 2**62  # "no limit" for a BIGINT column
 
+# Items that pairs with a set above INLINE_ITEMS must share in prefixes as much longer.
+SHARED_ITEMS = 4
+
 
 @dataclass(frozen=True)
 class Prepared:
@@ -167,33 +170,35 @@ def longest_combined(scheme: Scheme) -> int:
 
 
 def with_own_items(sets: DataFrame) -> DataFrame:
-    """Add ``own``: the items of a set of up to INLINE_ITEMS, null for larger ones."""
-    return sets.withColumn("own", F.when(F.col("n") <= INLINE_ITEMS, F.col("items")))
+    """Add ``own``: (items, bits) of a set of up to INLINE_ITEMS, null for larger ones."""
+    own = F.struct("items", parity(F.col("items")).alias("bits"))
+    return sets.withColumn("own", F.when(F.col("n") <= INLINE_ITEMS, own))
 
 
-def signed_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
+def signed_sets(sets: DataFrame, scheme: Scheme, shared: int = 1) -> DataFrame:
     """Join keys of every set: (sig, set_id, n, copies, own, last, level, above, within).
 
     ``sig`` is a 64-bit hash of ``level`` items, the last of them at position
     ``last``.  A pair only counts when its larger set has more than ``above``
     items and it needs at most ``within`` shared items.  Hash collisions add
     candidates and are sorted out when the pair is verified.  ``own`` are the items
-    of a set of up to INLINE_ITEMS.
+    of a set of up to INLINE_ITEMS.  With length classes there are ``classes`` as well, of
+    which a pair must have one in common.  Prefixes are those of pairs that ``shared`` items
+    are asked of.
     """
-    sets = with_own_items(sets).withColumn("p", scheme.prefix(F.col("n")))
+    prefix = scheme.prefix(F.col("n")) if shared == 1 else F.least(F.col("n"), S.prefix_length(F.col("n"), scheme.threshold, shared))
+    sets = with_classes(with_own_items(sets), scheme).withColumn("p", prefix)
+    classes = ["classes"] if scheme.length_classes else []
 
     def sign(part: DataFrame, level: int, above: int) -> DataFrame:
-        signed = combine_prefix(part, level, ["set_id", "n", "copies", "own"])
-        key = F.xxhash64("sig")
-        if scheme.length_classes:
-            signed = signed.withColumn("class", F.explode(scheme.classes(F.col("n"))))
-            key = F.xxhash64("class", "sig")
+        signed = combine_prefix(part, level, ["set_id", "n", "copies", "own", *classes])
         return signed.select(
-            key.alias("sig"),
+            F.xxhash64("sig").alias("sig"),
             "set_id",
             "n",
             "copies",
             "own",
+            *classes,
             "last",
             F.lit(level).alias("level"),
             F.lit(above).cast("bigint").alias("above"),
@@ -209,18 +214,31 @@ def signed_sets(sets: DataFrame, scheme: Scheme) -> DataFrame:
     return short.unionByName(long)
 
 
-def _meets(scheme: Scheme) -> Column:
-    """Join condition of rows ``a`` (smaller set) and ``b`` under one signature."""
+def _meets(scheme: Scheme, shared: int = 1) -> Column:
+    """Join condition of rows ``a`` (smaller set) and ``b`` under one signature.
+
+    Where ``shared`` items are asked of a pair, this may be the last of them.
+    """
     n_a, n_b = F.col("n_a"), F.col("n_b")
     needed = S.required_overlap(n_a, n_b, scheme.threshold)
-    bound = S.overlap_bound(n_a, F.col("last_a"), n_b, F.col("last_b"), F.col("level"))
-    return (
+    bound = S.overlap_bound(n_a, F.col("last_a"), n_b, F.col("last_b"), F.col("level") + (shared - 1))
+    meets = (
         ((n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b"))))
         & S.length_filter(n_a, n_b, scheme.threshold)
         & (n_b > F.col("above"))
         & (needed <= F.col("within"))
         & (bound >= needed)
     )
+    return meets & F.arrays_overlap("classes_a", "classes_b") if scheme.length_classes else meets
+
+
+def _as_smaller(scheme: Scheme, shared: int = 1) -> Column:
+    """Rows under which a set may be the smaller one of a pair: fewer than its prefix.
+
+    The bound of ``_meets`` for a partner of its own size, which asks for the fewest items.
+    """
+    n = F.col("n")
+    return F.col("level") + (shared - 1) + n - F.col("last") >= S.required_overlap(n, n, scheme.threshold)
 
 
 def _side(df: DataFrame, name: str, keys: list[str], extra: list[str | Column]) -> DataFrame:
@@ -234,7 +252,12 @@ def _side(df: DataFrame, name: str, keys: list[str], extra: list[str | Column])
 
 
 def _met(
-    signed: DataFrame, scheme: Scheme, block_rows: int | None, sought: DataFrame | None, columns: dict[str, str]
+    signed: DataFrame,
+    scheme: Scheme,
+    block_rows: int | None,
+    sought: DataFrame | None,
+    columns: dict[str, str],
+    shared: int = 1,
 ) -> DataFrame:
     """Pairs of rows that meet: (a, b, n_a, n_b) and ``columns`` of both, once per signature.
 
@@ -242,7 +265,7 @@ def _met(
     are the rows of ``signed`` under which larger sets look for smaller ones, if not all.
     """
     keys = ["sig"]
-    left, right = signed, signed if sought is None else sought
+    left, right = signed.where(_as_smaller(scheme, shared)), signed if sought is None else sought
     if block_rows is not None:
         sizes = signed.groupBy("sig").agg(F.count("*").alias("rows"))
         large = write_once(sizes.where(F.col("rows") > block_rows), "large-signatures")
@@ -254,13 +277,15 @@ def _met(
         left, right = blocked(left)[0], blocked(right)[1]
         keys = ["sig", "left_block", "right_block"]
 
+    carried = columns | ({"classes": "classes"} if scheme.length_classes else {})
+
     def extra(name: str) -> list[Column]:
-        return [F.col(c).alias(f"{as_}_{name}") for c, as_ in columns.items()]
+        return [F.col(c).alias(f"{as_}_{name}") for c, as_ in carried.items()]
 
     return (
         _side(left, "a", keys, ["level", "above", "within", *extra("a")])
         .join(_side(right, "b", keys, extra("b")), keys)
-        .where(_meets(scheme))
+        .where(_meets(scheme, shared))
         .select("a", "b", "n_a", "n_b", *[f"{as_}_{name}" for as_ in columns.values() for name in "ab"])
     )
 
@@ -278,7 +303,7 @@ def verified_inline(
     """Similar pairs of sets of up to INLINE_ITEMS (schema of ``verify``).
 
     Their items are in the rows that meet, so candidates are compared there and then,
-    and only similar pairs are shuffled.
+    and only similar pairs are shuffled.  A word of parity bits ends most of them first.
     """
     few = F.col("n") <= INLINE_ITEMS
     met = _met(
@@ -286,12 +311,15 @@ def verified_inline(
         scheme,
         block_rows,
         None if sought is None else sought.where(few),
-        {"copies": "copies", "own": "items"},
+        {"copies": "copies", "own.items": "items", "own.bits": "bits"},
     )
-    return _confirmed(met, scheme).distinct()
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    room = n_a + n_b - unequal_bits(F.col("bits_a"), F.col("bits_b"))
+    possible = met.where(room >= 2 * S.required_overlap(n_a, n_b, scheme.threshold)).drop("bits_a", "bits_b")
+    return _confirmed(possible, scheme).distinct()
 
 
-def split_hot(signed: DataFrame, sets: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
+def split_hot(signed: DataFrame, sets: DataFrame, hot: DataFrame, scheme: Scheme, shared: int = 1) -> DataFrame:
     """Split signatures shared by many sets by the next item a pair must share.
 
     A pair that needs more shared items than its signature has must share
@@ -304,7 +332,8 @@ def split_hot(signed: DataFrame, sets: DataFrame, hot: DataFrame, scheme: Scheme
     t = scheme.threshold
     cold = signed.join(hot, "sig", "left_anti")
     warm = signed.join(hot, "sig").join(sets.select("set_id", "items"), "set_id")
-    reach = F.least(F.col("n"), S.prefix_length(F.col("n"), t) + F.col("level")).cast("int")
+    reach = F.least(F.col("n"), S.prefix_length(F.col("n"), t, shared) + F.col("level")).cast("int")
+    classes = ["classes"] if scheme.length_classes else []
     ahead = F.slice("items", F.col("last") + 1, F.greatest(reach - F.col("last"), F.lit(0)))
     longer = warm.select(
         F.col("sig").alias("first_sig"),
@@ -312,6 +341,7 @@ def split_hot(signed: DataFrame, sets: DataFrame, hot: DataFrame, scheme: Scheme
         "n",
         "copies",
         "own",
+        *classes,
         "last",
         "level",
         "above",
@@ -324,6 +354,7 @@ def split_hot(signed: DataFrame, sets: DataFrame, hot: DataFrame, scheme: Scheme
         "n",
         "copies",
         "own",
+        *classes,
         (F.col("last") + F.col("step") + 1).alias("last"),
         (F.col("level") + 1).alias("level"),
         "above",
@@ -356,21 +387,21 @@ def split_hot(signed: DataFrame, sets: DataFrame, hot: DataFrame, scheme: Scheme
 
 
 def join_keys(
-    sets: DataFrame, scheme: Scheme, hot_rows: int = BLOCK_ROWS, block_rows: int = BLOCK_ROWS
+    sets: DataFrame, scheme: Scheme, hot_rows: int = BLOCK_ROWS, block_rows: int = BLOCK_ROWS, shared: int = 1
 ) -> tuple[DataFrame, int | None, DataFrame | None]:
     """(signed, block_rows, sought) of the prepared sets, as ``pair_up`` takes them."""
     if scheme.adaptive:
         signed, sought = (write_once(x, "signed-sets") for x in adaptive_signatures(with_own_items(sets), scheme))
         rows = signed.groupBy("sig").count().agg(F.max("count")).first()[0] or 0
         return signed, block_rows if rows > hot_rows else None, sought
-    signed = write_once(signed_sets(sets, scheme), "signed-sets")
+    signed = write_once(signed_sets(sets, scheme, shared), "signed-sets")
     hot = write_once(
         signed.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows),
         "hot-signatures",
     )
     if hot.isEmpty():
         return signed, None, None
-    return write_once(split_hot(signed, sets, hot, scheme), "split-signatures"), block_rows, None
+    return write_once(split_hot(signed, sets, hot, scheme, shared), "split-signatures"), block_rows, None
 
 
 def candidates(
@@ -386,8 +417,37 @@ def wide_candidates(
 ) -> DataFrame:
     """Candidate pairs whose larger set has more than INLINE_ITEMS."""
     sought = (signed if sought is None else sought).where(F.col("n") > INLINE_ITEMS)
-    least = math.floor(scheme.threshold * INLINE_ITEMS)  # the smaller set has as many at least
-    return pair_up(signed.where(F.col("n") >= least), scheme, block_rows, sought)
+    return pair_up(signed.where(F.col("n") >= _least_wide(scheme)), scheme, block_rows, sought)
+
+
+def _least_wide(scheme: Scheme) -> int:
+    """Items that a set has at least, if its partner has more than INLINE_ITEMS."""
+    return math.floor(scheme.threshold * INLINE_ITEMS)
+
+
+def may_count(scheme: Scheme) -> bool:
+    """Whether ``counted_candidates`` holds for the scheme, whose wide pairs need more than SHARED_ITEMS."""
+    fewest = (_least_wide(scheme) + INLINE_ITEMS + 1) * scheme.threshold / (1.0 + scheme.threshold)
+    return scheme.size == 1 and scheme.prefix_items is None and not scheme.adaptive and fewest > SHARED_ITEMS + 1
+
+
+def counted_candidates(
+    sets: DataFrame, scheme: Scheme, hot_rows: int = BLOCK_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Candidate pairs whose larger set has more than INLINE_ITEMS, by several shared items.
+
+    A pair that needs o items shares k of them in its first n - o + k items, for any k up to
+    o.  Most candidates of one shared item share no other one there and end when their rows
+    are added up.  Under a split signature a pair has met in two items: the first stands
+    for itself if it is the last of the k, as the next one is needed, too.
+    """
+    signed, blocks, _ = join_keys(
+        sets.where(F.col("n") >= _least_wide(scheme)), scheme, hot_rows, block_rows, SHARED_ITEMS
+    )
+    sought = signed.where(F.col("n") > INLINE_ITEMS)
+    met = _met(signed, scheme, blocks, sought, {"level": "level"}, SHARED_ITEMS)
+    items = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum("level_a").alias("items"))
+    return items.where(F.col("items") >= SHARED_ITEMS).drop("items")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -439,10 +499,15 @@ def similar_sets(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Similar pairs of distinct contents (schema of ``verify``)."""
-    signed, blocks, sought = join_keys(prepared.sets, scheme, hot_rows, block_rows)
-    found = verified_inline(signed, scheme, blocks, sought).unionByName(
-        verify(wide_candidates(signed, scheme, blocks, sought), prepared.sets, scheme)
-    )
+    sets = prepared.sets
+    counted = may_count(scheme)
+    few = sets.where(F.col("n") <= INLINE_ITEMS) if counted else sets
+    signed, blocks, sought = join_keys(few, scheme, hot_rows, block_rows)
+    if counted:
+        wide = counted_candidates(sets, scheme, hot_rows, block_rows)
+    else:
+        wide = wide_candidates(signed, scheme, blocks, sought)
+    found = verified_inline(signed, scheme, blocks, sought).unionByName(verify(wide, sets, scheme))
     if prepared.large is not None:
         found = found.unionByName(
             large_sets.similar_large_sets(prepared.large, scheme, split_rows, block_rows)

@@ -50,9 +50,24 @@ def bitmaps(sets: DataFrame, words: int) -> DataFrame:
     return halves.groupBy("set_id").agg(held.alias("held")).select("set_id", dense.alias("bitmap"))
 
 
+def parity(items: Column) -> Column:
+    """A bitmap of a single word, made inside the row."""
+
+    def flip(bits: Column, item: Column) -> Column:
+        cell = F.shiftrightunsigned(F.xxhash64(F.lit("cell"), item), 58).cast("int")
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), cell))
+
+    return F.aggregate(items, F.lit(0).cast("bigint"), flip)
+
+
+def unequal_bits(bits_a: Column, bits_b: Column) -> Column:
+    """Cells in which two bitmaps of a word differ."""
+    return F.bit_count(bits_a.bitwiseXOR(bits_b))
+
+
 def unequal_cells(bitmap_a: Column, bitmap_b: Column) -> Column:
     """Cells in which two bitmaps differ; null if either is."""
-    unequal = F.zip_with(bitmap_a, bitmap_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    unequal = F.zip_with(bitmap_a, bitmap_b, unequal_bits)
     return F.aggregate(unequal, F.lit(0), lambda total, x: total + x)
 
 

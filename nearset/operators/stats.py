@@ -6,13 +6,15 @@ sorted sizes of a signature, and copies enter as weights.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearset.functions import sets as S
 from nearset.operators.itemsets import SPLIT_ROWS, item_rows, set_sizes, unique_rows
-from nearset.operators.signatures import Scheme, rank_items, signature_rows
+from nearset.operators.signatures import Scheme, rank_items, signature_rows, with_classes
 from nearset.operators.simjoin import prepare, similar_sets, times_copied, times_found
 from nearset.runtime import write_once
 
@@ -41,7 +43,11 @@ def count_comparisons(signed: DataFrame, threshold: float) -> DataFrame:
     ``ceil(t * n)`` up to n, and how many these are is the difference of two sums of what
     comes before: before n, and before the smallest size it may meet.
     """
-    sizes = signed.groupBy("sig", "class", "n").agg(F.count("*").alias("sets"))
+    return _comparisons(signed.groupBy("sig", "class", "n").agg(F.count("*").alias("sets")), threshold)
+
+
+def _comparisons(sizes: DataFrame, threshold: float) -> DataFrame:
+    """The same of the number of sets for each (sig, class, n)."""
     fewest = S.min_partner_size(F.col("n"), threshold).cast("bigint")
     # a mark at its smallest partner stands before the sets of that size
     marks = [(fewest, 0), (F.col("n"), 1)]
@@ -82,7 +88,13 @@ def join_stats(
     scheme = Scheme(threshold, signature_size, length_classes, order, prefix_items)
     rows = unique_rows(item_rows(df, set_col, item_col))
     ranked = rank_items(rows, order, split_rows, unique=True)
-    signed = signature_rows(ranked, scheme, split_rows)
+    # sets are counted by size before their size is taken to its classes
+    signed = signature_rows(ranked, replace(scheme, length_classes=None), split_rows)
+    sizes = signed.groupBy("sig", "n").agg(F.count("*").alias("sets"))
+    if length_classes is None:
+        sizes = sizes.withColumn("class", F.lit(0).cast("bigint"))
+    else:
+        sizes = with_classes(write_once(sizes, "sizes"), scheme).withColumn("class", F.explode("classes"))
 
     prepared = prepare(rows, scheme, split_rows)
     found = times_found(similar_sets(prepared, scheme, split_rows), scheme)
@@ -101,7 +113,7 @@ def join_stats(
     # three one-row frames side by side
     return (
         count_signatures(rows, scheme)
-        .withColumn("comparisons", count_comparisons(signed, threshold).scalar())
+        .withColumn("comparisons", _comparisons(sizes, threshold).scalar())
         .withColumn("emitted", pairs.select("emitted").scalar())
         .withColumn("distinct_pairs", pairs.select("distinct_pairs").scalar())
         .withColumn("duplicate_rate", duplicate_rate(F.col("distinct_pairs"), F.col("emitted")))

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from nearset.operators import itemsets, signatures, simjoin
+from brute_force import similar_pairs
+from nearset.operators import itemsets, signatures, simjoin, sketches
 from nearset.operators import text as X
 from nearset.operators.signatures import Scheme
 
@@ -88,3 +90,61 @@ def test_counts_are_not_sorted_for_their_weights(spark):
     assert weights.count() == 4
     plan = weights._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def _documents(seed: int, count: int = 80) -> list[tuple[int, str]]:
+    """Sets of 40 to 90 words, few of them in common; every tenth is an edited copy."""
+    draw, rows, last = random.Random(seed), [], []
+    for doc in range(count):
+        words = {int(3000 * draw.random() ** 2) for _ in range(draw.randint(40, 90))}
+        if doc % 10 == 9:
+            words = {w if draw.random() < 0.9 else -w for w in last}
+        last = words
+        rows += [(doc, w) for w in words]
+    return rows
+
+
+@pytest.mark.parametrize(
+    "threshold, options, bounds",
+    [
+        (0.2, {}, {"hot_rows": 3, "block_rows": 2}),
+        (0.5, {}, {}),
+        (0.5, {"length_classes": "complete"}, {"hot_rows": 3, "block_rows": 2}),
+        (0.5, {"order": "item"}, {"hot_rows": 3, "block_rows": 2}),
+    ],
+)
+def test_wide_pairs_need_several_shared_items(spark, monkeypatch, threshold, options, bounds):
+    counts = []
+
+    def noted(df, name, write=sketches.write_once):
+        out = write(df, name)
+        counts.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(sketches, "write_once", noted)
+    rows = _documents(int(10 * threshold))
+    df = spark.createDataFrame(rows, "set_id long, item long")
+    got = simjoin.similarity_join(df, "set_id", "item", threshold, **options, **bounds)
+    assert {(r.id_a, r.id_b): r.overlap for r in got.collect()} == {p: v[0] for p, v in similar_pairs(rows, threshold).items()}
+    if not bounds:
+        sets = simjoin.prepare(itemsets.unique_rows(df), Scheme(threshold)).sets
+        one_item = simjoin.candidates(sets, Scheme(threshold)).count()
+        assert one_item > 100 and counts[0] < one_item / 3
+
+
+def test_a_set_is_signed_once_for_all_its_classes(spark):
+    rows = [(u, m) for u in range(30) for m in range(u, u + 2 + u % 7)]
+    df = itemsets.unique_rows(spark.createDataFrame(rows, "set_id long, item long"))
+    sets = simjoin.prepare(df, Scheme(0.3)).sets
+    plain = simjoin.signed_sets(sets, Scheme(0.3)).count()
+    for mode in ("reference", "complete"):
+        assert simjoin.signed_sets(sets, Scheme(0.3, length_classes=mode)).count() == plain
+
+
+def test_a_word_of_bits_bounds_what_sets_differ_in(spark):
+    draw = random.Random(5)
+    pairs = [[sorted(draw.sample(range(50), draw.randint(1, 32))) for _ in "ab"] for _ in range(200)]
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    unequal = sketches.unequal_bits(sketches.parity(F.col("a")), sketches.parity(F.col("b")))
+    differ = [(r.u, len(set(r.a) ^ set(r.b))) for r in df.withColumn("u", unequal).collect()]
+    assert all(u <= n and u % 2 == n % 2 for u, n in differ) and max(u for u, _ in differ) > 20
