@@ -600,3 +600,15 @@ def test_layouts_have_the_same_turns(spark):
         assert [(r["role"], r["text"]) for r in got] == said
     with pytest.raises(ValueError, match="no mapping"):
         chat.canonical_turns(spark.createDataFrame([(1, "q")], "conv_id bigint, other string"))
+
+
+def test_tokens_travel_packed():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for kind in (np.uint8, np.int16, np.int32, np.int64):
+        for n in (0, 1, 7, 5000):
+            x = draw.integers(0, 120, n).astype(kind)
+            packed = maxent._packed(x)
+            assert (maxent._unpacked(packed, kind) == x).all() and maxent._unpacked(packed, kind).dtype == kind
+    assert len(packed) < x.nbytes / 6
