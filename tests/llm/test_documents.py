@@ -602,6 +602,63 @@ def test_layouts_have_the_same_turns(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "q")], "conv_id bigint, other string"))
 
 
+def test_words_are_numbered_by_part_in_the_order_of_their_counts(monkeypatch):
+    """As one part would number them: by count, and each once; places of a chunk keep their words."""
+    import numpy as np
+
+    monkeypatch.setattr(maxent, "HEAD_SHARE", 4)
+    draw = np.random.default_rng(5)
+    chunks = {}
+    for chunk in (3, 8):
+        words = [f"w{i}" for i in draw.permutation(60)[:40]]
+        chunks[chunk] = words, draw.integers(0, 4, 40) + 900 * np.array([w == "w7" for w in words])
+    chunks[8] = ["w7", *(w for w in chunks[8][0] if w != "w7")], chunks[8][1] + 1
+    total = collections.Counter()
+    for words, seen in chunks.values():
+        total.update(dict(zip(words, seen.tolist())))
+    tokens = sum(total.values())
+    lists = [[c for c in chunks], [w for w, _ in chunks.values()], [s.tolist() for _, s in chunks.values()]]
+    kinds = pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(lists, kinds)], ["chunk", "words", "seen"])
+    dealt = pa.Table.from_batches(list(maxent._words_by_part(3, [batch])))
+    parts = [maxent._counted(dealt.filter(pc.equal(dealt.column("part"), p))) for p in range(3)]
+    head = {w: i for i, (c, w) in enumerate(sorted((-c, w) for w, c in total.items() if c * 4 >= tokens), 1)}
+    assert head and len(parts) == 3
+    runs = sorted((c, p, n) for p, t in enumerate(parts) for c, n in zip(t["counts"][0].as_py(), t["n"][0].as_py()) if c * 4 < tokens)
+    got, first = {}, maxent.FIRST_TAIL
+    before = {}
+    for c, p, n in runs:
+        before.setdefault(p, []).append(first)
+        first += n
+    for p, t in enumerate(parts):
+        row = t.append_column("before", pa.array([before.get(p)], pa.list_(pa.int64()))).to_batches()
+        for out in maxent._numbers(head, tokens, row):
+            for chunk, places, numbers in zip(*(out.column(i).to_pylist() for i in range(3))):
+                for place, number in zip(maxent._unpacked(places, np.int32), maxent._unpacked(numbers, np.int64)):
+                    word = chunks[chunk][0][place]
+                    assert got.setdefault(word, number) == number
+    assert set(got) == set(total)
+    assert all(got[w] == (head[w] if w in head else 0 if not c else got[w]) for w, c in total.items())
+    tail = sorted((got[w], c) for w, c in total.items() if c and w not in head)
+    assert [i for i, _ in tail] == list(range(maxent.FIRST_TAIL, maxent.FIRST_TAIL + len(tail)))
+    assert [c for _, c in tail] == sorted(c for _, c in tail)
+
+
+def test_a_batch_of_a_shard_takes_few_numbers_a_word():
+    """A word of the tail meets at most one number a weight for each doubling of its class, where a node had FAN of 16."""
+    import numpy as np
+
+    counts = np.arange(1, 6000)
+    corpus = maxent.Corpus(10**6, 7, 10, {}, np.array([10.0]), np.bincount(maxent.tail_class(counts), counts), counts, np.ones(5999, int))
+    paths = maxent._Paths(corpus, np.arange(5999))
+    n, node, way, prior = paths.of(0, 5999)
+    assert n.max() <= 12 and len(node) == n.sum() and np.isfinite(prior).all()
+    # without weights a word has its share of its class
+    share = np.exp(-np.bincount(np.repeat(np.arange(5999), n), np.log1p(np.exp(-prior)), 5999))
+    k = maxent.tail_class(counts)
+    assert share == pytest.approx(counts / corpus.tail_totals[k], rel=1e-3)
+
+
 def test_tokens_travel_packed():
     import numpy as np
 
