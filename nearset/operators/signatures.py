@@ -17,7 +17,7 @@ from nearset.operators.itemsets import (
     set_sizes,
     unique_rows,
 )
-from nearset.runtime import write_once
+from nearset.runtime import is_written, write_once
 
 
 # Rows that one task ranks, where the session's shuffle partitions would hold more.
@@ -135,7 +135,10 @@ def rank_items(
     ``unique`` promises that the rows are distinct already.
     """
     # written once, as the rows are read several times
-    rows = write_once(rows, "rows") if unique else unique_rows(rows)
+    if not unique:
+        rows = unique_rows(rows)
+    elif not is_written(rows):
+        rows = write_once(rows, "rows")
     columns = ["set_id", "item", "df", "n", "rk"]
     # and the frequencies before they are joined, so that a hot item is split over tasks
     with_df = rows.join(write_once(item_frequency(rows), "frequency"), "item")

@@ -16,7 +16,7 @@ from nearset.functions import sets as S
 from nearset.operators.itemsets import SPLIT_ROWS, item_rows, set_sizes, unique_rows
 from nearset.operators.signatures import Scheme, rank_items, signature_rows, with_classes
 from nearset.operators.simjoin import prepare, similar_sets, times_copied, times_found
-from nearset.runtime import write_once
+from nearset.runtime import drop, write_once
 
 
 def bucket_sizes(signatures: DataFrame) -> DataFrame:
@@ -43,17 +43,19 @@ def count_comparisons(signed: DataFrame, threshold: float) -> DataFrame:
     ``ceil(t * n)`` up to n, and how many these are is the difference of two sums of what
     comes before: before n, and before the smallest size it may meet.
     """
-    return _comparisons(signed.groupBy("sig", "class", "n").agg(F.count("*").alias("sets")), threshold)
+    return _comparisons(signed.groupBy("sig", "class", "n").agg(F.count("*").alias("sets")), ["sig", "class"], threshold)
 
 
-def _comparisons(sizes: DataFrame, threshold: float) -> DataFrame:
-    """The same of the number of sets for each (sig, class, n)."""
+def _comparisons(sizes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """The same of the number of sets for each size ``n`` under ``keys``."""
+    # rows are doubled where they have arrived
+    sizes = sizes.repartition(*keys)
     fewest = S.min_partner_size(F.col("n"), threshold).cast("bigint")
     # a mark at its smallest partner stands before the sets of that size
     marks = [(fewest, 0), (F.col("n"), 1)]
     ends = F.explode(F.array(*[F.struct(at.alias("at"), F.lit(kind).alias("kind")) for at, kind in marks]))
-    rows = sizes.select("sig", "class", "sets", ends.alias("end")).select("sig", "class", "sets", "end.*")
-    earlier = W.partitionBy("sig", "class").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, -1)
+    rows = sizes.select(*keys, "sets", ends.alias("end")).select(*keys, "sets", "end.*")
+    earlier = W.partitionBy(*keys).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, -1)
     own = F.col("kind") == 1
     before = F.coalesce(F.sum(F.when(own, F.col("sets"))).over(earlier), F.lit(0))
     sets = F.col("sets")
@@ -90,11 +92,15 @@ def join_stats(
     ranked = rank_items(rows, order, split_rows, unique=True)
     # sets are counted by size before their size is taken to its classes
     signed = signature_rows(ranked, replace(scheme, length_classes=None), split_rows)
-    sizes = signed.groupBy("sig", "n").agg(F.count("*").alias("sets"))
-    if length_classes is None:
-        sizes = sizes.withColumn("class", F.lit(0).cast("bigint"))
-    else:
+    # the items of a signature are columns, which are shorter than an array of them
+    keys = [f"item_{i}" for i in range(scheme.size)]
+    signed = signed.select("n", *[F.get("sig", i).alias(k) for i, k in enumerate(keys)])
+    sizes = signed.groupBy(*keys, "n").agg(F.count("*").alias("sets"))
+    if length_classes is not None:
         sizes = with_classes(write_once(sizes, "sizes"), scheme).withColumn("class", F.explode("classes"))
+        keys = [*keys, "class"]
+    # each part is written, so that what is shuffled for it is gone before the next
+    comparisons = write_once(_comparisons(sizes, keys, threshold), "comparisons")
 
     prepared = prepare(rows, scheme, split_rows)
     found = times_found(similar_sets(prepared, scheme, split_rows), scheme)
@@ -110,10 +116,13 @@ def join_stats(
         F.coalesce(F.sum(F.col("pairs") * F.col("times")), F.lit(0)).alias("emitted"),
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("distinct_pairs"),
     )
+    pairs = write_once(pairs, "pair-sums")
+    signatures = write_once(count_signatures(rows, scheme), "signatures")
+    drop(rows, prepared.sets)
     # three one-row frames side by side
     return (
-        count_signatures(rows, scheme)
-        .withColumn("comparisons", _comparisons(sizes, threshold).scalar())
+        signatures
+        .withColumn("comparisons", comparisons.scalar())
         .withColumn("emitted", pairs.select("emitted").scalar())
         .withColumn("distinct_pairs", pairs.select("distinct_pairs").scalar())
         .withColumn("duplicate_rate", duplicate_rate(F.col("distinct_pairs"), F.col("emitted")))
